@@ -16,7 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only, so that every engine agrees; null becomes the empty text."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower()))
 
 
 def split_words(text: Column, separator: str = SPACE) -> Column:
@@ -24,6 +25,15 @@ def split_words(text: Column, separator: str = SPACE) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: w != "")
 
 
+#: bytes.translate table that lower-cases A-Z; bytes.split() then cuts at exactly SPACE.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """Words of a whole text, A-Z lower-cased, as UTF-8."""
+    return (text or "").encode().translate(LOWER_BYTES).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

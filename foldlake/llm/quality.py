@@ -29,7 +29,7 @@ RULES = {
     0: ("few_words", "n_words < 50"),
     1: ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     2: ("symbols", "10 * n_symbols > n_words"),
-    3: ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    3: ("duplicate_lines", "n_lines >= 10 AND 100 * n_dup_lines > 50 * n_lines"),
     4: ("capitals", "100 * n_capitals > 50 * word_chars"),
     5: ("short_words", "word_chars < 2 * n_words"),
     6: ("long_words", "word_chars > 20 * n_words"),
@@ -128,7 +128,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_rep
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
-b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
+b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (n_lines >= 10 AND 100 * n_dup_lines > 50 * n_lines)::INT
   + 16 * (100 * n_capitals > 50 * word_chars)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 20 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """

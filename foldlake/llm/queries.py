@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding, warc
+import corpus_pipeline
+
+from . import chat, decontaminate, hmm, html_cut, jaccard, mixing, quality, sharding, toxicity, warc
 
 
 def queries():
     return {
+        "op1_hmm_likelihood": hmm.op1_hmm_likelihood,
+        "op2_subword_toxicity": toxicity.op2_subword_toxicity,
         "op3_warc_chunks": warc.op3_warc_chunks,
         "op4_hypergeometric_shuffle": sharding.op4_hypergeometric_shuffle,
         "op5_benchmark_ngrams": decontaminate.op5_benchmark_ngrams,
         "op6_rule_ledger": quality.op6_rule_ledger,
         "op7_role_repair": chat.op7_role_repair,
+        "op8_minimum_cut_text": html_cut.op8_minimum_cut_text,
         "op9_systematic_mix": mixing.op9_systematic_mix,
+        "op10_parity_sketch_join": jaccard.op10_parity_sketch_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
