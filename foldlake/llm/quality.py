@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +103,6 @@ def ablations(led: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows that pass the policy, with the input's columns, in one pass and without a shuffle."""
-    import pandas as pd
-
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def measures(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t or "") for t in text], columns=list(MEASURES))
