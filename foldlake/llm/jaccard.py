@@ -41,6 +41,7 @@ BROADCAST_ROWS = 1_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _WORDS_KEPT = 500_000
+SKETCH = 2048
 
 
 class WordHashes(dict):
@@ -132,14 +133,27 @@ def _sketched(n: int, num: int, den: int):
     return run
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Sketch of SKETCH bits, as longs: each shingle toggles one bit."""
+    bits = np.bincount((s >> np.uint64(33)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(byte_words(t.as_py()), n, hashes).view(np.int64) for t in b.column(1)]
+            ids, sets = [], []
+            for i, t in zip(b.column(0), b.column(1)):
+                s = shingle_set(byte_words(t.as_py()), n, hashes)
+                if len(s):
+                    ids.append(i.as_py())
+                    sets.append(s)
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "s"])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            sketch = np.concatenate([parity(s) for s in sets]) if sets else np.empty(0, np.int64)
+            at = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(sketch)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "sketch", "s"])
 
     return run
 
@@ -153,27 +167,36 @@ def _difference(sizes: Column, num: int, den: int) -> Column:
     return F.floor(sizes * (den - num) / (den + num))
 
 
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with n_a, n_b and the column of both sides."""
+    left, right = (sets.select(F.col("doc_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"x_{x}")) for x in "ab")
+    return pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left, right = (sets.select(F.col("doc_id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    j = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return j.filter(den * both >= num * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    """The pairs (a, b) whose whole sets are similar enough; sketches that differ in too many bits go first."""
+    apart = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = _both(pairs, sets, "sketch").filter(apart <= _difference(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
+    near = materialize(near, "near")
+    both = F.size(F.array_intersect("x_a", "x_b"))
+    return _both(near, sets, "s").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(token, doc_id, n, i): the shared tokens among the first of each set, rarest first; i tokens stand before."""
-    t = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("token"))
+    t = sets.select("doc_id", F.xxhash64("s").alias("set"), "n", F.explode("s").alias("token"))
     df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("token", "d_token")
     t = t.join(df, F.col("token") == F.col("d_token")).drop("d_token")
-    t = t.withColumn("i", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "token")) - 1)
-    return t.filter((F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den)) & (F.col("df") > 1)).select("token", "doc_id", "n", "i")
+    t = t.withColumn("i", F.row_number().over(W.partitionBy("doc_id", "set").orderBy("df", "token")) - 1)
+    return t.filter((F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den)) & (F.col("df") > 1)).select("token", "doc_id", "n", "i").distinct()
 
 
 def _fits(num: int, den: int) -> Column:
+    """What holds at the first common token of two linked sets: the i + i2 tokens before are in one set only, and no
+    more than the rest of the shorter remainder can be common."""
     sizes = F.col("n") + F.col("n2")
-    d = _difference(sizes, num, den)
-    return (F.col("i") + F.col("i2") <= d) & (F.abs(F.col("n") - F.col("n2")) <= d)
+    apart = F.greatest(F.col("i") + F.col("i2"), sizes - 2 * F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")))
+    return apart <= _difference(sizes, num, den)
 
 
 def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COPIES, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +218,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     pairs = few.join(other, F.col("key") == F.col("key2")).filter("doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct()
     seen = materialize(met.groupBy("doc_id").agg(F.max("c").alias("c")), "seen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(seen.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = texts.mapInArrow(_sets(n), "doc_id long, s array<long>")
-    sets = materialize(sets.filter(F.size("s") > 0).distinct(), "sets")
+    sets = materialize(texts.mapInArrow(_sets(n), "doc_id long, sketch array<long>, s array<long>"), "sets").withColumn("n", F.size("s"))
     crowded = sets.join(_small(seen.filter(F.col("c") > crowd).select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
     prefix = materialize(_prefixes(crowded, num, den), "prefixes")
     centre = prefix.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("m")).select(F.col("token").alias("t2"), F.col("m.i").alias("i2"), F.col("m.doc_id").alias("d2"), F.col("m.n").alias("n2"))
