@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, byte_words, materialize, table
+from .common import byte_words, materialize, table
 
 STATES, ROUNDS, HEAD, TAILS, SUFFIX = 8, 3, 20_000, 2048, 3
 END = b""
 _COUNTS_HELD = 400_000
+PIECE = 256  # texts are trained on in pieces of so many tokens; scores run over whole texts
 PRIOR = 50.0  # pseudo-count of the overall class shares in each state's emissions
 
 
@@ -89,51 +90,58 @@ def _encoded(head: dict[bytes, int], n_head: int, tails: int):
     return run
 
 
-def blocks(column: pa.ListArray, most: int = 60_000):
-    """(row numbers, padded matrix positions x rows, lengths) of class lists of like lengths, longest first."""
-    ends = np.asarray(column.offsets)
-    values, ends = np.asarray(column.values), ends
-    lengths = np.diff(ends)
+def blocks(column: pa.ListArray, cut: int | None = None, most: int = 120_000):
+    """(row numbers, padded matrix positions x rows, lengths, which rows begin a text) of class lists of like lengths,
+    longest first. Lists longer than ``cut`` are given in pieces."""
+    ends, values = np.asarray(column.offsets), np.asarray(column.values)
+    lengths, begins, owner = np.diff(ends), ends[:-1], np.arange(len(ends) - 1)
+    if cut:
+        pieces = -(-lengths // cut)
+        owner = np.repeat(owner, pieces)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begins, lengths = begins[owner] + k * cut, np.minimum(cut, lengths[owner] - k * cut)
     order, at = np.argsort(-lengths, kind="stable"), 0
     while at < len(order):
-        longest = lengths[order[at]]
-        rows = order[at : at + max(1, most // max(1, int(longest)))]
-        x = np.zeros((longest, len(rows)), np.int32)
-        for k, r in enumerate(rows):
-            x[: lengths[r], k] = values[ends[r] : ends[r + 1]]
-        yield rows, x, lengths[rows]
+        longest = int(lengths[order[at]])
+        rows = order[at : at + max(1, most // max(1, longest))]
+        t = np.arange(longest)[:, None]
+        x = values[np.minimum(begins[rows] + t, len(values) - 1)]
+        x[t >= lengths[rows]] = 0
+        yield owner[rows], x, lengths[rows], begins[rows] == ends[owner[rows]]
         at += len(rows)
 
 
-def forward(x: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Scaled forward probabilities, scales (1 past the end) and natural log likelihoods; emit: classes x states."""
+def forward(x: np.ndarray, lengths: np.ndarray, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    """Scaled forward probabilities, scales (1 past the end) and natural log likelihoods; first: rows x states."""
     e = emit[x]
-    alpha, scale = np.zeros_like(e), np.ones(x.shape)
+    alpha, scale = np.zeros_like(e), np.ones(x.shape, e.dtype)
     live = np.searchsorted(-lengths, -np.arange(len(x)), side="left")  # rows longer than t come first
+    ones = np.ones(e.shape[2], e.dtype)
     for t in range(len(x)):
         n = live[t]
-        a = start * e[0, :n] if t == 0 else (alpha[t - 1, :n] @ move) * e[t, :n]
-        s = a.sum(1)
-        alpha[t, :n], scale[t, :n] = a / s[:, None], s
-    return e, alpha, scale, live, np.log(scale).sum(0)
+        a = first[:n] * e[0, :n] if t == 0 else (alpha[t - 1, :n] @ move) * e[t, :n]
+        s = scale[t, :n] = a @ ones
+        np.divide(a, s[:, None], out=alpha[t, :n])
+    return e, alpha, scale, live, np.log(scale, dtype=np.float64).sum(0)
 
 
-def expected(x, lengths, start, move, emit):
-    """Baum-Welch counts of one block: first states, moves, and (classes x states) emissions."""
-    e, alpha, scale, live, _ = forward(x, lengths, start, move, emit)
-    beta, ahead = np.ones_like(e), np.zeros_like(e)
+def expected(x, lengths, fresh, start, move, emit):
+    """Baum-Welch counts of one block: first states, moves, and (classes x states) emissions. Pieces that do not begin a text enter any state alike."""
+    k = len(start)
+    first = np.where(fresh[:, None], start, np.float32(1 / k)).astype(emit.dtype)
+    e, alpha, scale, live, _ = forward(x, lengths, first, move, emit)
+    beta, ahead, back = np.ones_like(e), np.zeros_like(e), np.ascontiguousarray(move.T)
+    e /= scale[:, :, None]
     for t in range(len(x) - 2, -1, -1):
         n = live[t + 1]
-        ahead[t + 1, :n] = e[t + 1, :n] * beta[t + 1, :n] / scale[t + 1, :n, None]
-        beta[t, :n] = ahead[t + 1, :n] @ move.T
-    gamma = alpha * beta
-    k = len(start)
+        np.multiply(e[t + 1, :n], beta[t + 1, :n], out=ahead[t + 1, :n])
+        np.matmul(ahead[t + 1, :n], back, out=beta[t, :n])
     moves = move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
-    used = np.arange(len(x))[:, None] < lengths
-    ids, inverse = np.unique(x[used], return_inverse=True)
-    g = gamma[used]
-    emissions = np.stack([np.bincount(inverse, weights=g[:, s], minlength=len(ids)) for s in range(k)], 1)
-    return gamma[0].sum(0), moves, ids, emissions
+    used = (np.arange(len(x))[:, None] < lengths).ravel()
+    gamma = (alpha * beta).reshape(-1, k)[used]
+    ids, inverse = np.unique(x.ravel()[used], return_inverse=True)
+    emissions = np.stack([np.bincount(inverse, weights=gamma[:, s], minlength=len(ids)) for s in range(k)], 1)
+    return (alpha[0] * beta[0])[fresh].sum(0), moves, ids, emissions
 
 
 def _expectations(start, move, emit):
@@ -141,10 +149,10 @@ def _expectations(start, move, emit):
     names = ["id", *[f"s{i}" for i in range(k)]]
 
     def run(batches):
-        first, moves, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit)
+        first, moves, total = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape)
         for b in batches:
-            for _, x, lengths in blocks(b.column(0)):
-                f, m, ids, e = expected(x, lengths, start, move, emit)
+            for _, x, lengths, fresh in blocks(b.column(0), PIECE):
+                f, m, ids, e = expected(x, lengths, fresh, start, move, emit)
                 first, moves = first + f, moves + m
                 total[ids] += e
         used = np.flatnonzero(total.any(1))
@@ -161,7 +169,7 @@ def train(classes: DataFrame, shares: np.ndarray, states: int = STATES, rounds:
     emit = shares[:, None] * np.exp(rng.normal(0, 1, (len(shares), states)))
     emit, start, move = emit / emit.sum(0), np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     for _ in range(rounds):
-        sums = classes.mapInArrow(_expectations(start, move, emit), "id long, " + ", ".join(f"s{i} double" for i in range(states)))
+        sums = classes.mapInArrow(_expectations(*(a.astype(np.float32) for a in (start, move, emit))), "id long, " + ", ".join(f"s{i} double" for i in range(states)))
         got = sums.groupBy("id").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]).toArrow()  # classes + states + 1 rows at most
         ids, v = np.asarray(got["id"]), np.stack([np.asarray(got[f"s{i}"]) for i in range(states)], 1)
         counts = np.zeros_like(emit)
@@ -181,8 +189,8 @@ def _scored(start, move, emit, n_head, log_mass):
         for b in batches:
             c = b.column(1)
             out = np.zeros((len(c), 4))
-            for rows, x, lengths in blocks(c):
-                *_, ll = forward(x, lengths, start, move, emit)
+            for rows, x, lengths, _ in blocks(c):
+                *_, ll = forward(x, lengths, np.broadcast_to(start, (len(rows), len(start))), move, emit)
                 used = np.arange(len(x))[:, None] < lengths
                 is_head = used & (x < n_head)
                 mass = np.where(used, log_mass[x], 0)
