@@ -1,11 +1,277 @@
-"""All queries of the library itself."""
+"""The library's queries over the given tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import sequence as fs
+from ..operators import alignment, matching, structure
+
+#: Structures that queries pair with sequences, by doc_id modulo their number.
+STRUCTURES = [".(((....))((....))).", ".(.((....))..((....))..).", ".(.((....))..((....))((....)).).", "((......))", "(.(......).)", "((.(......).))"]
+WIDTH = 60
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "source", F.coalesce(fs.from_text(F.col("text"), WIDTH), F.lit("")).alias("seq"))
+
+
+def structures(spark, sf_dir):
+    """doc_id, seq, structure and other: sequences long enough for the structure that doc_id picks, and the one after it."""
+    n = len(STRUCTURES)
+    pick = lambda k: F.element_at(F.array(*[F.lit(s) for s in STRUCTURES]), (F.pmod(F.col("doc_id") + k, F.lit(n)) + 1).cast("int"))
+    s = sequences(spark, sf_dir).select("doc_id", "seq", pick(0).alias("structure"), pick(1).alias("other"))
+    return s.filter(F.length("seq") >= F.length("structure")).withColumn("seq", F.substring("seq", F.lit(1), F.length("structure")))
+
+
+def alignment_rows(spark, sf_dir, width):
+    return sequences(spark, sf_dir).filter(F.length("seq") > 0).select(F.col("source").alias("aln"), F.substring("seq", 1, width).alias("seq"))
+
+
+SEQ = r"seqs AS (SELECT doc_id, lang, source, coalesce(translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ACGUACGUACGUACGUACGUACGUAC'), '') AS seq FROM documents)"
+_LIST = "[" + ", ".join(f"'{s}'" for s in STRUCTURES) + "]"
+STR = SEQ + f""", str0 AS (SELECT doc_id, seq, {_LIST}[CAST(doc_id % 6 AS INT) + 1] AS structure, {_LIST}[CAST((doc_id + 1) % 6 AS INT) + 1] AS other FROM seqs),
+strs AS (SELECT doc_id, substr(seq, 1, length(structure)) AS seq, structure, other FROM str0 WHERE length(seq) >= length(structure))"""
+
+
+def _pairs_sql(name: str, column: str) -> str:
+    return f"""{name}_p AS (SELECT doc_id, CAST(i AS INT) AS i, substr({column}, i, 1) AS c FROM (SELECT doc_id, {column}, unnest(range(1, length({column}) + 1)) AS i FROM strs)),
+{name}_h AS (SELECT *, CAST(sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS height FROM {name}_p),
+{name}_l AS (SELECT *, height + CASE c WHEN ')' THEN 1 ELSE 0 END AS level FROM {name}_h),
+{name}_t AS (SELECT doc_id, i, c, height, level, CASE c WHEN '(' THEN lead(i) OVER w WHEN ')' THEN lag(i) OVER w ELSE 0 END AS partner FROM {name}_l WINDOW w AS (PARTITION BY doc_id, level, c <> '.' ORDER BY i)),
+{name} AS (SELECT doc_id, i, partner AS j FROM {name}_t WHERE partner > i)"""
+
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""WITH {SEQ} SELECT lang, count(*) AS n_seq, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS BIGINT) AS n_gc,
+round(CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS DOUBLE) / CAST(sum(length(seq)) AS DOUBLE), 6) AS gc FROM seqs GROUP BY lang""")
+def sequence_statistics(spark, sf_dir):
+    s = sequences(spark, sf_dir).withColumn("n_gc", fs.count_of(F.col("seq"), "G") + fs.count_of(F.col("seq"), "C"))
+    return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_seq"), F.sum(F.length("seq")).alias("n_bases"), F.sum("n_gc").alias("n_gc"), F.round(F.sum("n_gc").cast("double") / F.sum(F.length("seq")).cast("double"), 6).alias("gc"))
+
+
+@query(f"WITH {SEQ} SELECT doc_id, " + ", ".join(f"CAST(length(seq) - length(replace(seq, '{b}', '')) AS INT) AS n_{b.lower()}" for b in "ACGU") + " FROM seqs")
+def sequence_composition(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", *[fs.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ACGU"])
+
+
+@query(f"WITH {SEQ} SELECT doc_id, translate(seq, 'ACGU', '1234') AS codes, seq AS decoded FROM seqs")
+def sequence_codes(spark, sf_dir):
+    c = fs.encoded(F.col("seq"))
+    return sequences(spark, sf_dir).select("doc_id", F.array_join(c.cast("array<string>"), "").alias("codes"), fs.decoded(c).alias("decoded"))
+
+
+@query(f"""WITH {SEQ}, x AS (SELECT doc_id, replace(seq, 'U', 'T') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '&' END || CASE WHEN doc_id % 3 = 1 THEN reverse(seq) ELSE '' END AS s FROM seqs)
+SELECT doc_id, translate(s, 'Tt', 'Uu') AS rna, CAST(CASE WHEN strpos(s, '&') = 0 OR strpos(s, '&') = length(s) THEN -1 ELSE strpos(s, '&') END AS INT) AS cut, translate(replace(s, 'A', '-'), '-_~.', '') AS ungapped FROM x""")
+def sequence_strands(spark, sf_dir):
+    third = F.col("doc_id") % 3
+    s = F.concat(F.replace("seq", F.lit("U"), F.lit("T")), F.when(third == 0, "").otherwise("&"), F.when(third == 1, F.reverse("seq")).otherwise(""))
+    x = sequences(spark, sf_dir).select("doc_id", s.alias("s"))
+    return x.select("doc_id", fs.to_rna(F.col("s")).alias("rna"), fs.cut_point(F.col("s")).alias("cut"), fs.ungapped(F.replace("s", F.lit("A"), F.lit("-"))).alias("ungapped"))
+
+
+@query(f"""WITH {SEQ}, x AS (SELECT doc_id, seq, lag(seq) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM seqs)
+SELECT doc_id, CAST(len(list_filter(range(1, least(length(seq), length(before)) + 1), lambda i: substr(seq, i, 1) <> substr(before, i, 1))) AS INT) AS distance FROM x WHERE before IS NOT NULL""")
+def hamming_consecutive(spark, sf_dir):
+    x = sequences(spark, sf_dir).withColumn("before", F.lag("seq").over(W.partitionBy("source").orderBy("doc_id"))).filter("before IS NOT NULL")
+    return x.select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
+
+
+@query(f"""WITH {SEQ}, x AS (SELECT doc_id, list_filter(range(1, length(seq) - 2), lambda i: regexp_matches(substr(seq, i, 4), '^[AG][CU][ACGU][GU]$')) AS spots FROM seqs)
+SELECT doc_id, CAST(len(spots) AS INT) AS n_sites, CAST(spots[1] AS INT) AS first_site FROM x""")
+def iupac_motif_sites(spark, sf_dir):
+    x = sequences(spark, sf_dir).select("doc_id", fs.motif_starts(F.col("seq"), "RYNK").alias("at"))
+    return x.select("doc_id", F.size("at").alias("n_sites"), F.get("at", F.lit(0)).alias("first_site"))
+
+
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, partner FROM a_t")
+def pair_table(spark, sf_dir):
+    return structure.pair_table(structures(spark, sf_dir))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, o AS (SELECT *, sum((c = '(')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS opened FROM a_t)
+SELECT doc_id, i, CAST(CASE WHEN level = 0 THEN 0 ELSE max(CASE WHEN c = '(' THEN opened END) OVER (PARTITION BY doc_id, level ORDER BY i) END AS BIGINT) AS loop FROM o""")
+def loop_index(spark, sf_dir):
+    return structure.loop_index(structures(spark, sf_dir)).withColumn("loop", F.col("loop").cast("long"))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, i + j ORDER BY i) AS island FROM a)
+SELECT doc_id, min(i) AS start, max(j) AS "end", count(*) AS length FROM s GROUP BY doc_id, i + j, island""")
+def helix_list(spark, sf_dir):
+    return structure.helices(structures(spark, sf_dir))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, d AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.i = b.i AND a.j = b.j WHERE a.doc_id IS NULL OR b.doc_id IS NULL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id) SELECT strs.doc_id, coalesce(n, 0) AS distance FROM strs LEFT JOIN n ON strs.doc_id = n.doc_id""")
+def base_pair_distance(spark, sf_dir):
+    return structure.pair_distance(structures(spark, sf_dir), "structure", "other")
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, substr(s.seq, t.i, 1) AS base, t.i - 1 AS before, CASE WHEN t.i < length(s.structure) THEN t.i + 1 ELSE 0 END AS after, t.partner FROM a_t t JOIN strs s ON t.doc_id = s.doc_id""")
+def connect_table(spark, sf_dir):
+    return structure.connect_table(structures(spark, sf_dir))
+
+
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, height FROM a_t")
+def mountain_heights(spark, sf_dir):
+    return structure.positions(structures(spark, sf_dir)).select("doc_id", "i", F.col("height").cast("int").alias("height"))
+
+
+@query(f"WITH {STR} SELECT doc_id, structure FROM strs")
+def structure_round_trip(spark, sf_dir):
+    """Dot-bracket -> pair rows -> dot-bracket."""
+    s = structures(spark, sf_dir)
+    return structure.from_pairs(structure.pairs(s), s.select("doc_id", F.length("structure").alias("n")))
+
+
+@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
+c AS (SELECT aln, i, substr(s, i, 1) AS base, count(*) AS n FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY aln, i ORDER BY n DESC, base) AS r FROM c)
+SELECT aln, string_agg(base, '' ORDER BY i) AS consensus FROM b WHERE r = 1 GROUP BY aln""")
+def alignment_consensus(spark, sf_dir):
+    return alignment.consensus(alignment_rows(spark, sf_dir, 40), 40)
+
+
+@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
+c AS (SELECT aln, i, substr(s, i, 1) AS base, count(*) AS n FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a) GROUP BY ALL),
+m AS (SELECT aln, count(*) AS n_seq FROM a GROUP BY aln), e AS (SELECT aln, CAST(sum(n * (n - 1)) AS BIGINT) AS same FROM c GROUP BY aln)
+SELECT m.aln, n_seq, CAST(CASE WHEN n_seq > 1 THEN floor(CAST(100 * same AS DOUBLE) / CAST(n_seq * (n_seq - 1) * 40 AS DOUBLE)) ELSE 100 END AS BIGINT) AS identity FROM m JOIN e ON m.aln = e.aln""")
+def alignment_identity(spark, sf_dir):
+    return alignment.mean_pairwise_identity(alignment_rows(spark, sf_dir, 40), 40)
+
+
+@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 20), 20, '-') AS s FROM seqs WHERE length(seq) > 0),
+t AS (SELECT aln, i, j, CASE substr(s, i, 1) || substr(s, j, 1) WHEN 'CG' THEN 1 WHEN 'GC' THEN 2 WHEN 'GU' THEN 3 WHEN 'UG' THEN 4 WHEN 'AU' THEN 5 WHEN 'UA' THEN 6 ELSE 0 END AS t
+FROM a, (SELECT CAST(x.i AS INT) AS i, CAST(y.i AS INT) AS j FROM range(1, 21) x(i), range(1, 21) y(i) WHERE y.i >= x.i + 4))
+SELECT aln, i, j, count(*) AS n_seq, CAST(sum((t > 0)::INT) AS BIGINT) AS compatible, count(DISTINCT CASE WHEN t > 0 THEN t END) AS types FROM t GROUP BY aln, i, j""")
+def alignment_pair_support(spark, sf_dir):
+    return alignment.pair_support(alignment_rows(spark, sf_dir, 20), 20)
+
+
+_R = "CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value / 100 END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_R} AS r FROM events) SELECT event_id,
+round(CASE WHEN r < 0 THEN 0.5 ELSE greatest(0.0, least(1.0, r)) END, 6) AS p_s,
+round(CASE WHEN r < 0 THEN 0.5 ELSE greatest(0.0, least(1.0, CASE WHEN r < 0.25 THEN r * (0.35 / 0.25) WHEN r < 0.3 THEN 0.35 + (r - 0.25) * (0.2 / 0.05) WHEN r < 0.7 THEN 0.55 + (r - 0.3) * (0.3 / 0.4) ELSE 0.85 + (r - 0.7) * (0.15 / 0.3) END)) END, 6) AS p_m,
+CASE WHEN r < 0 THEN 0.5::DOUBLE WHEN r < 0.25 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p_c,
+round(CASE WHEN r < 0 THEN 0.5 ELSE greatest(0.0, least(1.0, (r - 0.2) / 0.68)) END, 6) AS p_l,
+round(CASE WHEN r < 0 THEN 0.5 ELSE greatest(0.0, least(1.0, (ln(greatest(r, 1e-300)) + 2.29) / 1.6)) END, 6) AS p_o,
+round(CASE WHEN r < 0 THEN 0.0 ELSE 1.8 * ln(greatest(r, 0.0) + 1) - 0.6 END, 6) AS energy FROM e""")
+def shape_conversion(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, -1.0).otherwise(F.col("value") / 100).alias("r"))
+    r = F.col("r")
+    return e.select("event_id", *[(F.round(fs.shape_probability(r, m), 6) if m != "C" else fs.shape_probability(r, m)).alias(f"p_{m.lower()}") for m in "SMCLO"], F.round(fs.shape_energy(r), 6).alias("energy"))
+
+
+@query("""SELECT event_id, round(value * (4184.0 / 1000.0), 6) AS kj, round(value * (4184.0 / 41.84), 4) AS dcal, round(value + 273.15, 6) AS kelvin, round(value * 9 / 5 + 32, 6) AS fahrenheit, round((100.0 - value) * 3 / 2, 6) AS delisle, round(value * 21 / 40 + 7.5, 6) AS romer FROM events""")
+def unit_conversion(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.round(fs.convert_energy(v, "kcal", "kJ"), 6).alias("kj"), F.round(fs.convert_energy(v, "kcal", "dcal"), 4).alias("dcal"),
+        *[F.round(fs.convert_temperature(v, u), 6).alias(n) for u, n in (("K", "kelvin"), ("F", "fahrenheit"), ("De", "delisle"), ("Ro", "romer"))],
+    )
+
+
+def probability_rows(spark, sf_dir):
+    """Pair rows (id, i, j, p) from lineitem: each order is an ensemble, each line a pair."""
+    l = table(spark, sf_dir, "lineitem")
+    i = F.col("l_linenumber").cast("int")
+    return l.select(F.col("l_orderkey").alias("id"), i.alias("i"), (F.lit(40) - i).alias("j"), (F.col("l_quantity") / 50).alias("p"))
+
+
+_PAIR_ROWS = "SELECT l_orderkey AS id, l_linenumber AS i, 40 - l_linenumber AS j, l_quantity / 50 AS p FROM lineitem"
+
+
+@query(f"WITH r AS ({_PAIR_ROWS}) SELECT id, round(2 * sum(p * (1 - p)), 6) AS diversity, CAST(sum((p > 0.5)::INT) AS BIGINT) AS centroid_pairs, round(sum(CASE WHEN p > 0.5 THEN 1 - p ELSE p END), 6) AS centroid_distance FROM r GROUP BY id")
+def ensemble_diversity(spark, sf_dir):
+    e = structure.ensemble(probability_rows(spark, sf_dir))
+    return e.select("id", F.round("diversity", 6).alias("diversity"), "centroid_pairs", F.round("centroid_distance", 6).alias("centroid_distance"))
+
+
+@query(f"""WITH r AS ({_PAIR_ROWS}), e AS (SELECT id, i AS pos, p AS up, 0.0 AS down FROM r UNION ALL SELECT id, j, 0.0, p FROM r),
+s AS (SELECT id, pos, least(1.0, round(sum(up), 9)) AS up, least(1.0, round(sum(down), 9)) AS down FROM e GROUP BY id, pos), x AS (SELECT *, greatest(0.0, round(1 - up - down, 9)) AS free, up + down AS paired FROM s)
+SELECT id, pos, CASE WHEN free > 0.667 THEN '.' WHEN up > 0.667 THEN '(' WHEN down > 0.667 THEN ')' WHEN paired > free AND up > 0.667 * paired THEN '{{' WHEN paired > free AND down > 0.667 * paired THEN '}}' WHEN paired > free THEN '|' WHEN free > paired THEN ',' ELSE ':' END AS symbol FROM x""")
+def probability_symbols(spark, sf_dir):
+    r = probability_rows(spark, sf_dir)
+    e = r.select("id", F.col("i").alias("pos"), F.col("p").alias("up"), F.lit(0.0).alias("down")).unionByName(r.select("id", F.col("j").alias("pos"), F.lit(0.0).alias("up"), F.col("p").alias("down")))
+    s = e.groupBy("id", "pos").agg(*[F.least(F.lit(1.0), F.round(F.sum(c), 9)).alias(c) for c in ("up", "down")])
+    free = F.greatest(F.lit(0.0), F.round(1 - F.col("up") - F.col("down"), 9))
+    return s.select("id", "pos", fs.pair_symbol(free, F.col("up"), F.col("down")).alias("symbol"))
+
+
+@query(f"""WITH r AS ({_PAIR_ROWS}), e AS (SELECT id, i AS pos, p FROM r UNION ALL SELECT id, j, p FROM r)
+SELECT id, pos, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(2), 6) AS entropy FROM e GROUP BY id, pos""")
+def positional_entropy(spark, sf_dir):
+    r = probability_rows(spark, sf_dir)
+    e = r.select("id", F.col("i").alias("pos"), "p").unionByName(r.select("id", F.col("j").alias("pos"), "p"))
+    return e.groupBy("id", "pos").agg(F.round(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0)) / F.log(F.lit(2.0)), 6).alias("entropy"))
+
+
+@query("""WITH m AS (SELECT user_id, min(value) AS lowest FROM events GROUP BY user_id) SELECT e.user_id, CAST(floor((value - lowest) * 10) AS BIGINT) AS bin, count(*) AS n FROM events e JOIN m ON e.user_id = m.user_id GROUP BY ALL""")
+def density_of_states(spark, sf_dir):
+    """Energies (event values) of each ensemble (user) above its lowest, in bins of 0.1."""
+    e = table(spark, sf_dir, "events").select("user_id", "value")
+    low = e.groupBy("user_id").agg(F.min("value").alias("lowest")).withColumnRenamed("user_id", "u")
+    return e.join(low, F.col("user_id") == F.col("u")).groupBy("user_id", F.floor((F.col("value") - F.col("lowest")) * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, 10 + row_number() OVER w AS t, 2 * lag(value, 2) OVER w - lag(value) OVER w - 2 * value - lead(value) OVER w + 2 * lead(value, 2) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, CAST(t AS BIGINT) AS t, round(-(t + 273.15) * s / 7, 6) AS heat_capacity FROM x WHERE s IS NOT NULL""")
+def melting_curve(spark, sf_dir):
+    """-T d2F/dT2 by a quadratic fit over five points; each user's events stand for free energies at rising temperatures."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    v = F.col("value")
+    s = 2 * F.lag(v, 2).over(w) - F.lag(v).over(w) - 2 * v - F.lead(v).over(w) + 2 * F.lead(v, 2).over(w)
+    x = table(spark, sf_dir, "events").select("user_id", "event_id", (10 + F.row_number().over(w)).cast("long").alias("t"), s.alias("s")).filter("s IS NOT NULL")
+    return x.select("user_id", "event_id", "t", F.round(-(F.col("t") + 273.15) * F.col("s") / 7, 6).alias("heat_capacity"))
+
+
+@query(f"""WITH {SEQ} SELECT length(seq) AS len, source, count(*) AS n, count(DISTINCT seq) AS n_distinct FROM seqs GROUP BY length(seq), source""")
+def length_batches(spark, sf_dir):
+    """Sequences and distinct sequences of each length and source: the batches that length-grouped kernels get."""
+    return sequences(spark, sf_dir).groupBy(F.length("seq").cast("long").alias("len"), "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_distinct"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 20 AS INT) AS i, CAST(31 + o_orderkey % 20 AS INT) AS j, CAST(1 + o_custkey % 5 AS INT) AS k FROM orders) SELECT id, CAST(i + s AS INT) AS i, CAST(j - s AS INT) AS j FROM (SELECT *, unnest(range(0, k)) AS s FROM o)""")
+def helix_constraints(spark, sf_dir):
+    """Constraint rows (i, j, k) expanded to their k stacked pairs."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 20).cast("int").alias("i"), (31 + F.col("o_orderkey") % 20).cast("int").alias("j"), (1 + F.col("o_custkey") % 5).cast("int").alias("k"))
+    d = o.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return d.select("id", (F.col("i") + F.col("s")).alias("i"), (F.col("j") - F.col("s")).alias("j"))
+
+
+@query()
+def maximum_matching(spark, sf_dir):
+    return matching.maximum_matching(sequences(spark, sf_dir))
+
+
+def flagship(spark, sf_dir):
+    return sequence_statistics(spark, sf_dir)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
