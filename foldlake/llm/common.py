@@ -58,6 +58,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast where its counted rows are few; df is read for the count, so materialize it first."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def stream_groups(batches, keys: list[str]):
     """(key, rows) for each run of equal keys over sorted Arrow batches; rows are dicts. Runs may cross batches."""
     last, rows = None, []

@@ -32,12 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_words, lower_az, materialize, table
+from .common import byte_words, lower_az, materialize, small, table
 from .components import components
 
 HOT_COPIES = 64
 CROWD = 8
-BROADCAST_ROWS = 1_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _WORDS_KEPT = 500_000
@@ -158,11 +157,6 @@ def _sets(n: int):
     return run
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast where its counted rows are few."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _difference(sizes: Column, num: int, den: int) -> Column:
     return F.floor(sizes * (den - num) / (den + num))
 
@@ -207,7 +201,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     hot = d.filter("doc_id IS NOT NULL").select("doc_id", *key).groupBy("k1", "k2").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_copies)
     hot = materialize(hot.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "keeper"), "hot")
     d = d.withColumn("k1", key[0]).withColumn("k2", key[1])
-    d = d.join(_small(hot), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    d = d.join(small(hot), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
     d = d.select("doc_id", "text", F.when(F.col("keeper") != F.col("doc_id"), F.col("keeper")).alias("rep"))
     sketched = materialize(d.mapInArrow(_sketched(n, num, den), "doc_id long, rep long, n long, keys array<long>"), "sketches")
     posted = sketched.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
@@ -217,9 +211,9 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     other = few.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"))
     pairs = few.join(other, F.col("key") == F.col("key2")).filter("doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct()
     seen = materialize(met.groupBy("doc_id").agg(F.max("c").alias("c")), "seen")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(seen.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(seen.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n), "doc_id long, sketch array<long>, s array<long>"), "sets").withColumn("n", F.size("s"))
-    crowded = sets.join(_small(seen.filter(F.col("c") > crowd).select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
+    crowded = sets.join(small(seen.filter(F.col("c") > crowd).select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
     prefix = materialize(_prefixes(crowded, num, den), "prefixes")
     centre = prefix.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("m")).select(F.col("token").alias("t2"), F.col("m.i").alias("i2"), F.col("m.doc_id").alias("d2"), F.col("m.n").alias("n2"))
     star = prefix.join(centre, F.col("token") == F.col("t2")).filter((F.col("doc_id") != F.col("d2")) & _fits(num, den))

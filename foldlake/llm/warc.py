@@ -4,8 +4,9 @@ Writing: payloads are cut into segments of at most ``segment_bytes``; each is a
 and ``continuation`` records with WARC-Segment-Number), carries the digest of its block and the running digest of the
 payload so far, and is one row of a text table whose line separator is the blank line that WARC puts between records.
 ``records_per_file`` rows go to a file, so an archive has a bounded size. Reading: archives are parsed by
-Content-Length into rows (record_id, chunk_no, block); rows of a record meet sorted, and one pass carries its SHA-1
-from chunk to chunk, so neither side ever holds a set of records, nor the reader a whole one.
+Content-Length into rows (record_id, chunk_no, block). Records of one chunk are digested where they are read; only the
+chunks of longer ones are shuffled, meet sorted, and one pass carries their SHA-1 from chunk to chunk, so neither side
+ever holds a set of records, nor the reader a long one.
 
 Payload copies: of records with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id is the
 response; others are written as revisits without payload. The largest id comes from one aggregate by digest.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, scratch_path, stream_groups, table
+from .common import arrow_rows, materialize, scratch_path, small, table
 
 SEGMENT_BYTES = 64 * 1024
 RECORDS_PER_FILE = 256
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha"))
     copies = p.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    j = p.join(copies, "sha", "left")
+    j = p.join(small(materialize(copies, "copies")), "sha", "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     j = j.select("page_id", "url", F.when(refers.isNull(), F.col("html")).otherwise("").alias("html"), "size", "sha", refers.alias("refers"))
     j.mapInArrow(_written(segment_bytes), "value string").write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).text(path)
@@ -160,8 +161,11 @@ def _digested(batches):
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One verified row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    c = read_chunks(spark, path).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return c.mapInArrow(_digested, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    chunks = read_chunks(spark, path)
+    whole = (F.col("record_type") == "revisit") | (F.col("chunk_no") == 1) & (F.col("said_bytes") == F.octet_length("block"))
+    parts = chunks.filter(~whole).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return chunks.filter(whole).mapInArrow(_digested, out).unionByName(parts.mapInArrow(_digested, out))
 
 
 def op3_warc_chunks(spark, sf_dir):
