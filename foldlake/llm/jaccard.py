@@ -219,7 +219,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     star = prefix.join(centre, F.col("token") == F.col("t2")).filter((F.col("doc_id") != F.col("d2")) & _fits(num, den))
     star = star.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     first = materialize(_verified(pairs.unionByName(star).distinct(), sets, num, den), "links")
-    copies = sketched.filter("rep IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = sketched.filter("rep IS NOT NULL AND n > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if prefix.isEmpty():
         return sketched.select("doc_id", "n"), first.unionByName(copies)
     group = components(first)
