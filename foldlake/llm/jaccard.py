@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles. In the s
 universe is dealt into D blocks and each block keeps the XOR of its shingles, so a shingle in one set only changes
 one block: the number of unequal blocks is at most the symmetric difference. A similarity of t bounds that difference
 by d = (1-t)/(1+t) * (|A|+|B|), so with D = d + 1 + spare blocks two similar sets agree on more than ``spare`` blocks.
-Blocks without a shingle are left out where no more than ``spare`` are empty (some other block must agree then) and
-kept otherwise. A document of size band q posts its blocks under bands q and q + 1; similar sizes differ by one band
+A document leaves out its blocks of fewest shingles, as long as they are no more than ``spare``: an agreeing block holds
+the same shingles on both sides, so the blocks that either side leaves out are those of the side that leaves out more,
+and another agreeing block stays. A document of size band q posts its blocks under bands q and q + 1; similar sizes differ by one band
 at most, so every pair meets.
 
 Blocks with few documents give their pairs directly. Documents of crowded blocks (large groups of copies, shared
@@ -92,7 +93,7 @@ class Bands:
         if band not in self.shapes:
             largest = math.ceil(math.exp(self.width * (band + 1))) + 1
             d = self.difference(2 * largest)
-            spare = (1 + (d + 1) // 16) if d else 0
+            spare = (1 + (d + 1) // 8) if d else 0
             self.shapes[band] = d + 1 + spare, spare
         return self.shapes[band]
 
@@ -106,7 +107,11 @@ class Bands:
             of = of[order]
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             values, present = np.bitwise_xor.reduceat(s[order], starts), of[starts]
-            if blocks - len(present) > spare:
+            counts, empty = np.diff(np.r_[starts, len(of)]), blocks - len(present)
+            if empty <= spare:
+                least = np.searchsorted(empty + np.cumsum(np.bincount(counts)), spare, side="right") - 1
+                values, present = values[counts > least], present[counts > least]
+            else:
                 every = np.zeros(blocks, np.uint64)
                 every[present.astype(np.int64)] = values
                 values, present = every, np.arange(blocks, dtype=np.uint64)
