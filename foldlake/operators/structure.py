@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def positions(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
-    """key, i, c, height (open pairs after i), level (of the pair or loop that i belongs to)."""
-    p = df.select(key, F.posexplode(F.filter(F.split(structure, ""), lambda c: c != "")).alias("i", "c")).withColumn("i", F.col("i") + 1)
+def positions(df: DataFrame, key: str = "doc_id", structure: str = "structure", carry: tuple = ()) -> DataFrame:
+    """key, i, c, height (open pairs after i), level (of the pair or loop that i belongs to), and the columns to carry."""
+    p = df.select(key, *carry, F.posexplode(F.filter(F.split(structure, ""), lambda c: c != "")).alias("i", "c")).withColumn("i", F.col("i") + 1)
     turn = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
     p = p.withColumn("height", F.sum(turn).over(W.partitionBy(key).orderBy("i")))
     return p.withColumn("level", F.col("height") + F.when(F.col("c") == ")", 1).otherwise(0))
@@ -53,6 +53,13 @@ def pair_distance(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFra
     return df.select(key).join(one, F.col(key) == F.col("k"), "left").select(key, F.coalesce("n", F.lit(0)).alias("distance"))
 
 
+def mountain_distance(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
+    """key, distance: sum over the positions of the first structure of the absolute difference of heights."""
+    short = df.withColumn("__b", F.substring(F.col(b), F.lit(1), F.length(a)))
+    both = positions(df, key, a).select(key, "i", "height").unionByName(positions(short, key, "__b").select(key, "i", (-F.col("height")).alias("height")))
+    return both.groupBy(key, "i").agg(F.abs(F.sum("height")).alias("d")).groupBy(key).agg(F.sum("d").alias("distance"))
+
+
 def connect_table(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
     """Rows of a connect table: key, i, base, before, after (0 at the end), partner."""
     t = pair_table(df, key, structure)
