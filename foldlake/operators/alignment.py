@@ -43,3 +43,16 @@ def pair_support(aln: DataFrame, width: int, span: int = 4) -> DataFrame:
     t = rows.select("aln", "x.i", "x.j", pair_type(F.substring("s", F.col("x.i"), F.lit(1)), F.substring("s", F.col("x.j"), F.lit(1))).alias("t"))
     c = t.groupBy("aln", "i", "j", "t").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("aln", "i", "j").agg(F.sum("n").alias("n_seq"), F.sum(F.when(F.col("t") > 0, F.col("n")).otherwise(0)).alias("compatible"), F.sum((F.col("t") > 0).cast("int")).alias("types"))
+
+
+def most_informative(aln: DataFrame, width: int) -> DataFrame:
+    """aln, mis: per column the IUPAC letter of all bases at least as frequent there as in the whole alignment, lower
+    case where gaps are more frequent than in the whole alignment; '-' where no base is."""
+    c = column_counts(aln, width).groupBy("aln", "i").agg(*[F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in "ACGU-"])
+    every = W.partitionBy("aln")
+    bit = lambda b, v: F.when(F.col(b) * width >= F.sum(b).over(every), v).otherwise(0)
+    code = bit("A", 1) + bit("C", 2) + bit("G", 4) + bit("U", 8)
+    # IUPAC letters by the set of A (1), C (2), G (4), U (8).
+    letter = F.substring(F.lit("-ACMGRSVUWYHKDBN"), code + 1, F.lit(1))
+    cased = F.when(F.col("`-`") * width > F.sum("`-`").over(every), F.lower(letter)).otherwise(letter)
+    return c.select("aln", "i", cased.alias("x")).groupBy("aln").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]), "").alias("mis"))

@@ -167,6 +167,18 @@ def alignment_pair_support(spark, sf_dir):
     return alignment.pair_support(alignment_rows(spark, sf_dir, 20), 20)
 
 
+_FREQUENT = " + ".join(f"CASE WHEN sum((base = '{b}')::INT) * 40 >= any_value(all_{b.lower()}) THEN {1 << k} ELSE 0 END" for k, b in enumerate("ACGU"))
+
+
+@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
+x AS (SELECT aln, i, substr(s, i, 1) AS base FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a)),
+t AS (SELECT aln AS ta, sum((base = 'A')::INT) AS all_a, sum((base = 'C')::INT) AS all_c, sum((base = 'G')::INT) AS all_g, sum((base = 'U')::INT) AS all_u, sum((base = '-')::INT) AS all_gap FROM x GROUP BY aln),
+l AS (SELECT aln, i, substr('-ACMGRSVUWYHKDBN', CAST({_FREQUENT} AS INT) + 1, 1) AS letter, sum((base = '-')::INT) * 40 > any_value(all_gap) AS gaps FROM x JOIN t ON aln = ta GROUP BY aln, i)
+SELECT aln, string_agg(CASE WHEN gaps THEN lower(letter) ELSE letter END, '' ORDER BY i) AS mis FROM l GROUP BY aln""")
+def alignment_most_informative(spark, sf_dir):
+    return alignment.most_informative(alignment_rows(spark, sf_dir, 40), 40)
+
+
 _R = "CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value / 100 END"
 
 
