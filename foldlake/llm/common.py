@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,6 +59,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() once all that was made of it is written."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not re.search(r"/\w+-[0-9a-f]{32}$", path):
+            raise ValueError(f"not a table of materialize(): {path}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, marked for broadcast where its counted rows are few; df is read for the count, so materialize it first."""
     return F.broadcast(df) if df.count() <= most else df

@@ -3,14 +3,15 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. In the sketch of a size band the shingle
 universe is dealt into D blocks and each block keeps the XOR of its shingles, so a shingle in one set only changes
 one block: the number of unequal blocks is at most the symmetric difference. A similarity of t bounds that difference
-by d = (1-t)/(1+t) * (|A|+|B|), so with D = d + 1 + spare blocks two similar sets agree on more than ``spare`` blocks.
-A document leaves out its blocks of fewest shingles, as long as they are no more than ``spare``: an agreeing block holds
-the same shingles on both sides, so the blocks that either side leaves out are those of the side that leaves out more,
-and another agreeing block stays. A document of size band q posts its blocks under bands q and q + 1; similar sizes differ by one band
-at most, so every pair meets.
-
-Blocks with few documents give their pairs directly. Documents of crowded blocks (large groups of copies, shared
-passages) are paired by the prefixes of their sets instead: rare shingles first, each pair needs a common shingle
+by d = (1-t)/(1+t) * (|A|+|B|), so with D = d + 1 + spare + room blocks two similar sets agree on more than
+``spare + room`` blocks. A document leaves out its blocks of fewest shingles, as long as they are no more than ``spare``:
+an agreeing block holds the same shingles on both sides, so the blocks that either side leaves out are those of the side
+that leaves out more, and more than ``room`` agreeing blocks stay. A document of size band q posts its blocks under bands
+q and q + 1; similar sizes differ by one band at most, so every pair meets.
+
+Blocks with few documents give their pairs directly. A document with no more than ``room`` crowded blocks in either band
+(most that share a passage with many others) meets each of its partners in one of these. Documents with more of them
+(large groups of copies) are paired by the prefixes of their sets too: rare shingles first, each pair needs a common shingle
 among the first (1-t)|A| + 1, with at most d shingles before it on the two sides together. There each shingle first
 links its documents to one central document, links are verified and joined into components, and only pairs across
 components remain to be tried. All candidate pairs are verified on the whole sets.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_words, lower_az, materialize, small, table
+from .common import byte_words, discard, lower_az, materialize, small, table
 from .components import components
 
 HOT_COPIES = 64
@@ -88,20 +89,24 @@ class Bands:
         """Largest symmetric difference of two linked sets whose sizes add up to ``sizes``."""
         return sizes * (self.den - self.num) // (self.den + self.num)
 
-    def shape(self, band: int) -> tuple[int, int]:
-        """(blocks, spare blocks) of the sketches of a band."""
+    def shape(self, band: int) -> tuple[int, int, int]:
+        """(blocks, spare blocks, crowded blocks that a document may have) of the sketches of a band."""
         if band not in self.shapes:
             largest = math.ceil(math.exp(self.width * (band + 1))) + 1
             d = self.difference(2 * largest)
-            spare = (1 + (d + 1) // 8) if d else 0
-            self.shapes[band] = d + 1 + spare, spare
+            spare, room = (1 + (d + 1) // 8, 1 + (d + 1) // 16) if d else (0, 0)
+            self.shapes[band] = d + 1 + spare + room, spare, room
         return self.shapes[band]
 
+    def room(self, size: int) -> int:
+        """Crowded blocks that leave a set of this size another agreeing block in both of its bands."""
+        return min(self.shape(self.band(size) + i)[2] for i in (0, 1))
+
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of (band, block, XOR) for the two bands of a non-empty set."""
+        """Hashes of (band, block, XOR) for the two bands of a non-empty set; the lowest bit tells the bands apart."""
         out = []
         for q in (self.band(len(s)), self.band(len(s)) + 1):
-            blocks, spare = self.shape(q)
+            blocks, spare, _ = self.shape(q)
             of = (s >> np.uint64(7)) % np.uint64(blocks)
             order = np.argsort(of, kind="stable")
             of = of[order]
@@ -115,7 +120,8 @@ class Bands:
                 every = np.zeros(blocks, np.uint64)
                 every[present.astype(np.int64)] = values
                 values, present = every, np.arange(blocks, dtype=np.uint64)
-            out.append(mixed(mixed(values) + (np.uint64(q) * np.uint64(1 << 40) + present) * _MULTIPLY))
+            key = mixed(mixed(values) + (np.uint64(q) * np.uint64(1 << 40) + present) * _MULTIPLY)
+            out.append(key >> np.uint64(1) << np.uint64(1) | np.uint64(q & 1))
         return np.concatenate(out)
 
 
@@ -123,16 +129,17 @@ def _sketched(n: int, num: int, den: int):
     def run(batches):
         hashes, bands = WordHashes(), Bands(num, den)
         for b in batches:
-            sizes, values, ends = [], [], [0]
+            sizes, rooms, values, ends = [], [], [], [0]
             for t, rep in zip(b.column(1), b.column(2).to_pylist()):
                 s = shingle_set(byte_words(t.as_py()), n, hashes)
                 sizes.append(len(s))
+                rooms.append(bands.room(len(s)) if len(s) else 0)
                 if len(s) and rep is None:
                     values.append(bands.keys(s))
                 ends.append(ends[-1] + (len(values[-1]) if len(s) and rep is None else 0))
             flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), keys], ["doc_id", "rep", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(rooms, pa.int64()), keys], ["doc_id", "rep", "n", "room", "keys"])
 
     return run
 
@@ -182,12 +189,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n, i): the shared tokens among the first of each set, rarest first; i tokens stand before."""
+    """(token, doc_id, n, i): the shared tokens among the first of each set, rarest first; i tokens stand before,
+those of one document only (which need no row) included."""
     t = sets.select("doc_id", F.xxhash64("s").alias("set"), "n", F.explode("s").alias("token"))
     df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("token", "d_token")
-    t = t.join(df, F.col("token") == F.col("d_token")).drop("d_token")
-    t = t.withColumn("i", F.row_number().over(W.partitionBy("doc_id", "set").orderBy("df", "token")) - 1)
-    return t.filter((F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den)) & (F.col("df") > 1)).select("token", "doc_id", "n", "i").distinct()
+    t = t.join(df.filter("df > 1"), F.col("token") == F.col("d_token")).drop("d_token")
+    own = W.partitionBy("doc_id", "set")
+    t = t.withColumn("r", F.dense_rank().over(own.orderBy("df", "token")))  # rows of one document may repeat
+    t = t.withColumn("i", F.col("n") - F.max("r").over(own) + F.col("r") - 1)
+    return t.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den)).select("token", "doc_id", "n", "i").distinct()
 
 
 def _fits(num: int, den: int) -> Column:
@@ -208,25 +218,32 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     d = d.withColumn("k1", key[0]).withColumn("k2", key[1])
     d = d.join(small(hot), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
     d = d.select("doc_id", "text", F.when(F.col("keeper") != F.col("doc_id"), F.col("keeper")).alias("rep"))
-    sketched = materialize(d.mapInArrow(_sketched(n, num, den), "doc_id long, rep long, n long, keys array<long>"), "sketches")
-    posted = sketched.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
+    sketched = materialize(d.mapInArrow(_sketched(n, num, den), "doc_id long, rep long, n long, room long, keys array<long>"), "sketches")
+    sizes = materialize(sketched.select("doc_id", "rep", "n"), "sizes")
+    posted = sketched.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", "room")
     met = posted.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
     met = materialize(met, "met")
+    discard(sketched)
     few = met.filter(F.col("c") <= crowd).select("key", "doc_id")
     other = few.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"))
     pairs = few.join(other, F.col("key") == F.col("key2")).filter("doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct()
-    seen = materialize(met.groupBy("doc_id").agg(F.max("c").alias("c")), "seen")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(seen.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
+    pairs = materialize(pairs, "pairs")
+    many = met.filter(F.col("c") > crowd).groupBy("doc_id", F.col("key").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("c"), F.min("room").alias("room"))
+    many = materialize(many.filter("c > room").select(F.col("doc_id").alias("id")).distinct(), "crowded")
+    discard(met)
+    tried = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many).distinct()
+    tried = materialize(tried, "tried")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(tried), F.col("doc_id") == F.col("id"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n), "doc_id long, sketch array<long>, s array<long>"), "sets").withColumn("n", F.size("s"))
-    crowded = sets.join(small(seen.filter(F.col("c") > crowd).select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
+    crowded = sets.join(small(many), F.col("doc_id") == F.col("id"), "left_semi")
     prefix = materialize(_prefixes(crowded, num, den), "prefixes")
     centre = prefix.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("m")).select(F.col("token").alias("t2"), F.col("m.i").alias("i2"), F.col("m.doc_id").alias("d2"), F.col("m.n").alias("n2"))
     star = prefix.join(centre, F.col("token") == F.col("t2")).filter((F.col("doc_id") != F.col("d2")) & _fits(num, den))
     star = star.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     first = materialize(_verified(pairs.unionByName(star).distinct(), sets, num, den), "links")
-    copies = sketched.filter("rep IS NOT NULL AND n > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = sizes.filter("rep IS NOT NULL AND n > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if prefix.isEmpty():
-        return sketched.select("doc_id", "n"), first.unionByName(copies)
+        return sizes.select("doc_id", "n"), first.unionByName(copies)
     group = components(first)
     p = prefix.join(group, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "i", F.coalesce("component", "doc_id").alias("g"))
     p = materialize(p, "grouped")
@@ -236,7 +253,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     rest = p.join(q, F.col("token") == F.col("t2")).filter((F.col("g") < F.col("g2")) & _fits(num, den))
     rest = rest.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     second = materialize(_verified(rest, sets, num, den), "links")
-    return sketched.select("doc_id", "n"), first.unionByName(second).unionByName(copies)
+    return sizes.select("doc_id", "n"), first.unionByName(second).unionByName(copies)
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
