@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_words, discard, lower_az, materialize, small, table
+from .common import WORD, byte_words, discard, lower_az, materialize, small, table
 from .components import components
 
 HOT_COPIES = 64
@@ -42,6 +42,7 @@ CROWD = 8
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _WORDS_KEPT = 500_000
+_POSTS_HELD = 200_000
 SKETCH = 2048
 
 
@@ -125,21 +126,39 @@ class Bands:
         return np.concatenate(out)
 
 
-def _sketched(n: int, num: int, den: int):
+def _posts(n: int, num: int, den: int):
     def run(batches):
         hashes, bands = WordHashes(), Bands(num, den)
         for b in batches:
-            sizes, rooms, values, ends = [], [], [], [0]
-            for t, rep in zip(b.column(1), b.column(2).to_pylist()):
+            ids, rooms, values, held = [], [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingle_set(byte_words(t.as_py()), n, hashes)
-                sizes.append(len(s))
-                rooms.append(bands.room(len(s)) if len(s) else 0)
-                if len(s) and rep is None:
+                if len(s):
+                    ids.append(i)
+                    rooms.append(bands.room(len(s)))
                     values.append(bands.keys(s))
-                ends.append(ends[-1] + (len(values[-1]) if len(s) and rep is None else 0))
-            flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(rooms, pa.int64()), keys], ["doc_id", "rep", "n", "room", "keys"])
+                    held += len(values[-1])
+                if held > _POSTS_HELD:
+                    yield _rows(ids, rooms, values)
+                    ids, rooms, values, held = [], [], [], 0
+            if ids:
+                yield _rows(ids, rooms, values)
+
+    return run
+
+
+def _rows(ids: list[int], rooms: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    many = [len(v) for v in values]
+    columns = [np.concatenate(values).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(rooms, np.int64), many)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "room"])
+
+
+def _sizes(n: int):
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sizes = [len(shingle_set(byte_words(t.as_py()), n, hashes)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n"])
 
     return run
 
@@ -184,6 +203,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     apart = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = _both(pairs, sets, "sketch").filter(apart <= _difference(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
     near = materialize(near, "near")
+    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near_ids")
+    sets = sets.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
     both = F.size(F.array_intersect("x_a", "x_b"))
     return _both(near, sets, "s").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
@@ -212,18 +233,16 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     """(doc_id, n) of every row, and edges (a, b) that connect exactly what the links connect."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     low = lower_az(F.col("text"))
+    sizes = d.mapInArrow(_sizes(n), "doc_id long, n long")
     key = [F.xxhash64(low).alias("k1"), F.crc32(low.cast("binary")).alias("k2")]
     hot = d.filter("doc_id IS NOT NULL").select("doc_id", *key).groupBy("k1", "k2").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_copies)
     hot = materialize(hot.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "keeper"), "hot")
     d = d.withColumn("k1", key[0]).withColumn("k2", key[1])
     d = d.join(small(hot), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
     d = d.select("doc_id", "text", F.when(F.col("keeper") != F.col("doc_id"), F.col("keeper")).alias("rep"))
-    sketched = materialize(d.mapInArrow(_sketched(n, num, den), "doc_id long, rep long, n long, room long, keys array<long>"), "sketches")
-    sizes = materialize(sketched.select("doc_id", "rep", "n"), "sizes")
-    posted = sketched.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", "room")
+    posted = d.filter("doc_id IS NOT NULL AND rep IS NULL").select("doc_id", "text").mapInArrow(_posts(n, num, den), "key long, doc_id long, room long")
     met = posted.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
     met = materialize(met, "met")
-    discard(sketched)
     few = met.filter(F.col("c") <= crowd).select("key", "doc_id")
     other = few.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"))
     pairs = few.join(other, F.col("key") == F.col("key2")).filter("doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct()
@@ -241,9 +260,9 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     star = prefix.join(centre, F.col("token") == F.col("t2")).filter((F.col("doc_id") != F.col("d2")) & _fits(num, den))
     star = star.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     first = materialize(_verified(pairs.unionByName(star).distinct(), sets, num, den), "links")
-    copies = sizes.filter("rep IS NOT NULL AND n > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = d.filter(F.col("rep").isNotNull() & F.col("text").rlike(WORD)).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if prefix.isEmpty():
-        return sizes.select("doc_id", "n"), first.unionByName(copies)
+        return sizes, first.unionByName(copies)
     group = components(first)
     p = prefix.join(group, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "i", F.coalesce("component", "doc_id").alias("g"))
     p = materialize(p, "grouped")
@@ -253,7 +272,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     rest = p.join(q, F.col("token") == F.col("t2")).filter((F.col("g") < F.col("g2")) & _fits(num, den))
     rest = rest.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     second = materialize(_verified(rest, sets, num, den), "links")
-    return sizes.select("doc_id", "n"), first.unionByName(second).unionByName(copies)
+    return sizes, first.unionByName(second).unionByName(copies)
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -266,9 +285,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents without all but the smallest doc_id of each group; one row of repeated ids; null ids stay."""
-    gone = near_duplicates(docs, n, num, den).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left
+    gone = components(links(docs, n, num, den)[1]).filter("node <> component").select(F.col("node").alias("__gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op10_parity_sketch_join(spark, sf_dir):

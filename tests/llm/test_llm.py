@@ -219,6 +219,12 @@ def test_jaccard_join(spark, crowd, hot):
             for _ in range(rng.choice([0, 0, 1, 2, 4])):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((g * 20 + k, " ".join(own)))
+    passage = [rng.choice(words) for _ in range(60)]
+    for k in range(30):  # a passage in many texts, some of them near copies, and repeated rows
+        own = [f"{x}{k // 2}" for x in (rng.sample(words, 200) if k % 2 == 0 else own[60:])]
+        own = passage + [x.removesuffix(f"{k // 2}{k // 2}") if k % 2 else x for x in own]
+        rows.append((500 + k, " ".join(own)))
+    rows += rows[-3:] + rows[20:26]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
     sizes, edges = jaccard.links(d, 4, 85, 100, hot_copies=hot, crowd=crowd)
     comp = {r["node"]: r["component"] for r in jaccard.components(edges).collect()}
