@@ -15,9 +15,10 @@ PAIR_TYPES = {"CG": 1, "GC": 2, "GU": 3, "UG": 4, "AU": 5, "UA": 6}
 ENERGY_UNITS = {"J": 1.0, "kJ": 1000.0, "cal": 4.184, "kcal": 4184.0, "dcal": 41.84, "eV": 1.602176565e-19, "Wh": 3600.0, "kWh": 3.6e6}
 
 
-def from_text(text: Column, length: int = 60) -> Column:
-    """A sequence out of any text: its first letters a-z, mapped round-robin to A, C, G, U."""
-    return F.translate(F.substring(F.regexp_replace(F.lower(text), "[^a-z]", ""), 1, length), LETTERS, ("ACGU" * 7)[:26])
+def from_text(text: Column, length: int | None = 60) -> Column:
+    """A sequence out of any text: its first letters a-z (all of them where length is None), mapped round-robin to A, C, G, U."""
+    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
+    return F.translate(letters if length is None else F.substring(letters, 1, length), LETTERS, ("ACGU" * 7)[:26])
 
 
 def to_rna(seq: Column) -> Column:
@@ -50,9 +51,8 @@ def count_of(seq: Column, base: str) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     """Unequal positions of the common prefix length."""
-    n = F.least(F.length(a), F.length(b))
-    spots = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(spots, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    unequal = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != "") & (y != "") & (x != y))  # linear, unlike substring(i)
+    return F.size(F.filter(unequal, lambda u: u))
 
 
 def iupac_regex(motif: str) -> str:
@@ -61,9 +61,11 @@ def iupac_regex(motif: str) -> str:
 
 def motif_starts(seq: Column, motif: str) -> Column:
     """1-based starts of an IUPAC motif, overlapping ones included."""
-    last = F.length(seq) - len(motif) + 1
-    spots = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(spots, lambda i: F.substring(seq, i, F.lit(len(motif))).rlike(f"^{iupac_regex(motif)}$"))
+    spots = None
+    for k, c in enumerate(motif.upper()):
+        fits = F.transform(F.split(F.substring(seq, k + 1, 2**31 - 1), ""), lambda x: x.isin(*IUPAC[c]))  # noqa: B023
+        spots = fits if spots is None else F.zip_with(spots, fits, lambda x, y: x & y)
+    return F.filter(F.transform(spots, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
 
 
 def pair_type(a: Column, b: Column) -> Column:

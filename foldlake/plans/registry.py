@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,9 +19,23 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark, sf_dir):
+def sequences(spark, sf_dir, width=WIDTH):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "source", F.coalesce(fs.from_text(F.col("text"), WIDTH), F.lit("")).alias("seq"))
+    return d.select("doc_id", "lang", "source", F.coalesce(fs.from_text(F.col("text"), width), F.lit("")).alias("seq"))
+
+
+def pieces(spark, sf_dir):
+    """key (doc_id:piece) and seq: all letters of every text in consecutive pieces of WIDTH, from 0; one empty piece of a text without letters."""
+    s = sequences(spark, sf_dir, None)
+    cut = F.when(F.col("seq") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("seq", F.lit(f"(.{{1,{WIDTH}}})"), F.lit(1)))
+    p = s.select("doc_id", F.posexplode(cut).alias("piece", "seq"))
+    return p.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("piece").cast("string")).alias("key"), "seq")
+
+
+def _of_piece(key="key"):
+    """doc_id and piece out of the key of a piece."""
+    part = lambda n: F.split_part(key, F.lit(":"), F.lit(n))
+    return part(1).try_cast("long").alias("doc_id"), part(2).cast("int").alias("piece")
 
 
 def structures(spark, sf_dir):
@@ -36,6 +52,8 @@ def alignment_rows(spark, sf_dir, width):
 
 SEQ = r"seqs AS (SELECT doc_id, lang, source, coalesce(translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ACGUACGUACGUACGUACGUACGUAC'), '') AS seq FROM documents)"
 _LIST = "[" + ", ".join(f"'{s}'" for s in STRUCTURES) + "]"
+#: The same over whole texts.
+WHOLE_SEQ = SEQ.replace("substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60)", "regexp_replace(lower(text), '[^a-z]', '', 'g')")
 STR = SEQ + f""", str0 AS (SELECT doc_id, seq, {_LIST}[CAST(doc_id % 6 AS INT) + 1] AS structure, {_LIST}[CAST((doc_id + 1) % 6 AS INT) + 1] AS other FROM seqs),
 strs AS (SELECT doc_id, substr(seq, 1, length(structure)) AS seq, structure, other FROM str0 WHERE length(seq) >= length(structure))"""
 
@@ -52,54 +70,59 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, whole: bool = False):
+    """Registers a query with its SQL; with whole, also whole_ and its name: the same over all letters of the texts."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
+        if whole:
+            QUERIES[f"whole_{f.__name__}"] = partial(f, width=None)
+            ORACLES[f"whole_{f.__name__}"] = sql.replace(SEQ, WHOLE_SEQ)
         return f
 
     return add
 
 
 @query(f"""WITH {SEQ} SELECT lang, count(*) AS n_seq, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS BIGINT) AS n_gc,
-round(CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS DOUBLE) / CAST(sum(length(seq)) AS DOUBLE), 6) AS gc FROM seqs GROUP BY lang""")
-def sequence_statistics(spark, sf_dir):
-    s = sequences(spark, sf_dir).withColumn("n_gc", fs.count_of(F.col("seq"), "G") + fs.count_of(F.col("seq"), "C"))
+round(CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS DOUBLE) / CAST(sum(length(seq)) AS DOUBLE), 6) AS gc FROM seqs GROUP BY lang""", whole=True)
+def sequence_statistics(spark, sf_dir, width=WIDTH):
+    s = sequences(spark, sf_dir, width).withColumn("n_gc", fs.count_of(F.col("seq"), "G") + fs.count_of(F.col("seq"), "C"))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_seq"), F.sum(F.length("seq")).alias("n_bases"), F.sum("n_gc").alias("n_gc"), F.round(F.sum("n_gc").cast("double") / F.sum(F.length("seq")).cast("double"), 6).alias("gc"))
 
 
-@query(f"WITH {SEQ} SELECT doc_id, " + ", ".join(f"CAST(length(seq) - length(replace(seq, '{b}', '')) AS INT) AS n_{b.lower()}" for b in "ACGU") + " FROM seqs")
-def sequence_composition(spark, sf_dir):
-    return sequences(spark, sf_dir).select("doc_id", *[fs.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ACGU"])
+@query(f"WITH {SEQ} SELECT doc_id, " + ", ".join(f"CAST(length(seq) - length(replace(seq, '{b}', '')) AS INT) AS n_{b.lower()}" for b in "ACGU") + " FROM seqs", whole=True)
+def sequence_composition(spark, sf_dir, width=WIDTH):
+    return sequences(spark, sf_dir, width).select("doc_id", *[fs.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ACGU"])
 
 
-@query(f"WITH {SEQ} SELECT doc_id, translate(seq, 'ACGU', '1234') AS codes, seq AS decoded FROM seqs")
-def sequence_codes(spark, sf_dir):
+@query(f"WITH {SEQ} SELECT doc_id, translate(seq, 'ACGU', '1234') AS codes, seq AS decoded FROM seqs", whole=True)
+def sequence_codes(spark, sf_dir, width=WIDTH):
     c = fs.encoded(F.col("seq"))
-    return sequences(spark, sf_dir).select("doc_id", F.array_join(c.cast("array<string>"), "").alias("codes"), fs.decoded(c).alias("decoded"))
+    return sequences(spark, sf_dir, width).select("doc_id", F.array_join(c.cast("array<string>"), "").alias("codes"), fs.decoded(c).alias("decoded"))
 
 
 @query(f"""WITH {SEQ}, x AS (SELECT doc_id, replace(seq, 'U', 'T') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '&' END || CASE WHEN doc_id % 3 = 1 THEN reverse(seq) ELSE '' END AS s FROM seqs)
-SELECT doc_id, translate(s, 'Tt', 'Uu') AS rna, CAST(CASE WHEN strpos(s, '&') = 0 OR strpos(s, '&') = length(s) THEN -1 ELSE strpos(s, '&') END AS INT) AS cut, translate(replace(s, 'A', '-'), '-_~.', '') AS ungapped FROM x""")
-def sequence_strands(spark, sf_dir):
+SELECT doc_id, translate(s, 'Tt', 'Uu') AS rna, CAST(CASE WHEN strpos(s, '&') = 0 OR strpos(s, '&') = length(s) THEN -1 ELSE strpos(s, '&') END AS INT) AS cut, translate(replace(s, 'A', '-'), '-_~.', '') AS ungapped FROM x""", whole=True)
+def sequence_strands(spark, sf_dir, width=WIDTH):
     third = F.col("doc_id") % 3
     s = F.concat(F.replace("seq", F.lit("U"), F.lit("T")), F.when(third == 0, "").otherwise("&"), F.when(third == 1, F.reverse("seq")).otherwise(""))
-    x = sequences(spark, sf_dir).select("doc_id", s.alias("s"))
+    x = sequences(spark, sf_dir, width).select("doc_id", s.alias("s"))
     return x.select("doc_id", fs.to_rna(F.col("s")).alias("rna"), fs.cut_point(F.col("s")).alias("cut"), fs.ungapped(F.replace("s", F.lit("A"), F.lit("-"))).alias("ungapped"))
 
 
 @query(f"""WITH {SEQ}, x AS (SELECT doc_id, seq, lag(seq) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM seqs)
-SELECT doc_id, CAST(len(list_filter(range(1, least(length(seq), length(before)) + 1), lambda i: substr(seq, i, 1) <> substr(before, i, 1))) AS INT) AS distance FROM x WHERE before IS NOT NULL""")
-def hamming_consecutive(spark, sf_dir):
-    x = sequences(spark, sf_dir).withColumn("before", F.lag("seq").over(W.partitionBy("source").orderBy("doc_id"))).filter("before IS NOT NULL")
+SELECT doc_id, CAST(len(list_filter(range(1, least(length(seq), length(before)) + 1), lambda i: substr(seq, i, 1) <> substr(before, i, 1))) AS INT) AS distance FROM x WHERE before IS NOT NULL""", whole=True)
+def hamming_consecutive(spark, sf_dir, width=WIDTH):
+    x = sequences(spark, sf_dir, width).withColumn("before", F.lag("seq").over(W.partitionBy("source").orderBy("doc_id"))).filter("before IS NOT NULL")
     return x.select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
 
 
 @query(f"""WITH {SEQ}, x AS (SELECT doc_id, list_filter(range(1, length(seq) - 2), lambda i: regexp_matches(substr(seq, i, 4), '^[AG][CU][ACGU][GU]$')) AS spots FROM seqs)
-SELECT doc_id, CAST(len(spots) AS INT) AS n_sites, CAST(spots[1] AS INT) AS first_site FROM x""")
-def iupac_motif_sites(spark, sf_dir):
-    x = sequences(spark, sf_dir).select("doc_id", fs.motif_starts(F.col("seq"), "RYNK").alias("at"))
+SELECT doc_id, CAST(len(spots) AS INT) AS n_sites, CAST(spots[1] AS INT) AS first_site FROM x""", whole=True)
+def iupac_motif_sites(spark, sf_dir, width=WIDTH):
+    x = sequences(spark, sf_dir, width).select("doc_id", fs.motif_starts(F.col("seq"), "RYNK").alias("at"))
     return x.select("doc_id", F.size("at").alias("n_sites"), F.get("at", F.lit(0)).alias("first_site"))
 
 
@@ -258,10 +281,10 @@ def melting_curve(spark, sf_dir):
     return x.select("user_id", "event_id", "t", F.round(-(F.col("t") + 273.15) * F.col("s") / 7, 6).alias("heat_capacity"))
 
 
-@query(f"""WITH {SEQ} SELECT length(seq) AS len, source, count(*) AS n, count(DISTINCT seq) AS n_distinct FROM seqs GROUP BY length(seq), source""")
-def length_batches(spark, sf_dir):
+@query(f"""WITH {SEQ} SELECT length(seq) AS len, source, count(*) AS n, count(DISTINCT seq) AS n_distinct FROM seqs GROUP BY length(seq), source""", whole=True)
+def length_batches(spark, sf_dir, width=WIDTH):
     """Sequences and distinct sequences of each length and source: the batches that length-grouped kernels get."""
-    return sequences(spark, sf_dir).groupBy(F.length("seq").cast("long").alias("len"), "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_distinct"))
+    return sequences(spark, sf_dir, width).groupBy(F.length("seq").cast("long").alias("len"), "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_distinct"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 20 AS INT) AS i, CAST(31 + o_orderkey % 20 AS INT) AS j, CAST(1 + o_custkey % 5 AS INT) AS k FROM orders) SELECT id, CAST(i + s AS INT) AS i, CAST(j - s AS INT) AS j FROM (SELECT *, unnest(range(0, k)) AS s FROM o)""")
@@ -274,7 +297,8 @@ def helix_constraints(spark, sf_dir):
 
 @query()
 def maximum_matching(spark, sf_dir):
-    return matching.maximum_matching(sequences(spark, sf_dir))
+    """Most pairs of each piece of every text; no pair joins two pieces."""
+    return matching.maximum_matching(pieces(spark, sf_dir), "key").select(*_of_piece(), "n_pairs")
 
 
 def _list_sql(values) -> str:
@@ -313,15 +337,18 @@ def mountain_distance(spark, sf_dir):
 
 @query()
 def fold(spark, sf_dir):
-    f = folding.fold(sequences(spark, sf_dir))
-    return f.select("doc_id", "structure", "mfe", F.round("free_energy", 4).alias("free_energy"), F.round("frequency", 6).alias("frequency"))
+    """Best structure of each piece of every text; no pair joins two pieces."""
+    f = folding.fold(pieces(spark, sf_dir), "key")
+    return f.select(*_of_piece(), "structure", "mfe", F.round("free_energy", 4).alias("free_energy"), F.round("frequency", 6).alias("frequency"))
 
 
 @query()
 def sampled_pairs(spark, sf_dir):
-    """Pair frequencies over ten sampled structures of every sequence."""
-    s = folding.sampled_structures(sequences(spark, sf_dir), 10).select(F.struct("doc_id", "sample").alias("id"), "structure")
-    return structure.pairs(s, "id").groupBy(F.col("id.doc_id").alias("doc_id"), "i", "j").agg((F.count(F.lit(1)) / 10).alias("frequency"))
+    """Pair frequencies over ten sampled structures of each piece of every text, at positions of the text; no pair joins two pieces."""
+    s = folding.sampled_structures(pieces(spark, sf_dir), 10, key="key").select(F.struct("key", "sample").alias("id"), "structure")
+    p = structure.pairs(s, "id").groupBy("id.key", "i", "j").agg((F.count(F.lit(1)) / 10).alias("frequency"))
+    p = p.select(*_of_piece(), "i", "j", "frequency")
+    return p.select("doc_id", *[(F.col(x) + F.col("piece") * WIDTH).alias(x) for x in "ij"], "frequency")
 
 
 def flagship(spark, sf_dir):

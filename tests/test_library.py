@@ -66,3 +66,19 @@ def test_fasta_and_commands(spark, tmp_path):
     c = fasta.parse_commands(spark.createDataFrame([("P 1-2 8",), ("F 3 9 2",), ("junk",)], "value string"))
     assert sorted(map(tuple, c.select("command", "i", "j").collect())) == [("F", 3, 9), ("P", 1, 8), ("P", 2, 8)]
     assert sorted(map(tuple, fasta.stacked_pairs(c.filter("command = 'F'")).collect())) == [("F", 3, 9), ("F", 4, 8)]
+
+
+def test_folding_queries_cover_whole_texts(spark, tmp_path):
+    texts = {1: "gggg aaaa bbbb" * 12, 2: "Acg!", 3: "", 4: None, None: "ab" * 35}
+    spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    code = dict(zip(fs.LETTERS, "ACGU" * 7))
+    whole = {i: "".join(code[c] for c in (t or "").lower() if c in code) for i, t in texts.items()}
+    cut = {(i, k): s[60 * k : 60 * k + 60] for i, s in whole.items() for k in range(max(1, -(-len(s) // 60)))}
+    got = {(r["doc_id"], r["piece"]): r["n_pairs"] for r in registry.maximum_matching(spark, str(tmp_path)).collect()}
+    assert got == {k: brute_matching(s) for k, s in cut.items()}
+    rows = registry.fold(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], len(r["structure"])) for r in rows) == sorted((str(i), k, len(s)) for (i, k), s in cut.items())
+    pairs = registry.sampled_pairs(spark, str(tmp_path)).collect()
+    assert max(r["j"] for r in pairs) > 60 and all((r["i"] - 1) // 60 == (r["j"] - 1) // 60 and whole[r["doc_id"]][r["i"] - 1] + whole[r["doc_id"]][r["j"] - 1] in fs.PAIR_TYPES for r in pairs)
+    n = {r["doc_id"]: sum(r[f"n_{b}"] for b in "acgu") for r in registry.queries()["whole_sequence_composition"](spark, str(tmp_path)).collect()}
+    assert n == {i: len(s) for i, s in whole.items()}
