@@ -3,9 +3,10 @@
 Legal: an optional system message, then user and assistant in turn, user first, assistant last. A dynamic programme
 over the automaton's states chooses, turn by turn, to keep the role, relabel the turn, merge it into the message
 before, or insert an empty message, at least cost. The programme is a product of small (min, +) matrices, so a
-conversation of any length is cut into chunks of turns: chunks give their matrices in parallel, one short pass per
-conversation over the matrices fixes each chunk's entry and exit state, and chunks then trace their own best path and
-render their pieces. The conversation is the concatenation of its pieces in (chunk, piece) order.
+conversation of any length is cut into chunks of a bounded number of rows, whatever its turn numbers are: chunks give
+their matrices in parallel, one short pass per conversation over the matrices fixes each chunk's entry and exit state,
+and chunks then trace their own best path and render their pieces. The conversation is the concatenation of its pieces
+in (chunk, piece) order. Rows of conversations of more than one chunk are numbered by ranges of one sort over all of them.
 
 Defined results: turns are ordered by turn (null last), then role and text, so ties and repeated rows have one order;
 a null text is empty; an unknown or null role can only be relabelled or merged; a null conv_id is one conversation;
@@ -16,9 +17,10 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stream_groups, table
+from .common import arrow_rows, materialize, small, stream_groups, table
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -115,21 +117,31 @@ def _matrices(batches):
 def _states(batches):
     schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("cost", pa.int64())])
 
-    def rows():
-        for (conv,), chunks in stream_groups(batches, ["conv_id"]):
-            costs, backs = [0, FAR, FAR, FAR], []
-            for c in chunks:
+    def placed(conv, chunks, costs, backs):
+        total, state = min((x, s) for s, x in enumerate(closing(costs)))
+        out = bytearray([state])
+        for back in reversed(backs):
+            out.append(back[out[-1]])
+        out.reverse()
+        for k, chunk in enumerate(chunks):
+            yield (conv, chunk, out[k], out[k + 1], k + 1 == len(chunks), total), 60
+
+    def rows():  # keeps four bytes and a number of each chunk of a conversation
+        conv, chunks, costs, backs = None, [], [], []
+        for batch in batches:
+            for c in batch.to_pylist():
+                if chunks and c["conv_id"] != conv:
+                    yield from placed(conv, chunks, costs, backs)
+                    chunks = []
+                if not chunks:
+                    conv, costs, backs = c["conv_id"], [0, FAR, FAR, FAR], []
                 m = c["costs"]
                 best = [min((costs[a] + m[4 * a + b], a) for a in range(4)) for b in range(4)]
                 costs = [min(x, FAR) for x, _ in best]
-                backs.append([a for _, a in best])
-            total, state = min((x, s) for s, x in enumerate(closing(costs)))
-            out = []
-            for c, back in zip(reversed(chunks), reversed(backs)):
-                out.append((conv, c["chunk"], back[state], state, not out, total))
-                state = back[state]
-            for row in reversed(out):
-                yield row, 60
+                backs.append(bytes(a for _, a in best))
+                chunks.append(c["chunk"])
+        if chunks:
+            yield from placed(conv, chunks, costs, backs)
 
     yield from arrow_rows(rows(), schema)
 
@@ -162,11 +174,39 @@ def _pieces(batches):
     yield from arrow_rows(rows(), schema)
 
 
+def _order() -> list:
+    """Order of the rows of a conversation."""
+    return [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+
+
+def _chunked(t: DataFrame, chunk_turns: int) -> DataFrame:
+    """t with chunk: the number of the row in its conversation, divided by chunk_turns.
+
+    Only conversations of more rows than that are sorted: all together by ranges, which cut long conversations and equal
+    rows too, so that the number is the count of the ranges before and the place in the range.
+    """
+    long = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > chunk_turns)
+    long = materialize(long.select(F.col("conv_id").alias("l_conv"), F.lit(True).alias("long")), "long")
+    if long.isEmpty():
+        return t.withColumn("chunk", F.lit(0).cast("long"))
+    j = t.withColumn("salt", F.rand(1)).join(small(long), F.col("conv_id").eqNullSafe(F.col("l_conv")), "left").drop("l_conv")
+    order = [*_order(), F.col("salt")]
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = j.filter("long").repartitionByRange(n, F.col("conv_id"), *order).sortWithinPartitions("conv_id", *order)
+    r = materialize(r.select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "ranges")
+    s = r.groupBy(F.col("conv_id").alias("s_conv"), F.col("range").alias("s_range")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("s_conv").orderBy("s_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = materialize(s.select("s_conv", "s_range", (before - F.col("first")).alias("shift")), "starts")
+    r = r.join(small(s), F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("range") == F.col("s_range")))
+    r = r.select("conv_id", "turn", "role", "text", F.floor((F.col("at") + F.col("shift")) / chunk_turns).alias("chunk"))
+    return j.filter("long IS NULL").select("conv_id", "turn", "role", "text", F.lit(0).cast("long").alias("chunk")).unionByName(r)
+
+
 def repair(conversations: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """Pieces of the repaired and rendered conversations."""
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    t = t.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(2**62)))
-    order = [F.col("conv_id"), F.col("chunk"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    t = _chunked(t, chunk_turns)
+    order = ["conv_id", "chunk", *_order()]
     m = t.repartition("conv_id", "chunk").sortWithinPartitions(*order).select("conv_id", "chunk", "role").mapInArrow(_matrices, "conv_id long, chunk long, costs array<long>")
     s = m.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(_states, "conv_id long, chunk long, entry int, leave int, last boolean, cost long")
     s = s.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "entry", "leave", "last", "cost")

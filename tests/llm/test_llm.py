@@ -165,6 +165,24 @@ def test_role_repair_in_chunks(spark):
     assert chat.repair(d.limit(0)).count() == 0
 
 
+def test_role_repair_bounds_rows_of_a_chunk(spark):
+    rng = random.Random(6)
+    rows = [(None, k % 8, rng.choice(["user", "assistant", "tool", None]), rng.choice(["hi", "a", None])) for k in range(500)] + [(1, None, "user", "x")] * 120
+    rows += [(2, 10**6 * k, rng.choice(["user", "assistant"]), f"t{k}") for k in range(90)] + [(3, 0, "user", "short"), (3, 5000, "assistant", "end")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got, whole = (sorted(chat.repair(d, n).collect(), key=lambda r: (str(r["conv_id"]), r["chunk"], r["piece"])) for n in (16, 10**6))
+    held = collections.Counter((r["conv_id"], r["chunk"]) for r in got if r["action"] != "insert")
+    assert max(held.values()) == 16 and sum(held.values()) == len(rows)
+    assert {c: sorted(k for i, k in held if i == c) for c in (None, 1, 2, 3)} == {None: list(range(32)), 1: list(range(8)), 2: list(range(6)), 3: [0]}
+    key = lambda x: (x[1] is None, x[1] or 0, x[2] or "", x[3] or "")
+    for c in (None, 1, 2, 3):
+        own = sorted((r for r in rows if r[0] == c), key=key)
+        cost = brute_repair([r[2] for r in own])
+        assert {r["cost"] for r in got if r["conv_id"] == c} == {r["cost"] for r in whole if r["conv_id"] == c} == {cost}
+        assert [r["turn"] for r in got if r["conv_id"] == c and r["action"] != "insert"] == [r[1] for r in own]
+        assert "".join(r["rendered"] for r in got if r["conv_id"] == c).endswith("<|end|>\n")
+
+
 def test_extraction():
     page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class=cookie-notice><p>We use cookies on this site, please accept them all.</p></div><article><h1>Head</h1><p>First  paragraph &amp; more words, long enough for a reader.<p>Second<br>line</p><form><label>Name</label></form></article><div id=comments><p>I really like this article, thanks for writing it down.</p></div><footer>&copy; x</footer>"
     assert html_cut.extract(page) == "Head\n\nFirst paragraph & more words, long enough for a reader.\n\nSecond line"
