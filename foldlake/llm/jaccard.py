@@ -284,9 +284,21 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents without all but the smallest doc_id of each group; one row of repeated ids; null ids stay."""
+    """The documents without all but the smallest doc_id of each group; one row of repeated ids; null ids stay.
+
+    The row of a repeated id is one with a text where there is any, and otherwise picked by a hash of its columns.
+    """
     gone = components(links(docs, n, num, den)[1]).filter("node <> component").select(F.col("node").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1")
+    again = materialize(again.select("__again"), "again")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(row, F.struct(F.col("text").isNull(), F.md5(F.to_json(row))))
+    one = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(first.alias("__row"))
+    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(one.select("__row.*"))
 
 
 def op10_parity_sketch_join(spark, sf_dir):

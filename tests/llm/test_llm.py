@@ -250,6 +250,28 @@ def test_jaccard_join(spark, crowd, hot):
     assert sizes.count() == len(rows)
 
 
+def test_near_duplicates_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(None, "a b c"), (None, "a b c"), (900, None), (901, ""), (902, "a b c"), (902, "a b c"), (903, None), (903, "x y z"), (904, None), (904, None)]
+    for g in range(8):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 90]))]
+        for k in range(6):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows += [(g * 10 + k, " ".join(own))] * rng.choice([1, 1, 3])
+    d = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, d, SF)
+    group = brute_components(rows, 5, 4, 5)
+    want = {i for i in group if group[i] == i}
+    got = [tuple(r) for r in out.select("doc_id", "text").collect()]
+    assert out.columns == d.columns and len(want) < len(group)
+    assert collections.Counter(i for i, _ in got) == collections.Counter([*want, None, None]) and set(got) <= set(rows) and (903, "x y z") in got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
