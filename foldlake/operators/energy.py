@@ -53,10 +53,10 @@ def loops(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str =
     Each pair goes to its own loop and to the loop around it, which is that of the last pair opened one level up.
     Structures without pairs have no rows.
     """
-    t = positions(df, key, structure, (seq,))
+    t = positions(df, key, structure, seq)
     w = W.partitionBy(key, "level", F.col("c") != ".").orderBy("i")
-    t = t.withColumn("j", F.lead("i").over(w)).filter("c = '('")
-    kind = pair_type(F.substring(seq, F.col("i"), F.lit(1)), F.substring(seq, F.col("j"), F.lit(1)))
+    t = t.withColumn("j", F.lead("i").over(w)).withColumn("other", F.lead("base").over(w)).filter("c = '('")
+    kind = pair_type(F.col("base"), F.col("other"))
     t = t.select(key, "i", "j", "level", F.when(kind == 0, 7).otherwise(kind).alias("type"))
     sides = F.array(F.struct(F.col("level").alias("slot"), F.lit(True).alias("own")), F.struct((F.col("level") - 1).alias("slot"), F.lit(False).alias("own")))
     t = t.select(key, "i", "j", "type", F.explode(sides).alias("s")).select(key, "i", "j", "type", "s.*")

@@ -5,14 +5,22 @@ Positions are 1-based. All windows are partitioned by the structure (or finer),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def positions(df: DataFrame, key: str = "doc_id", structure: str = "structure", carry: tuple = ()) -> DataFrame:
-    """key, i, c, height (open pairs after i), level (of the pair or loop that i belongs to), and the columns to carry."""
-    p = df.select(key, *carry, F.posexplode(F.filter(F.split(structure, ""), lambda c: c != "")).alias("i", "c")).withColumn("i", F.col("i") + 1)
+def _chars(text) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def positions(df: DataFrame, key: str = "doc_id", structure: str = "structure", seq: str | None = None) -> DataFrame:
+    """key, i, c, height (open pairs after i), level (of the pair or loop that i belongs to), and with seq the base at i."""
+    p = df.select(key, F.posexplode(_chars(structure)).alias("i", "c"))
+    if seq:
+        both = F.zip_with(_chars(structure), _chars(F.coalesce(F.col(seq), F.lit(""))), lambda c, b: F.struct(c.alias("c"), b.alias("base")))
+        p = df.select(key, F.posexplode(both).alias("i", "x")).select(key, "i", "x.*").filter("c IS NOT NULL")
+    p = p.withColumn("i", F.col("i") + 1)
     turn = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
     p = p.withColumn("height", F.sum(turn).over(W.partitionBy(key).orderBy("i")))
     return p.withColumn("level", F.col("height") + F.when(F.col("c") == ")", 1).otherwise(0))
@@ -70,11 +78,13 @@ def connect_table(df: DataFrame, key: str = "doc_id", seq: str = "seq", structur
 
 def from_pairs(p: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, structure from pair rows and (key, n)."""
-    ends = p.groupBy(F.col(key).alias("k")).agg(F.collect_set("i").alias("open"), F.collect_set("j").alias("close"))
-    none = F.array().cast("array<int>")
-    j = lengths.join(ends, F.col(key) == F.col("k"), "left")
-    sign = lambda i: F.when(F.array_contains(F.coalesce("open", none), i), "(").when(F.array_contains(F.coalesce("close", none), i), ")").otherwise(".")
-    return j.select(key, F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), sign), "").alias("structure"))
+    ends = F.explode(F.array(F.struct(F.col("i").alias("at"), F.lit("(").alias("c")), F.struct(F.col("j").alias("at"), F.lit(")").alias("c"))))
+    marks = p.select(F.col(key).alias("k"), ends.alias("e")).groupBy("k").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    marks = marks.withColumn("before", F.concat(F.array(F.lit(0)), F.slice(F.transform("e", lambda x: x["at"]), F.lit(1), F.size("e") - 1)))
+    parts = F.zip_with("e", "before", lambda x, y: F.concat(F.repeat(F.lit("."), x["at"] - y - 1), x["c"]))
+    marks = marks.select("k", F.array_join(parts, "").alias("s"))
+    j = lengths.join(marks, F.col(key) == F.col("k"), "left")
+    return j.select(key, F.rpad(F.coalesce("s", F.lit("")), F.col("n"), F.lit(".")).alias("structure"))
 
 
 def ensemble(p: DataFrame, key: str = "id") -> DataFrame:

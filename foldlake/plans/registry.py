@@ -38,11 +38,18 @@ def _of_piece(key="key"):
     return part(1).try_cast("long").alias("doc_id"), part(2).cast("int").alias("piece")
 
 
-def structures(spark, sf_dir):
-    """doc_id, seq, structure and other: sequences long enough for the structure that doc_id picks, and the one after it."""
+def structures(spark, sf_dir, width=WIDTH):
+    """doc_id, seq, structure and other: sequences long enough for the structure that doc_id picks, and the one after it.
+
+    With width None every document has a row: both structures are repeated over its whole sequence and unpaired in the rest.
+    """
     n = len(STRUCTURES)
     pick = lambda k: F.element_at(F.array(*[F.lit(s) for s in STRUCTURES]), (F.pmod(F.col("doc_id") + k, F.lit(n)) + 1).cast("int"))
-    s = sequences(spark, sf_dir).select("doc_id", "seq", pick(0).alias("structure"), pick(1).alias("other"))
+    s = sequences(spark, sf_dir, width).select("doc_id", "seq", pick(0).alias("structure"), pick(1).alias("other"))
+    if width is None:
+        n_seq = F.length("seq")
+        tiled = lambda c: F.rpad(F.repeat(c, F.floor(n_seq / F.length(c)).cast("int")), n_seq, F.lit("."))
+        return s.select("doc_id", "seq", *[tiled(F.col(c)).alias(c) for c in ("structure", "other")])
     return s.filter(F.length("seq") >= F.length("structure")).withColumn("seq", F.substring("seq", F.lit(1), F.length("structure")))
 
 
@@ -57,6 +64,9 @@ WHOLE_SEQ = SEQ.replace("substr(regexp_replace(lower(text), '[^a-z]', '', 'g'),
 STR = SEQ + f""", str0 AS (SELECT doc_id, seq, {_LIST}[CAST(doc_id % 6 AS INT) + 1] AS structure, {_LIST}[CAST((doc_id + 1) % 6 AS INT) + 1] AS other FROM seqs),
 strs AS (SELECT doc_id, substr(seq, 1, length(structure)) AS seq, structure, other FROM str0 WHERE length(seq) >= length(structure))"""
 
+_TILED = ", ".join(f"repeat({{c}}, CAST(floor(length(seq) / length({{c}})) AS INT)) || repeat('.', CAST(length(seq) % length({{c}}) AS INT)) AS {{c}}".format(c=c) for c in ("structure", "other"))
+WHOLE_STR = STR[: STR.index("strs AS (")].replace(SEQ, WHOLE_SEQ) + f"strs AS (SELECT doc_id, seq, {_TILED} FROM str0)"
+
 
 def _pairs_sql(name: str, column: str) -> str:
     return f"""{name}_p AS (SELECT doc_id, CAST(i AS INT) AS i, substr({column}, i, 1) AS c FROM (SELECT doc_id, {column}, unnest(range(1, length({column}) + 1)) AS i FROM strs)),
@@ -66,6 +76,7 @@ def _pairs_sql(name: str, column: str) -> str:
 {name} AS (SELECT doc_id, i, partner AS j FROM {name}_t WHERE partner > i)"""
 
 
+LOOP_JOIN = "up AS (SELECT"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -79,7 +90,8 @@ def query(sql: str | None = None, whole: bool = False):
             ORACLES[f.__name__] = sql
         if whole:
             QUERIES[f"whole_{f.__name__}"] = partial(f, width=None)
-            ORACLES[f"whole_{f.__name__}"] = sql.replace(SEQ, WHOLE_SEQ)
+            if LOOP_JOIN not in sql:  # that join tries all pairs of pairs of a document
+                ORACLES[f"whole_{f.__name__}"] = sql.replace(STR, WHOLE_STR).replace(SEQ, WHOLE_SEQ)
         return f
 
     return add
@@ -126,43 +138,43 @@ def iupac_motif_sites(spark, sf_dir, width=WIDTH):
     return x.select("doc_id", F.size("at").alias("n_sites"), F.get("at", F.lit(0)).alias("first_site"))
 
 
-@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, partner FROM a_t")
-def pair_table(spark, sf_dir):
-    return structure.pair_table(structures(spark, sf_dir))
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, partner FROM a_t", whole=True)
+def pair_table(spark, sf_dir, width=WIDTH):
+    return structure.pair_table(structures(spark, sf_dir, width))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, o AS (SELECT *, sum((c = '(')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS opened FROM a_t)
-SELECT doc_id, i, CAST(CASE WHEN level = 0 THEN 0 ELSE max(CASE WHEN c = '(' THEN opened END) OVER (PARTITION BY doc_id, level ORDER BY i) END AS BIGINT) AS loop FROM o""")
-def loop_index(spark, sf_dir):
-    return structure.loop_index(structures(spark, sf_dir)).withColumn("loop", F.col("loop").cast("long"))
+SELECT doc_id, i, CAST(CASE WHEN level = 0 THEN 0 ELSE max(CASE WHEN c = '(' THEN opened END) OVER (PARTITION BY doc_id, level ORDER BY i) END AS BIGINT) AS loop FROM o""", whole=True)
+def loop_index(spark, sf_dir, width=WIDTH):
+    return structure.loop_index(structures(spark, sf_dir, width)).withColumn("loop", F.col("loop").cast("long"))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, i + j ORDER BY i) AS island FROM a)
-SELECT doc_id, min(i) AS start, max(j) AS "end", count(*) AS length FROM s GROUP BY doc_id, i + j, island""")
-def helix_list(spark, sf_dir):
-    return structure.helices(structures(spark, sf_dir))
+SELECT doc_id, min(i) AS start, max(j) AS "end", count(*) AS length FROM s GROUP BY doc_id, i + j, island""", whole=True)
+def helix_list(spark, sf_dir, width=WIDTH):
+    return structure.helices(structures(spark, sf_dir, width))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, d AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.i = b.i AND a.j = b.j WHERE a.doc_id IS NULL OR b.doc_id IS NULL),
-n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id) SELECT strs.doc_id, coalesce(n, 0) AS distance FROM strs LEFT JOIN n ON strs.doc_id = n.doc_id""")
-def base_pair_distance(spark, sf_dir):
-    return structure.pair_distance(structures(spark, sf_dir), "structure", "other")
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id) SELECT strs.doc_id, coalesce(n, 0) AS distance FROM strs LEFT JOIN n ON strs.doc_id = n.doc_id""", whole=True)
+def base_pair_distance(spark, sf_dir, width=WIDTH):
+    return structure.pair_distance(structures(spark, sf_dir, width), "structure", "other")
 
 
-@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, substr(s.seq, t.i, 1) AS base, t.i - 1 AS before, CASE WHEN t.i < length(s.structure) THEN t.i + 1 ELSE 0 END AS after, t.partner FROM a_t t JOIN strs s ON t.doc_id = s.doc_id""")
-def connect_table(spark, sf_dir):
-    return structure.connect_table(structures(spark, sf_dir))
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, substr(s.seq, t.i, 1) AS base, t.i - 1 AS before, CASE WHEN t.i < length(s.structure) THEN t.i + 1 ELSE 0 END AS after, t.partner FROM a_t t JOIN strs s ON t.doc_id = s.doc_id""", whole=True)
+def connect_table(spark, sf_dir, width=WIDTH):
+    return structure.connect_table(structures(spark, sf_dir, width))
 
 
-@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, height FROM a_t")
-def mountain_heights(spark, sf_dir):
-    return structure.positions(structures(spark, sf_dir)).select("doc_id", "i", F.col("height").cast("int").alias("height"))
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, height FROM a_t", whole=True)
+def mountain_heights(spark, sf_dir, width=WIDTH):
+    return structure.positions(structures(spark, sf_dir, width)).select("doc_id", "i", F.col("height").cast("int").alias("height"))
 
 
-@query(f"WITH {STR} SELECT doc_id, structure FROM strs")
-def structure_round_trip(spark, sf_dir):
+@query(f"WITH {STR} SELECT doc_id, structure FROM strs", whole=True)
+def structure_round_trip(spark, sf_dir, width=WIDTH):
     """Dot-bracket -> pair rows -> dot-bracket."""
-    s = structures(spark, sf_dir)
+    s = structures(spark, sf_dir, width)
     return structure.from_pairs(structure.pairs(s), s.select("doc_id", F.length("structure").alias("n")))
 
 
@@ -318,21 +330,21 @@ WHEN u1 + u2 = 0 THEN {_list_sql(energy.STACK)}[type][inner_t] WHEN u1 + u2 = 1
 WHEN u1 = 0 OR u2 = 0 THEN {_list_sql(energy.BULGE)}[u1 + u2 + 1] + own_au + 50 * au ELSE {_list_sql(energy.INTERIOR)}[u1 + u2 + 1] + least(300, 60 * abs(u1 - u2)) END AS BIGINT) FROM lp)"""
 
 
-@query(f"WITH {LOOPS} SELECT * FROM le")
-def loop_energies(spark, sf_dir):
-    return energy.loop_energies(structures(spark, sf_dir))
+@query(f"WITH {LOOPS} SELECT * FROM le", whole=True)
+def loop_energies(spark, sf_dir, width=WIDTH):
+    return energy.loop_energies(structures(spark, sf_dir, width))
 
 
-@query(f"WITH {LOOPS} SELECT s.doc_id, coalesce(CAST(sum(energy) AS BIGINT), 0) AS energy FROM strs s LEFT JOIN le ON s.doc_id = le.doc_id GROUP BY s.doc_id")
-def structure_energy(spark, sf_dir):
-    return energy.structure_energy(structures(spark, sf_dir))
+@query(f"WITH {LOOPS} SELECT s.doc_id, coalesce(CAST(sum(energy) AS BIGINT), 0) AS energy FROM strs s LEFT JOIN le ON s.doc_id = le.doc_id GROUP BY s.doc_id", whole=True)
+def structure_energy(spark, sf_dir, width=WIDTH):
+    return energy.structure_energy(structures(spark, sf_dir, width))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, n AS (SELECT doc_id, length(structure) AS n FROM strs),
 h AS (SELECT doc_id, i, height FROM a_t UNION ALL SELECT doc_id, i, -height FROM b_t WHERE i <= (SELECT n FROM n WHERE n.doc_id = b_t.doc_id)),
-d AS (SELECT doc_id, i, abs(sum(height)) AS d FROM h GROUP BY doc_id, i) SELECT doc_id, CAST(sum(d) AS BIGINT) AS distance FROM d GROUP BY doc_id""")
-def mountain_distance(spark, sf_dir):
-    return structure.mountain_distance(structures(spark, sf_dir), "structure", "other")
+d AS (SELECT doc_id, i, abs(sum(height)) AS d FROM h GROUP BY doc_id, i) SELECT doc_id, CAST(sum(d) AS BIGINT) AS distance FROM d GROUP BY doc_id""", whole=True)
+def mountain_distance(spark, sf_dir, width=WIDTH):
+    return structure.mountain_distance(structures(spark, sf_dir, width), "structure", "other")
 
 
 @query()

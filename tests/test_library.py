@@ -82,3 +82,19 @@ def test_folding_queries_cover_whole_texts(spark, tmp_path):
     assert max(r["j"] for r in pairs) > 60 and all((r["i"] - 1) // 60 == (r["j"] - 1) // 60 and whole[r["doc_id"]][r["i"] - 1] + whole[r["doc_id"]][r["j"] - 1] in fs.PAIR_TYPES for r in pairs)
     n = {r["doc_id"]: sum(r[f"n_{b}"] for b in "acgu") for r in registry.queries()["whole_sequence_composition"](spark, str(tmp_path)).collect()}
     assert n == {i: len(s) for i, s in whole.items()}
+
+
+def test_whole_structures_have_every_document(spark, tmp_path):
+    texts = {1: "gggg aaaa bbbb cd" * 30, 2: "Acg!", 3: "", 4: None, 11: "acgtu" * 9}
+    spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    want = {}
+    for i, t in texts.items():
+        n, x = sum(c in fs.LETTERS for c in (t or "").lower()), registry.STRUCTURES[i % 6]
+        want[i] = x * (n // len(x)) + "." * (n % len(x))
+    assert {r["doc_id"]: r["structure"] for r in run("whole_structure_round_trip")} == want
+    energies = {r["doc_id"]: r["energy"] for r in run("whole_structure_energy")}
+    from test_energy import by_hand
+
+    seqs = {r["doc_id"]: r["decoded"] for r in run("whole_sequence_codes")}
+    assert energies == {i: by_hand(seqs[i], x) for i, x in want.items()} and energies[1] != 0
