@@ -46,7 +46,8 @@ STAGES = [
     ("shards", shards),
 ]
 
-#: The shuffle draws its communication matrix, which SQL can't; tests hold every stage against a brute-force version.
+#: The shuffle draws its communication matrix, which SQL can't. Tests hold near_duplicates against all pairs, and the rows of
+#: source_mix and shards against the plan of the mix; quality_rules and benchmark_leaks through their operators only.
 ORACLE_SQL = None
 
 

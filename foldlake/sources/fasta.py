@@ -1,4 +1,4 @@
-"""FASTA records, connect tables and command files as DataFrames; text goes through Spark's own readers."""
+"""FASTA records, read and written by Spark's own text source, and a parser of the rows of command files."""
 
 from __future__ import annotations
 

@@ -250,6 +250,19 @@ def test_jaccard_join(spark, crowd, hot):
     assert sizes.count() == len(rows)
 
 
+def test_sampling_stages_on_repeated_and_null_rows(spark):
+    import corpus_pipeline
+
+    d = odd_documents(spark)
+    copies = collections.Counter()
+    for r in mixing.mix_plan(d).collect():
+        copies[r["doc_id"]] += r["copies"]
+    mixed = hmm.materialize(corpus_pipeline.source_mix(spark, d, SF), "mix")
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +copies
+    out = corpus_pipeline.shards(spark, mixed, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == +copies and len({(r["shard"], r["slot"]) for r in out}) == len(out)
+
+
 def test_near_duplicates_stage_against_all_pairs(spark):
     import corpus_pipeline
 
