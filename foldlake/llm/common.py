@@ -40,16 +40,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new local one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a new local one serves a
+    local master (tests); on a cluster that is an error, as executors would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="foldlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="foldlake-"))
     return where.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there when the application ends goes."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, path)
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -59,14 +74,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() once all that was made of it is written."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if not re.search(r"/\w+-[0-9a-f]{32}$", path):
-            raise ValueError(f"not a table of materialize(): {path}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() once all that was made of them is written."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not re.search(r"/\w+-[0-9a-f]{32}$", path):
+                raise ValueError(f"not a table of materialize(): {path}")
+            at, files = _file_system(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldlake.llm.common import LOWER_BYTES
 from foldlake.llm import chat, decontaminate, hmm, html_cut, jaccard, mixing, quality, queries, sharding, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -40,7 +41,7 @@ def test_hmm_is_a_distribution_and_beats_its_base(spark):
     got = hmm.op1_hmm_likelihood(spark, SF).toPandas()
     docs = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    tokens = {i: (t or "").encode().translate(hmm.byte_words.__globals__["LOWER_BYTES"]).split() + [b""] for i, t in docs.items()}
+    tokens = {i: (t or "").encode().translate(LOWER_BYTES).split() + [b""] for i, t in docs.items()}
     c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     for r in got.itertuples():
@@ -210,7 +211,7 @@ def test_mix_edges(spark):
 def brute_components(rows, n, num, den):
     sets = collections.defaultdict(list)
     for i, t in rows:
-        w = (t or "").encode().translate(jaccard.byte_words.__globals__["LOWER_BYTES"]).split()
+        w = (t or "").encode().translate(LOWER_BYTES).split()
         if i is not None:
             sets[i].append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
     up = {i: i for i in sets}
@@ -250,6 +251,44 @@ def test_jaccard_join(spark, crowd, hot):
     assert sizes.count() == len(rows)
 
 
+def test_jaccard_template_gives_no_candidates(spark):
+    """Texts that share 90 % of their words, too little for a link, are not tried with each other."""
+    rng = random.Random(9)
+    passage = [f"t{i}" for i in range(180)]
+    rows = [(k, " ".join(passage + [f"o{k}x{i}" for i in range(20)])) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = d.mapInArrow(jaccard._sets(4), "doc_id long, sketch array<long>, s array<long>").withColumn("n", F.size("s"))
+    p = jaccard._prefixes(sets, 85, 100).withColumn("g", F.col("doc_id"))
+    assert p.count() > 300 and jaccard._across(p, 85, 100).count() == 0
+    assert jaccard.links(d, 4, 85, 100)[1].count() == 0
+
+
+def test_jaccard_edges(spark):
+    d = odd_documents(spark)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(d).collect())
+    assert got == {(1, 0, 1): 1, (2, 0, 2): 1, (3, 1, 3): 2, (4, 977, 4): 1, (5, 978, 4): 1, (None, 1, None): 1, (7, 0, 7): 1, (8, 1, 3): 1}
+    assert jaccard.near_duplicates(d.limit(0)).count() == 0
+    many = spark.createDataFrame([(1, "a b c d e")] * 500 + [(2, "a b c d e")] * 500, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.near_duplicates(many).collect()} == {(1, 2, 1), (2, 2, 1)} and jaccard.near_duplicates(many).count() == 1000
+
+
+def test_word_hashes_of_slices():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB é\n\t\x0bxyzQ中") for _ in range(rng.randrange(40))) for _ in range(500)] + ["", None, "x", " ", "A b C"]
+    seen, back = {}, {}
+    for column in (pa.array(texts), pa.array(texts)[7:]):
+        for first, h, lengths in jaccard.Words().runs(column):
+            at = iter(h.tolist())
+            for r, n in enumerate(lengths):
+                own = (column[first + r].as_py() or "").encode().translate(LOWER_BYTES).split()
+                assert len(own) == n
+                for w in own:
+                    v = next(at)
+                    assert seen.setdefault(w, v) == v and back.setdefault(v, w) == w
+
+
 def test_sampling_stages_on_repeated_and_null_rows(spark):
     import corpus_pipeline
 
