@@ -200,6 +200,39 @@ def test_minimum_cut_against_all_labellings():
         assert cost(html_cut.minimum_cut(cap, ties)) == min(map(cost, itertools.product([False, True], repeat=n)))
 
 
+def test_the_cut_decides_borderline_blocks():
+    long = "This is a paragraph of the story that goes on for quite a while, as stories do, and then it ends."
+    page = f"<div class=x><p>{long}</p><div>Yes.</div><p>{long}</p></div><div class=sidebar><ul><li>Yes.</li></ul><p>{long}</p></div>"
+    cut, own = html_cut.labels(html_cut.blocks(page), html_cut.Classifier(html_cut.PRIOR))
+    assert own == [True, False, True, False, False] and cut == [True, True, True, False, False]
+    assert html_cut.extract(page) == f"{long}\n\nYes.\n\n{long}"
+
+
+def test_fit_learns_names_from_tags(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(50)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages = [f"<nav><div class=zork>{line(30)}</div></nav><article class=yarn><p>{line(25)}</p><p>{line(30)}</p></article>" for _ in range(60)]
+    plain = f"<div class=zork>{line(30)}</div>"
+    assert html_cut.extract(plain) and not html_cut.extract(plain, html_cut.fit(pages))
+    rows = [(k, None, p, "x") for k, p in enumerate(pages)] + [(900, "u", plain, "x"), (901, "u", None, "x"), (None, "u", "", "x"), (902, "u", "<article><p>a &amp;amp; b", "x"), (902, "u", "<article><p>a &amp;amp; b", "x")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_cut.main_text(d).collect() if r["page_id"] is None or r["page_id"] >= 900)
+    assert got == {(900, "", 0): 1, (901, "", 0): 1, (None, "", 0): 1, (902, "a &amp; b", 9): 2}
+    assert html_cut.main_text(d.limit(0)).count() == 0 and html_cut.fit([]).weights == html_cut.PRIOR
+
+
+def test_broken_and_long_pages_take_linear_time():
+    import time
+
+    t = time.time()
+    for piece in ("a<b ", "<svg ", "<svg >", '<b "', "<div>", "</p>", "<!-- ", "<p>x<nav>y</nav>", '<a "'):
+        html_cut.extract(piece * ((1 << 20) // len(piece)) + '">"')
+    html_cut.extract("<article>" + "<p>word word word in a long block of text that goes on and on for a while</p><div class=ad>x y</div>" * 3000)
+    assert time.time() - t < 40
+    assert html_cut.extract("<article><p>one two three four five six seven eight nine <svg>x</svg> ten<script>var a = '</p>'</script> end<p>cut <b") == "one two three four five six seven eight nine ten end\n\ncut"
+
+
 def test_mix_edges(spark):
     d = odd_documents(spark)
     p = mixing.mix_plan(d).collect()
