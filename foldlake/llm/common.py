@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +86,26 @@ def discard(*tables: DataFrame) -> None:
             files.delete(at, True)
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df, marked for broadcast where its counted rows are few; df is read for the count, so materialize it first."""
-    return F.broadcast(df) if df.count() <= most else df
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row: 8 each, and those of strings, binaries and arrays."""
+    parts = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 16)
+        elif kind == "array":
+            parts.append(F.coalesce(F.size(c), F.lit(0)) * 8 + 16)
+        else:
+            parts.append(F.lit(8))
+    return reduce(add, parts, F.lit(16)).cast("long")
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast where its measured bytes are few; df is read for that, so materialize it first."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most_bytes else df
 
 
 def stream_groups(batches, keys: list[str]):

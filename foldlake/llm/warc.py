@@ -9,10 +9,12 @@ chunks of longer ones are shuffled, meet sorted, and one pass carries their SHA-
 ever holds a set of records, nor the reader a long one.
 
 Payload copies: of records with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id is the
-response; others are written as revisits without payload. The largest id comes from one aggregate by digest.
+response; others are written as revisits without payload. The largest id comes from one aggregate by digest. A record
+id is made of page_id and digest, so a revisit can name the response without knowing where it lies.
 
 Defined results: null html is the empty payload; a null url is left out; a null page_id counts as the smallest; rows
-repeated with the response's own page_id are responses too; other columns are ignored; an empty table writes nothing.
+repeated with the response's own page_id are responses too, with the place of writing in their ids, and their revisits
+name the page and digest only; other columns are ignored; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -65,13 +67,13 @@ def _written(segment_bytes: int):
         def rows():
             nonlocal n
             for b in batches:
-                for page_id, url, html, size, sha, refers in zip(*(b.column(i) for i in range(6))):
-                    page_id, refers, url = page_id.as_py(), refers.as_py(), safe(url.as_py())
-                    record, n = f"<urn:page:{page_id}:{part}-{n}>", n + 1
+                for page_id, url, html, size, sha, refers, alone in zip(*(b.column(i) for i in range(7))):
+                    page_id, refers, url, alone = page_id.as_py(), refers.as_py(), safe(url.as_py()), alone.as_py()
+                    record, n = f"<urn:page:{page_id}:{sha.as_py()}>" if alone and refers is None else f"<urn:page:{page_id}:{sha.as_py()}:{part}-{n}>", n + 1
                     shared = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("X-Page-ID", page_id)]
                     digest = "sha1:" + base32_sha1(bytes.fromhex(sha.as_py()))
                     if refers is not None:
-                        v = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record), *shared, ("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Payload-Digest", digest), ("X-Payload-Length", size.as_py()), ("WARC-Segment-Number", 1)], b"")
+                        v = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record), *shared, ("WARC-Refers-To", f"<urn:page:{refers}:{sha.as_py()}>" if alone else None), ("X-Refers-To-Page", refers), ("WARC-Payload-Digest", digest), ("X-Payload-Length", size.as_py()), ("WARC-Segment-Number", 1)], b"")
                         yield (v,), len(v)
                         continue
                     running, payload = hashlib.sha1(), html.as_py().encode()
@@ -91,10 +93,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
     """One WARC record (or chain of segments) for every row of pages (page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha"))
-    copies = p.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = p.filter(F.col("size") >= min_bytes).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    copies = copies.groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("k"), F.sum("n").alias("n")).filter("n > 1")
+    copies = copies.select("sha", F.col("k.page_id").alias("keeper"), (F.col("k.n") == 1).alias("keeper_alone"))
     j = p.join(small(materialize(copies, "copies")), "sha", "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    j = j.select("page_id", "url", F.when(refers.isNull(), F.col("html")).otherwise("").alias("html"), "size", "sha", refers.alias("refers"))
+    alone = F.coalesce("keeper_alone", F.col("size") >= min_bytes)
+    j = j.select("page_id", "url", F.when(refers.isNull(), F.col("html")).otherwise("").alias("html"), "size", "sha", refers.alias("refers"), alone.alias("alone"))
     j.mapInArrow(_written(segment_bytes), "value string").write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -118,8 +123,8 @@ def _parsed(batches):
                     if len(block) != n or data[start + n : at] != gap:
                         raise ValueError("cut WARC record")
                     number = lambda k: None if h.get(k, "None") == "None" else int(h[k])
-                    refers = h.get("WARC-Refers-To")
-                    yield (h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), int(h["WARC-Segment-Number"]), number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], refers and int(refers[10:-1]), h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"]), h.get("X-Running-Digest", "sha1:")[5:], block), n + 200
+                    refers = h.get("X-Refers-To-Page")
+                    yield (h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), int(h["WARC-Segment-Number"]), number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], refers and int(refers), h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"]), h.get("X-Running-Digest", "sha1:")[5:], block), n + 200
 
     yield from arrow_rows(rows(), schema)
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -87,6 +88,15 @@ def test_warc_round_trip(spark, tmp_path):
         best = max((j for j, _, g in rows if (g or "").encode() == h and j is not None), default=None)
         want.append((i, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if i == best else "revisit", None if i == best else best))
     assert got == sorted(want, key=str)
+    written = "".join(r[0] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
+    ids = collections.Counter(re.findall("WARC-Record-ID: (.*)\r", written))
+    refers = re.findall("WARC-Refers-To: (.*)\r", written)
+    assert max(ids.values()) == 1 and len(refers) == written.count("WARC-Type: revisit") == 2 and set(refers) <= set(ids)
+
+
+def test_warc_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op3_warc_chunks(spark, str(tmp_path)).collect() == []
 
 
 def test_shards_have_exact_sizes(spark):
@@ -113,7 +123,7 @@ def test_decontamination_edges(spark):
     b = spark.createDataFrame([(1, "ONE, two!"), (2, None), (3, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): (sorted(r["items"]), len(r["spans"])) for r in decontaminate.scan(d, b).collect()}
     assert got[(3, 2)] == (["1"], 1) and got[(None, 2)] == (["1"], 1) and got[(1, 0)] == ([], 0) and got[(4, 30000)][0] == ["3"]
-    wide = {(r["doc_id"], r["n_words"]): (sorted(r["items"]), len(r["spans"])) for r in decontaminate.scan(d, b, broadcast_rows=0).collect()}
+    wide = {(r["doc_id"], r["n_words"]): (sorted(r["items"]), len(r["spans"])) for r in decontaminate.scan(d, b, broadcast_bytes=0).collect()}
     assert wide == got
     assert sorted(str(r["doc_id"]) for r in decontaminate.remove_documents(d, b).collect()) == ["1", "2", "7"]
     assert decontaminate.scan(d, b.limit(0)).filter(F.size("spans") > 0).count() == 0
