@@ -1,61 +1,68 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, in DataFrame functions only.
 
 Both sides are lower-cased in A-Z and cut into words of a-z, 0-9 and non-ASCII characters. Benchmark items give their
-distinct windows of ``n`` words (an item of fewer words is one window of its own length) with the items that hold
-them. Documents are scanned once: every window's 64-bit hash probes the set in the scan's own task, a hash hit is
-verified word for word in the join condition, and only hits and one marker row per document are shuffled. The window
-set is broadcast while it has at most ``broadcast_rows`` windows (it depends on the benchmark alone, not on the
-corpus); a larger one is joined by a shuffle on the hash.
+distinct windows of ``n`` words (an item of fewer words is one window of its own length). Documents are scanned once:
+every word is hashed once, a window's 64-bit hash comes from those of its words and probes the set in the scan's own
+task; only hits and one marker row per document are shuffled. Documents with hits are read again and every hit is
+verified word for word there; the items of verified windows are joined last, so no window carries a list of items. The
+window set is broadcast while it has few bytes (it depends on the benchmark alone, not on the corpus); a larger one is
+joined by a shuffle on the hash.
 
 Defined results: a null text has no words; an item without words is ignored; a null item_id marks words but is not
 listed; hits of repeated rows are found for each of them; an empty benchmark contaminates nothing; columns other than
-those named are ignored by ``scan`` and kept by ``remove_documents`` and ``remove_spans``.
+those named are ignored by ``scan`` and kept by ``remove_documents`` and ``remove_spans``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, split_words, table
+from .common import BROADCAST_BYTES, lower_az, materialize, small, split_words, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
-BROADCAST_ROWS = 500_000
 
 
 def norm_words(text: Column) -> Column:
     return split_words(lower_az(text), GAP)
 
 
+def _window_hash(hashes: Column, i: Column, n: int) -> Column:
+    """Hash of the n words from i (0-based), out of the words' hashes."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(n)])
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """gram_hash, gram, len, items (distinct ids as strings) for each distinct window of the benchmark."""
+    """gram_hash, gram, len, item (as a string) for each window of each item, distinct."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), norm_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
-    w = w.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.slice("w", i, F.col("len")))).alias("g"))
-    w = w.select("item", "len", F.xxhash64("g").alias("gram_hash"), F.array_join("g", " ").alias("gram"))
-    return w.groupBy("gram_hash", "gram", "len").agg(F.collect_set("item").alias("items"))
+    w = w.select("item", "w", _hashes(F.col("w")).alias("h"), F.least(F.size("w"), F.lit(n)).alias("len"))
+    spots = F.sequence(F.lit(0), F.size("w") - F.col("len"))
+    hashed = reduce(lambda out, k: F.when(F.col("len") == k, F.transform(spots, lambda i: _window_hash(F.col("h"), i, k))).otherwise(out), range(1, n), F.transform(spots, lambda i: _window_hash(F.col("h"), i, n)))
+    grams = F.transform(spots, lambda i: F.array_join(F.slice("w", i + 1, F.col("len")), " "))
+    return w.select("item", "len", F.explode(F.arrays_zip(hashed.alias("gram_hash"), grams.alias("gram"))).alias("x")).select("x.gram_hash", "x.gram", "len", "item").distinct()
 
 
-def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], wide: bool) -> DataFrame:
-    """docs: __id, text. One marker row (pos null) per document, and one row per verified window."""
-    w = docs.select("__id", F.coalesce(F.col("text"), F.lit("")).alias("t")).select("__id", F.xxhash64("t").alias("__text"), norm_words(F.col("t")).alias("w"))
+def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """docs: __id, text. One marker row (pos null, n: number of words) per document, and one row per hash hit."""
+    w = docs.select("__id", F.coalesce(F.col("text"), F.lit("")).alias("t")).select("__id", F.xxhash64("t").alias("__text"), _hashes(norm_words(F.col("t"))).alias("h"))
 
-    def scan(n: int) -> Column:
-        last = F.size("w") - n
+    def probes(n: int) -> Column:
+        last = F.size("h") - n
         spots = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.slice("w", i + 1, n)).alias("h")))
+        return F.transform(spots, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), _window_hash(F.col("h"), i, n).alias("h")))
 
-    marker = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.size("w").alias("n"), F.lit(None).cast("long").alias("h")))
-    rows = w.select("__id", "__text", "w", F.explode(F.concat(marker, *[scan(n) for n in lengths])).alias("x"))
-    gram = F.array_join(F.slice("w", F.col("x.pos") + 1, F.col("x.n")), " ")
-    if wide:
-        rows = rows.select("__id", "__text", "x", F.when(F.col("x.pos").isNotNull(), gram).alias("text_gram"))
-        gram = F.col("text_gram")
-    else:
-        windows = F.broadcast(windows)
-    j = rows.join(windows, (F.col("x.h") == F.col("gram_hash")) & (F.col("x.n") == F.col("len")) & (gram == F.col("gram")), "left")
-    return j.filter(F.col("x.pos").isNull() | F.col("gram_hash").isNotNull()).select("__id", "__text", "x.pos", "x.n", "items")
+    marker = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.size("h").alias("n"), F.lit(None).cast("long").alias("h")))
+    rows = w.select("__id", "__text", F.explode(F.concat(marker, *[probes(n) for n in lengths])).alias("x")).select("__id", "__text", "x.*")
+    j = rows.join(windows, (F.col("h") == F.col("gram_hash")) & (F.col("n") == F.col("len")), "left")
+    return j.filter(F.col("pos").isNull() | F.col("gram_hash").isNotNull()).select("__id", "__text", "pos", "n", "gram")
 
 
 def _covered(spans: Column) -> Column:
@@ -68,34 +75,57 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["sum"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document row: doc_id, text_hash, n_words, spans (sorted (pos, n) of verified windows), items (sorted ids)."""
-    windows = benchmark_windows(benchmark, n)
-    by_length = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # at most n rows
+    items = materialize(benchmark_windows(benchmark, n), "windows")
+    grams = materialize(items.select("gram_hash", "gram", "len").distinct(), "grams")
+    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n rows
     d = docs.select(F.col("doc_id").alias("__id"), "text")
-    h = _hits(d, windows, sorted(by_length), sum(by_length.values()) > broadcast_rows)
-    g = h.groupBy("__id", "__text").agg(
+    g = _hits(d, small(grams, broadcast_bytes), lengths).groupBy("__id", "__text").agg(
         F.count(F.when(F.col("pos").isNull(), 1)).alias("copies"),
         F.max(F.when(F.col("pos").isNull(), F.col("n"))).alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "n")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "n", "gram")))).alias("hits"),
     )
-    return g.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text_hash"), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    g = materialize(g, "hits")
+    hit = g.filter(F.size("hits") > 0).select(F.col("__id").alias("h_id"), F.col("__text").alias("h_text"), "hits")
+    t = d.select("__id", F.coalesce("text", F.lit("")).alias("t"))
+    t = t.join(small(hit), F.col("__id").eqNullSafe(F.col("h_id")) & (F.xxhash64("t") == F.col("h_text")))
+    said = lambda x: F.array_join(F.slice("w", x["pos"] + 1, x["n"]), " ") == x["gram"]
+    t = t.select("h_id", "h_text", norm_words(F.col("t")).alias("w"), "hits").select("h_id", "h_text", F.filter("hits", said).alias("hits"))
+    t = materialize(t.filter(F.size("hits") > 0).groupBy("h_id", "h_text").agg(F.first("hits").alias("hits")), "verified")
+    own = t.select("h_id", "h_text", F.explode(F.array_distinct(F.transform("hits", lambda x: F.struct(x["gram"].alias("gram"), x["n"].alias("n"))))).alias("x"))
+    own = own.join(items, (F.col("x.gram") == F.col("gram")) & (F.col("x.n") == F.col("len"))).groupBy(F.col("h_id").alias("i_id"), F.col("h_text").alias("i_text")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    t = t.join(own, F.col("h_id").eqNullSafe(F.col("i_id")) & (F.col("h_text") == F.col("i_text")))
+    t = materialize(t.select("h_id", "h_text", F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"))).alias("spans"), "items"), "found")
+    g = g.drop("hits").join(small(t), F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("__text") == F.col("h_text")), "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<pos:int,n:int>>"))
+    g = g.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text_hash"), "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return g.drop("col")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """__id, __text and spans of the documents with hits."""
+    bad = scan(docs, benchmark, n).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "spans").distinct()
+    return small(materialize(bad, "bad"))
+
+
+def _same(docs: DataFrame, bad: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__text"])
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents without any benchmark window, all columns kept."""
-    bad = scan(docs, benchmark, n).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__text"]), "left_anti")
+    bad = _marked(docs, benchmark, n)
+    return docs.join(bad, _same(docs, bad), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """doc_id and the normalised words outside every hit, joined by spaces."""
-    bad = scan(docs, benchmark, n).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "spans").distinct()
-    j = docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__text"]))
-    j = j.select("doc_id", norm_words(F.col("text")).alias("w"), "spans")
+    bad = _marked(docs, benchmark, n)
+    j = docs.join(bad, _same(docs, bad), "left")
+    j = j.select(docs["doc_id"], norm_words(docs["text"]).alias("w"), "spans")
     keep = F.filter("w", lambda w, i: ~F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["n"])))
-    return j.select("doc_id", F.array_join(keep, " ").alias("text"))
+    return j.select("doc_id", F.array_join(F.when(F.col("spans").isNull(), F.col("w")).otherwise(keep), " ").alias("text"))
 
 
 def op5_benchmark_ngrams(spark, sf_dir):
