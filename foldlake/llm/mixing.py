@@ -7,8 +7,9 @@ Documents are ordered within their source by size class and then pseudo-randomly
 copies plus one offset per source decide how often each is emitted: once per integer boundary crossed.
 
 The prefix sum is never taken over a whole source in one task. Documents fall into (source, size class, hash prefix)
-buckets; the bucket counts are summed first, their running totals (at most a few ten thousand rows a source) are
-joined back, and only the rank inside a bucket needs a sort.
+cells; the cell counts are summed first, their running totals come back by a broadcast (while they have few bytes) and
+only the rank inside a cell needs a shuffle and a sort. The hash covers the id and the text, so null or repeated ids
+spread over the cells like others; rows with the same id and text are equal, and which of them is taken is no difference.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; a source without words has target
 0 and none of its documents is taken; repeated rows are separate documents with consecutive ranks; an empty table gives
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialize, small, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -43,27 +44,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return t.select("source", "source_size", F.when(F.col("open"), share).otherwise((F.col("source_size") * cap).cast("double")).alias("target"))
 
 
-def _ranked(docs: DataFrame, seed: str, hash_digits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with size and rank keys, and the bucket table."""
+def _keyed(docs: DataFrame, seed: str, hash_digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with size, class and hash, and the cell table."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     bits = F.bin(F.col("__size"))
     d = docs.withColumn("__size", size)
     d = d.withColumn("__class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(F.rpad(bits, 3, "0"), 1, 3)))
-    d = d.withColumn("__hash", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    d = d.withColumn("__hash", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5("text"), F.lit("")))))
     d = d.withColumn("__cell", F.substring("__hash", 1, hash_digits))
     cells = d.groupBy(F.col("source").alias("c_source"), F.col("__class").alias("c_class"), F.col("__cell").alias("c_cell")).agg(F.count(F.lit(1)).alias("rows"), F.sum("__size").alias("words"))
-    return d, cells
+    return d, materialize(cells, "cells")
 
 
 def _with_copies(docs: DataFrame, weights, cap, seed, hash_digits) -> DataFrame:
-    d, cells = _ranked(docs, seed, hash_digits)
+    d, cells = _keyed(docs, seed, hash_digits)
     targets = source_targets(cells.groupBy(F.col("c_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, cap)
     targets = targets.withColumnRenamed("source", "t_source")
     running = W.partitionBy("c_source").orderBy("c_class", "c_cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0))).drop("rows", "words")
-    cells = cells.join(targets, F.col("c_source").eqNullSafe(F.col("t_source")))
+    cells = small(materialize(cells.join(targets, F.col("c_source").eqNullSafe(F.col("t_source"))), "starts"))
     j = d.join(cells, d["source"].eqNullSafe(F.col("c_source")) & (d["__class"] == F.col("c_class")) & (d["__cell"] == F.col("c_cell")))
-    inner = W.partitionBy("c_source", "c_class", "c_cell").orderBy("__hash", "doc_id", "__size")
+    inner = W.partitionBy("c_source", "c_class", "c_cell").orderBy("__hash")
     j = j.withColumn("__rank", F.col("before") + F.row_number().over(inner))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("c_source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
@@ -90,9 +91,9 @@ def op9_systematic_mix(spark, sf_dir):
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-k AS (SELECT *, bin(size) AS bits, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(CAST(length(bits) AS VARCHAR), 2, '0') || substr(rpad(bits, 3, '0'), 1, 3), h, doc_id, size) AS rnk FROM k),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, text FROM documents),
+k AS (SELECT *, bin(size) AS bits, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS h FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(CAST(length(bits) AS VARCHAR), 2, '0') || substr(rpad(bits, 3, '0'), 1, 3), h) AS rnk FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM n),
