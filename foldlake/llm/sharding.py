@@ -10,6 +10,8 @@
 
 No shard is ever sorted as a whole, and no counting pass over exchanged rows is needed.
 
+Equal rows that fill more than a part are dealt out by a random number a row first, so no key holds a part of its own.
+
 Defined results: a null text has size 1 and checksum 0; null ids are rows like others; repeated rows get slots of their
 own; an empty table gives an empty result; other columns are ignored by ``shard_plan`` and kept by ``shard``.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 SHARDS = 16
 ROWS_PER_PART = 200_000
@@ -78,9 +80,21 @@ def communication_matrix(rows: list[int], columns: list[int], rng: random.Random
     return out
 
 
+def _salted(keyed: DataFrame, most: int = ROWS_PER_PART) -> DataFrame:
+    """Rows whose key more than ``most`` rows share (equal rows, so none is told from another) get keys of their own parts."""
+    hot = keyed.groupBy(F.col("__key").alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = materialize(hot, "hot_keys")  # fewer than rows / most
+    if hot.isEmpty():
+        return keyed
+    part = F.floor(F.rand(1) * (1 + 4 * F.col("__n") / most))
+    k = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
+    return k.withColumn("__key", F.when(F.col("__n").isNull(), F.col("__key")).otherwise(F.xxhash64("__key", part))).drop("__hot", "__n")
+
+
 def _placed(keyed: DataFrame, shards: int, seed: int) -> DataFrame:
     """keyed: has __key (a hash of the whole row). Adds shard (int) and slot (long)."""
     spark = keyed.sparkSession
+    keyed = _salted(keyed)
     per_part = keyed.groupBy(F.pmod("__key", F.lit(MAX_PARTS)).alias("fine")).count().collect()  # at most MAX_PARTS rows
     total = sum(r["count"] for r in per_part)
     parts = MIN_PARTS  # powers of two, so that the fine counts fold
