@@ -4,7 +4,7 @@ A text is lower-cased in A-Z and cut into overlapping segments of words. Every n
 (the blank before and after belongs to it) has a hashed row in an embedding table; a segment is the average of its
 rows, a linear softmax scores it, and table and softmax are trained jointly in numpy. Misspelt and unseen words share
 most n-grams with their relatives. A document is as toxic as its worst segment, mapped to 0..1 by a logistic curve
-fitted on labelled rows that the table was not trained on.
+fitted on labelled rows by tables that they were kept from in turn.
 
 Training reads a bounded sample of labelled rows (``per_label`` rows a label, texts of at most ``train_bytes`` bytes,
 in the order of a hash of the id); scoring covers every whole text in tasks that need one scalar an n-gram row.
@@ -28,7 +28,7 @@ ROWS, WIDTH = 1 << 17, 8
 SIZES = (3, 4, 5, 6)
 SEGMENT, STRIDE = 6, 3
 PER_LABEL, TRAIN_BYTES = (1500, 2500), 20_000  # toxic, not toxic
-THRESHOLD, RATE = 0.7, 0.3
+THRESHOLD, RATE, FOLDS = 0.7, 0.3, 2
 
 
 def grams(text: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
@@ -136,23 +136,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / s, b - a * m / s
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 2, again: int = 3, seed: int = 5) -> Model:
-    """rows: (text, toxic). Segments first learn the label of their document, then toxic documents are left with their worst ones."""
+def _learn(docs: list, rounds: int, again: int, seed: int) -> Model:
+    """docs: (grams, toxic). Segments first learn the label of their document, then toxic documents are left with their worst ones."""
     model = Model(seed)
-    docs = [(d, y) for d, y in ((grams(t), y) for t, y in rows) if d[2]]
-    fit_on, curve_on = [d for k, d in enumerate(docs) if k % 4], [d for k, d in enumerate(docs) if k % 4 == 0]
     for k in range(again + 1):
         own, y = [], []
         scalars, _ = model.scalars()
-        for doc, label in fit_on:
+        for doc, label in docs:
             v = logits(doc, scalars, SEGMENT) if k else []
             got = bags(doc, np.argsort(-v)[: max(1, len(v) // 8)] if k and label else None)
             own += [g for g in got if len(g)]
             y += [label] * sum(1 for g in got if len(g))
         model.fit(own, np.array(y), rounds=rounds if not k else 1, rate=RATE, seed=seed + k)
-    scalars, bias = model.scalars()
-    x = np.array([worst(d, scalars, bias) for d, _ in curve_on])
-    model.curve = _logistic(x, np.array([y for _, y in curve_on]))
+    return model
+
+
+def train(rows: list[tuple[str, int]], rounds: int = 2, again: int = 3, seed: int = 5, folds: int = FOLDS) -> Model:
+    """rows: (text, toxic). The table learns from all rows; the curve from scores that each row gets of a table that
+    the row's own fold was kept from."""
+    docs = [(d, y) for d, y in ((grams(t), y) for t, y in rows) if d[2]]
+    x, y = [], []
+    for f in range(folds):
+        own = [d for k, d in enumerate(docs) if k % folds != f]
+        if 0 < sum(label for _, label in own) < len(own):
+            scalars, bias = _learn(own, rounds, again, seed).scalars()
+            for d, label in docs[f::folds]:
+                x.append(worst(d, scalars, bias))
+                y.append(label)
+    model = _learn(docs, rounds, again, seed)
+    model.curve = _logistic(np.array(x), np.array(y))
     return model
 
 
@@ -171,22 +183,16 @@ def _scored(logit, bias, curve, otherwise):
 
 
 def score(docs: DataFrame, labels: DataFrame, training: Column, per_label=PER_LABEL, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """doc_id, held_out, score for every row; learns from rows where ``training`` holds."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~training).alias("held_out"))
-    marks = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("l_id")
-    marks = marks.filter(training_of(training)).withColumn("o", order)
-    picked = None
-    for label, most in ((1, per_label[0]), (0, per_label[1])):
-        own = marks.filter(F.col("toxic") == label).orderBy("o", "l_id").limit(2 * most)
-        picked = own if picked is None else picked.unionByName(own)
-    sample = d.filter((F.octet_length("text") <= train_bytes) & ~F.col("held_out")).join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))  # twice per_label rows at most
-    got = sample.select("text", "toxic", "o", "doc_id").collect()
-    rows, left = [], {1: per_label[0], 0: per_label[1]}
-    for r in sorted(got, key=lambda r: (r["o"], r["doc_id"], r["text"])):
-        if left[int(r["toxic"] > 0)] > 0:
-            left[int(r["toxic"] > 0)] -= 1
-            rows.append((r["text"], int(r["toxic"] > 0)))
+    """doc_id, held_out, score for every row; learns from rows of docs where ``training`` holds (null: it does not)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~F.coalesce(training, F.lit(False))).alias("held_out"))
+    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    fits = d.filter(~F.col("held_out") & (F.octet_length("text") <= train_bytes)).select("doc_id", F.xxhash64("text").alias("o_text"))
+    rows_of = fits.join(marks, F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "toxic").agg(F.min("o_text").alias("o_text")).withColumn("o", F.xxhash64("doc_id"))
+    picked = [rows_of.filter(F.col("toxic") == y).orderBy("o", "doc_id").limit(most) for y, most in ((1, per_label[0]), (0, per_label[1]))]
+    picked = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("p_id"), "toxic", "o_text", "o")  # per_label rows of each
+    texts = d.filter(~F.col("held_out")).select("doc_id", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("p_id")) & (F.xxhash64("text") == F.col("o_text")))
+    got = texts.groupBy("doc_id", "toxic", "o").agg(F.min("text").alias("text")).collect()  # one text a row of picked
+    rows = [(r["text"], r["toxic"]) for r in sorted(got, key=lambda r: (r["o"], r["doc_id"], r["toxic"]))]
     toxic = sum(y for _, y in rows)
     if 2 <= toxic <= len(rows) - 2:
         m = train(rows)
@@ -197,11 +203,6 @@ def score(docs: DataFrame, labels: DataFrame, training: Column, per_label=PER_LA
     return d.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double")
 
 
-def training_of(training: Column) -> Column:
-    """The training condition for label rows; they carry the id as l_id."""
-    return F.crc32(F.col("l_id").cast("string").cast("binary")) % 3 != 1
-
-
 def op2_subword_toxicity(spark, sf_dir):
     s = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), split(3) != 1)
     return s.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
