@@ -3,8 +3,8 @@
 Tokens are lower-cased words and one end per text. The ``head`` most frequent training tokens are classes of their
 own; every other word belongs to one of ``tails`` classes by a hash of its last bytes, which hold one more place each
 for words never seen. A hidden state emits a class, a class emits its words by their smoothed training counts, so the
-probabilities of all known words and unseen places add up to one. Baum-Welch runs over every training text: tasks
-return expected counts per class, Spark adds them up, and only tables of bounded size (classes x states) reach the
+probabilities of all known words and unseen places add up to one. Baum-Welch runs over every whole training text (long
+ones from stored states): tasks return expected counts per class, Spark adds them up, and only tables of bounded size (classes x states) reach the
 driver. Scores come from the scaled forward recursion and are exact for the model.
 
 Word counts never leave Spark: texts are encoded once as class numbers plus the words outside the head; those words
@@ -32,7 +32,8 @@ from .common import byte_words, materialize, table
 STATES, ROUNDS, HEAD, TAILS, SUFFIX = 8, 3, 20_000, 2048, 3
 END = b""
 _COUNTS_HELD = 400_000
-PIECE = 256  # texts are trained on in pieces of so many tokens; scores run over whole texts
+LONG = 1 << 16  # longer texts go through the recursions in pieces of so many tokens, which hand their states on
+_CELLS_HELD = 600_000
 PRIOR = 50.0  # pseudo-count of the overall class shares in each state's emissions
 
 
@@ -90,24 +91,19 @@ def _encoded(head: dict[bytes, int], n_head: int, tails: int):
     return run
 
 
-def blocks(column: pa.ListArray, cut: int | None = None, most: int = 120_000):
-    """(row numbers, padded matrix positions x rows, lengths, which rows begin a text) of class lists of like lengths,
-    longest first. Lists longer than ``cut`` are given in pieces."""
+def blocks(column: pa.ListArray, most: int = _CELLS_HELD):
+    """(row numbers, padded matrix positions x rows, lengths) of class lists of like lengths, longest first; lists
+    longer than LONG come alone."""
     ends, values = np.asarray(column.offsets), np.asarray(column.values)
-    lengths, begins, owner = np.diff(ends), ends[:-1], np.arange(len(ends) - 1)
-    if cut:
-        pieces = -(-lengths // cut)
-        owner = np.repeat(owner, pieces)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begins, lengths = begins[owner] + k * cut, np.minimum(cut, lengths[owner] - k * cut)
+    lengths, begins = np.diff(ends), ends[:-1]
     order, at = np.argsort(-lengths, kind="stable"), 0
     while at < len(order):
         longest = int(lengths[order[at]])
-        rows = order[at : at + max(1, most // max(1, longest))]
+        rows = order[at : at + (1 if longest > LONG else max(1, most // max(1, longest)))]
         t = np.arange(longest)[:, None]
         x = values[np.minimum(begins[rows] + t, len(values) - 1)]
         x[t >= lengths[rows]] = 0
-        yield owner[rows], x, lengths[rows], begins[rows] == ends[owner[rows]]
+        yield rows, x, lengths[rows]
         at += len(rows)
 
 
@@ -125,23 +121,65 @@ def forward(x: np.ndarray, lengths: np.ndarray, first: np.ndarray, move: np.ndar
     return e, alpha, scale, live, np.log(scale, dtype=np.float64).sum(0)
 
 
-def expected(x, lengths, fresh, start, move, emit):
-    """Baum-Welch counts of one block: first states, moves, and (classes x states) emissions. Pieces that do not begin a text enter any state alike."""
-    k = len(start)
-    first = np.where(fresh[:, None], start, np.float32(1 / k)).astype(emit.dtype)
+def likelihood(x: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Natural log likelihoods; the state probabilities of a long text are handed on from piece to piece."""
+    first, total = np.broadcast_to(start, (len(lengths), len(start))), 0.0
+    for t in range(0, max(1, len(x)), LONG):
+        _, alpha, _, _, own = forward(x[t : t + LONG], np.clip(lengths - t, 0, LONG), first, move, emit)
+        total = total + own
+        if t + LONG < len(x):
+            first = alpha[-1] @ move
+    return total
+
+
+def expected(x, lengths, start, move, emit):
+    """Baum-Welch counts of one block of whole texts: first states, moves, (classes, and their emissions by state)."""
+    if len(x) <= LONG:
+        first, moves, gamma, _ = _counts(x, lengths, np.broadcast_to(start, (len(lengths), len(start))).astype(emit.dtype), move, emit, None)
+        return first, moves, *_by_class(x, lengths, gamma)
+    firsts, lasts = [start[None].astype(emit.dtype)], []  # one long text: its pieces begin from stored states
+    for t in range(0, len(x), LONG):
+        alpha = forward(x[t : t + LONG], np.minimum(lengths - t, LONG), firsts[-1], move, emit)[1]
+        lasts.append(alpha[-1])
+        firsts.append(alpha[-1] @ move)
+    moves, after, out = np.zeros((len(start), len(start))), None, []
+    for k in reversed(range(len(lasts))):
+        piece = x[k * LONG : (k + 1) * LONG]
+        n = np.array([len(piece)])
+        first, own, gamma, ahead = _counts(piece, n, firsts[k], move, emit, after)
+        moves += own
+        if k:
+            moves += move * (lasts[k - 1].T @ ahead)
+        after = ahead @ move.T
+        out.append(_by_class(piece, n, gamma))
+    ids, inverse = np.unique(np.concatenate([i for i, _ in out]), return_inverse=True)
+    emissions = np.zeros((len(ids), len(start)))
+    np.add.at(emissions, inverse, np.concatenate([e for _, e in out]))
+    return first, moves, ids, emissions
+
+
+def _counts(x, lengths, first, move, emit, after):
+    """(first states, moves, state probabilities, what the first position passes back); after: what follows the last."""
+    k = len(move)
     e, alpha, scale, live, _ = forward(x, lengths, first, move, emit)
     beta, ahead, back = np.ones_like(e), np.zeros_like(e), np.ascontiguousarray(move.T)
+    if after is not None:
+        beta[-1] = after
     e /= scale[:, :, None]
     for t in range(len(x) - 2, -1, -1):
         n = live[t + 1]
         np.multiply(e[t + 1, :n], beta[t + 1, :n], out=ahead[t + 1, :n])
         np.matmul(ahead[t + 1, :n], back, out=beta[t, :n])
     moves = move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
+    gamma = alpha * beta
+    return gamma[0].sum(0), moves, gamma, e[0] * beta[0]
+
+
+def _by_class(x, lengths, gamma) -> tuple[np.ndarray, np.ndarray]:
     used = (np.arange(len(x))[:, None] < lengths).ravel()
-    gamma = (alpha * beta).reshape(-1, k)[used]
+    rows = gamma.reshape(-1, gamma.shape[2])[used]
     ids, inverse = np.unique(x.ravel()[used], return_inverse=True)
-    emissions = np.stack([np.bincount(inverse, weights=gamma[:, s], minlength=len(ids)) for s in range(k)], 1)
-    return (alpha[0] * beta[0])[fresh].sum(0), moves, ids, emissions
+    return ids, np.stack([np.bincount(inverse, weights=rows[:, s], minlength=len(ids)) for s in range(rows.shape[1])], 1)
 
 
 def _expectations(start, move, emit):
@@ -151,8 +189,8 @@ def _expectations(start, move, emit):
     def run(batches):
         first, moves, total = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape)
         for b in batches:
-            for _, x, lengths, fresh in blocks(b.column(0), PIECE):
-                f, m, ids, e = expected(x, lengths, fresh, start, move, emit)
+            for _, x, lengths in blocks(b.column(0)):
+                f, m, ids, e = expected(x, lengths, start, move, emit)
                 first, moves = first + f, moves + m
                 total[ids] += e
         used = np.flatnonzero(total.any(1))
@@ -189,8 +227,8 @@ def _scored(start, move, emit, n_head, log_mass):
         for b in batches:
             c = b.column(1)
             out = np.zeros((len(c), 4))
-            for rows, x, lengths, _ in blocks(c):
-                *_, ll = forward(x, lengths, np.broadcast_to(start, (len(rows), len(start))), move, emit)
+            for rows, x, lengths in blocks(c):
+                ll = likelihood(x, lengths, start, move, emit)
                 used = np.arange(len(x))[:, None] < lengths
                 is_head = used & (x < n_head)
                 mass = np.where(used, log_mass[x], 0)

@@ -5,7 +5,7 @@ versioned masks over those bits, so a new policy or an ablation never reads a te
 rule alone and kept counts come from one aggregation by distinct bit pattern and bitwise tests.
 
 Defined results: a null text measures as the empty text; a null doc_id is a row like others; repeated rows each get an
-entry; other columns are ignored by ``ledger`` and kept by ``keep``.
+entry; other columns are ignored by ``ledger`` and kept by ``store`` and ``keep``; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -101,15 +101,25 @@ def ablations(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     return p.groupBy(F.col("r.rule").alias("rule")).agg(F.sum(F.when(failed, F.col("count")).otherwise(0)).alias("failed"), F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("count")).otherwise(0)).alias("only_by_it"))
 
 
-def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows that pass the policy, with the input's columns, in one pass and without a shuffle."""
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows (packed in ``row``) with their ledger entry: measures and fail_bits, each rule evaluated once."""
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def measures(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t or "") for t in text], columns=list(MEASURES))
 
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measures("text").alias("m"))
-    d = d.select("row", *[F.col(f"m.{m}").alias(m) for m in MEASURES])
-    return d.filter(fail_bits().bitwiseAND(F.lit(POLICIES[policy])) == 0).select("row.*")
+    return d.select("row", *[F.col(f"m.{m}").alias(m) for m in MEASURES]).withColumn("fail_bits", fail_bits())
+
+
+def store(docs: DataFrame, path: str) -> DataFrame:
+    """Write the rows with their ledger entries once; policies and ablations read the entries back without the texts."""
+    marked(docs).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def keep(stored: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The stored rows that pass the policy, with the input's columns."""
+    return stored.filter(verdict(policy)).select("row.*")
 
 
 def op6_rule_ledger(spark, sf_dir):

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import LOWER_BYTES
+from foldlake.llm.common import LOWER_BYTES, scratch_path
 from foldlake.llm import chat, decontaminate, hmm, html_cut, jaccard, mixing, quality, queries, sharding, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +63,64 @@ def test_hmm_forward_sums_to_one():
     np.testing.assert_allclose(np.exp(ll), brute)
 
 
+@pytest.mark.parametrize("long", [3, 100])
+def test_baum_welch_counts_against_enumeration(monkeypatch, long):
+    monkeypatch.setattr(hmm, "LONG", long)
+    rng = np.random.default_rng(1)
+    k, v = 2, 4
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(v), k).T
+    for lengths in ([7], [5, 3, 1]) if long > 10 else ([7], [8]):
+        texts = [rng.integers(0, v, n) for n in lengths]
+        x = np.zeros((max(lengths), len(lengths)), int)
+        for c, t in enumerate(texts):
+            x[: len(t), c] = t
+        first, moves, ids, emissions = hmm.expected(x, np.array(lengths), start, move, emit)
+        want = [np.zeros(k), np.zeros((k, k)), np.zeros((v, k))]
+        ll = []
+        for t in texts:
+            paths = list(itertools.product(range(k), repeat=len(t)))
+            p = np.array([start[s[0]] * emit[t[0], s[0]] * np.prod([move[a, b] * emit[c, b] for a, b, c in zip(s, s[1:], t[1:])]) for s in paths])
+            ll.append(np.log(p.sum()))
+            for s, q in zip(paths, p / p.sum()):
+                want[0][s[0]] += q
+                for a, b in zip(s, s[1:]):
+                    want[1][a, b] += q
+                for a, c in zip(s, t):
+                    want[2][c, a] += q
+        np.testing.assert_allclose(first, want[0])
+        np.testing.assert_allclose(moves, want[1])
+        np.testing.assert_allclose(emissions, want[2][ids])
+        np.testing.assert_allclose(hmm.likelihood(x, np.array(lengths), start, move, emit), ll)
+
+
+def test_hmm_edges(spark):
+    d = odd_documents(spark)
+    rows = hmm.score(d, hmm.split(7) != 2, head=5, tails=4).collect()
+    assert len(rows) == 9 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
+    assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 7)} == {1} and {r["n_tokens"] for r in rows if r["doc_id"] == 4} == {30_001}
+    assert hmm.score(d.limit(0), hmm.split(7) != 2).count() == 0
+    same = [r for r in rows if r["doc_id"] == 3]
+    assert same[0]["score"] == same[1]["score"]
+
+
+def test_toxicity_edges_and_training_condition(spark):
+    rng = random.Random(3)
+    clean = ["".join(rng.choice("aeiou") + rng.choice("bcdfgm") for _ in range(3)) for _ in range(100)]
+    doc = lambda bad: " ".join([rng.choice(clean) for _ in range(30)] + (["zorkle"] if bad else []))
+    texts = [(k, doc(k % 3 == 0)) for k in range(240)]
+    d = spark.createDataFrame([(*t, "x") for t in texts] + [(None, "zorkle", "x"), (500, None, "x"), (501, "", "x"), (502, "zorkle " * 9000, "x"), (0, "other", "x"), (3, texts[3][1], "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 1) for k in range(240)] + [(None, 1, 1), (7, None, 1), (999, 1, 1)], "doc_id long, toxic long, text int")
+    got = toxicity.score(d, labels, F.col("doc_id") % 2 == 0).collect()
+    assert len(got) == 246 and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is None or r["doc_id"] % 2 == 1) for r in got)
+    by = {r["doc_id"]: r["score"] for r in got if r["doc_id"] not in (0, None)}
+    held = [k for k in range(240) if k % 2]
+    assert np.mean([by[a] > by[b] for a in held if a % 3 == 0 for b in held if b % 3]) > 0.8
+    assert toxicity.score(d.limit(0), labels, F.col("doc_id") % 2 == 0).count() == 0
+    none = toxicity.score(d, labels.limit(0), F.col("doc_id") % 2 == 0).collect()
+    assert {r["score"] for r in none} == {0.0}
+
+
 def test_toxicity_finds_unseen_spellings():
     rng = random.Random(1)
     clean = ["".join(rng.choice("aeiou") + rng.choice("bcdfgm") for _ in range(3)) for _ in range(300)]
@@ -134,7 +192,9 @@ def test_ledger_edges_and_ablations(spark):
     d = odd_documents(spark)
     led = quality.ledger(d)
     assert led.count() == 9 and quality.ledger(d.limit(0)).count() == 0
-    assert {r["doc_id"] for r in quality.keep(d).collect()} == {r["doc_id"] for r in led.filter(quality.verdict()).collect()}
+    stored = quality.store(d, scratch_path(spark, "ledger"))
+    assert {r["doc_id"] for r in quality.keep(stored).collect()} == {r["doc_id"] for r in led.filter(quality.verdict()).collect()}
+    assert quality.ablations(stored).collect() == quality.ablations(led).collect() and quality.keep(stored).columns == d.columns
     a = {r["rule"]: (r["failed"], r["only_by_it"]) for r in quality.ablations(led).collect()}
     bits = [r["fail_bits"] for r in led.collect()]
     for b, (name, _) in quality.RULES.items():
@@ -365,15 +425,3 @@ def test_near_duplicates_stage_against_all_pairs(spark):
     got = [tuple(r) for r in out.select("doc_id", "text").collect()]
     assert out.columns == d.columns and len(want) < len(group)
     assert collections.Counter(i for i, _ in got) == collections.Counter([*want, None, None]) and set(got) <= set(rows) and (903, "x y z") in got
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, ids = docs, None
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = hmm.materialize(stage(spark, kept, SF), name)
-        assert kept.columns == docs.columns and kept.count() > 0
-    out = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
-    assert len(out) == kept.count() and {r["shard"] for r in out} <= set(range(16))
