@@ -15,10 +15,9 @@ PAIR_TYPES = {"CG": 1, "GC": 2, "GU": 3, "UG": 4, "AU": 5, "UA": 6}
 ENERGY_UNITS = {"J": 1.0, "kJ": 1000.0, "cal": 4.184, "kcal": 4184.0, "dcal": 41.84, "eV": 1.602176565e-19, "Wh": 3600.0, "kWh": 3.6e6}
 
 
-def from_text(text: Column, length: int | None = 60) -> Column:
-    """A sequence out of any text: its first letters a-z (all of them where length is None), mapped round-robin to A, C, G, U."""
-    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    return F.translate(letters if length is None else F.substring(letters, 1, length), LETTERS, ("ACGU" * 7)[:26])
+def from_text(text: Column) -> Column:
+    """A sequence out of any text: all its letters a-z, mapped round-robin to A, C, G, U."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, ("ACGU" * 7)[:26])
 
 
 def to_rna(seq: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Aggregates over multiple alignments: rows (aln, seq) of equal-width sequences, gaps as '-'.
+"""Aggregates over multiple alignments: rows (aln, seq); a row ends in gaps up to the longest one.
 
 Everything is computed from counts per column and base (or column pair and base pair), which aggregate before they
 shuffle; no pair of sequences is ever formed.
@@ -6,53 +6,91 @@ shuffle; no pair of sequences is ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import pair_type
+from ..functions.sequence import PAIR_TYPES, pair_type
 
 
-def column_counts(aln: DataFrame, width: int) -> DataFrame:
-    """aln, i, base, n."""
-    cells = aln.select("aln", F.posexplode(F.split(F.rpad("seq", width, "-"), "")).alias("i", "base")).filter("base <> ''")
-    return cells.groupBy("aln", (F.col("i") + 1).alias("i"), "base").agg(F.count(F.lit(1)).alias("n"))
+def _sizes(aln: DataFrame) -> DataFrame:
+    """of, n_seq, width: rows and longest row of each alignment."""
+    return aln.groupBy(F.col("aln").alias("of")).agg(F.count(F.lit(1)).alias("n_seq"), F.max(F.length("seq")).alias("width"))
 
 
-def consensus(aln: DataFrame, width: int) -> DataFrame:
-    """aln, consensus: the most frequent base of each column, the first in code order among equals."""
-    rank = F.row_number().over(W.partitionBy("aln", "i").orderBy(F.desc("n"), "base"))
-    best = column_counts(aln, width).withColumn("r", rank).filter("r = 1")
-    return best.groupBy("aln").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"]), "").alias("consensus"))
+def column_counts(aln: DataFrame) -> DataFrame:
+    """aln, i, A, C, G, U, gap, n_seq, width: one row per column up to the longest row; a row ends in gaps."""
+    cells = aln.select("aln", F.posexplode(F.split("seq", "")).alias("i", "base")).filter("base <> ''")
+    c = cells.groupBy("aln", (F.col("i") + 1).alias("i"), "base").agg(F.count(F.lit(1)).alias("n"))
+    c = c.groupBy("aln", "i").agg(*[F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in "ACGU"])
+    c = c.join(F.broadcast(_sizes(aln)), F.col("aln") == F.col("of")).drop("of")  # one row per alignment
+    return c.withColumn("gap", F.col("n_seq") - F.col("A") - F.col("C") - F.col("G") - F.col("U"))
 
 
-def mean_pairwise_identity(aln: DataFrame, width: int) -> DataFrame:
+def _text(c: DataFrame, letter: Column, name: str) -> DataFrame:
+    """aln and the letters of its columns in order."""
+    x = c.select("aln", F.struct("i", letter.alias("x")).alias("s")).groupBy("aln").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return x.select("aln", F.array_join(F.transform("s", lambda r: r["x"]), "").alias(name))
+
+
+def consensus(aln: DataFrame) -> DataFrame:
+    """aln, consensus: the most frequent base of each column, the first in code order (gap first) among equals."""
+    most = F.greatest("gap", *"ACGU")
+    letter = F.when(F.col("gap") == most, "-")
+    for b in "ACGU":
+        letter = letter.when(F.col(b) == most, b)
+    return _text(column_counts(aln), letter, "consensus")
+
+
+def mean_pairwise_identity(aln: DataFrame) -> DataFrame:
     """aln, n_seq, identity: equal columns over all pairs of sequences, in whole percent."""
-    c = column_counts(aln, width)
-    n = c.filter("i = 1").groupBy("aln").agg(F.sum("n").alias("n_seq")).withColumnRenamed("aln", "a")
-    same = c.groupBy("aln").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
-    j = same.join(n, F.col("aln") == F.col("a"))
-    ordered = F.col("n_seq") * (F.col("n_seq") - 1) * width
+    same = sum(F.col(b) * (F.col(b) - 1) for b in (*"ACGU", "gap"))
+    j = column_counts(aln).groupBy("aln").agg(F.max("n_seq").alias("n_seq"), F.max("width").alias("width"), F.sum(same).alias("same"))
+    ordered = F.col("n_seq") * (F.col("n_seq") - 1) * F.col("width")
     return j.select("aln", "n_seq", F.when(ordered > 0, F.floor(100 * F.col("same") / ordered)).otherwise(100).alias("identity"))
 
 
-def pair_support(aln: DataFrame, width: int, span: int = 4) -> DataFrame:
-    """aln, i, j, n_seq, compatible, types: sequences whose bases can pair in columns i and j, and how many kinds of pair."""
-    spots = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, width + 1) for j in range(i + span, width + 1)]
-    rows = aln.select("aln", F.rpad("seq", width, "-").alias("s"), F.explode(F.array(*spots)).alias("x"))
-    t = rows.select("aln", "x.i", "x.j", pair_type(F.substring("s", F.col("x.i"), F.lit(1)), F.substring("s", F.col("x.j"), F.lit(1))).alias("t"))
-    c = t.groupBy("aln", "i", "j", "t").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("aln", "i", "j").agg(F.sum("n").alias("n_seq"), F.sum(F.when(F.col("t") > 0, F.col("n")).otherwise(0)).alias("compatible"), F.sum((F.col("t") > 0).cast("int")).alias("types"))
+def _pair_kinds(aln: DataFrame, span: tuple[int, int]) -> DataFrame:
+    """aln, i, j, t (kind of pair) for every row and pair of columns within the span that the row can pair."""
+    rows = aln.filter(F.length("seq") > span[0]).select("aln", F.split("seq", "").alias("b"))
+    ahead = range(span[0], span[1] + 1)
+    at = lambda k: F.array(*[F.struct((k + 1).alias("i"), (k + 1 + d).alias("j"), pair_type(F.get("b", k), F.get("b", k + d)).alias("t")) for d in ahead])
+    kinds = F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 1 - span[0]), at))
+    return rows.select("aln", F.explode(F.filter(kinds, lambda x: x["t"] > 0)).alias("p")).select("aln", "p.*")
+
+
+def pair_support(aln: DataFrame, span: tuple[int, int] = (4, 8)) -> DataFrame:
+    """aln, i, j, n_seq, compatible, types, entropy for the pairs of columns within the span that some row can pair: rows
+    whose bases can pair, how many kinds of pair, and the entropy (bits) of the kinds among all rows."""
+    c = _pair_kinds(aln, span).groupBy("aln", "i", "j", "t").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(_sizes(aln)), F.col("aln") == F.col("of"))
+    g = c.groupBy("aln", "i", "j").agg(F.max("n_seq").alias("n_seq"), F.sum("n").alias("compatible"), F.count(F.lit(1)).alias("types"), F.sum(F.col("n") / F.col("n_seq") * F.log2(F.col("n") / F.col("n_seq"))).alias("s"))
+    rest = 1 - F.col("compatible") / F.col("n_seq")
+    return g.select("aln", "i", "j", "n_seq", "compatible", "types", (-F.col("s") - F.when(rest > 0, rest * F.log2(rest)).otherwise(0.0)).alias("entropy"))
+
+
+def covariance(aln: DataFrame, span: tuple[int, int] = (4, 8), penalty: float = 1.0) -> DataFrame:
+    """aln, i, j, score: mean over pairs of rows of the distance of their base pairs where both can pair, less
+    ``penalty`` times the share of rows that can't (a gap in the first column counts a quarter).
+
+    From counts of the kinds of pair alone; pairs of columns that no row can pair have no row.
+    """
+    c = _pair_kinds(aln, span).groupBy("aln", "i", "j").agg(*[F.sum((F.col("t") == k).cast("long")).alias(f"t{k}") for k in PAIR_TYPES.values()])
+    gaps = column_counts(aln).select(F.col("aln").alias("g_aln"), F.col("i").alias("g_i"), F.col("gap").alias("empty"), "n_seq")
+    c = c.join(gaps, (F.col("aln") == F.col("g_aln")) & (F.col("i") == F.col("g_i")))
+    names = list(PAIR_TYPES.items())
+    apart = sum(F.col(f"t{v}") * F.col(f"t{w}") * sum(x != y for x, y in zip(a, b)) for k, (a, v) in enumerate(names) for b, w in names[k + 1 :])
+    wrong = F.col("n_seq") - sum(F.col(f"t{k}") for k in PAIR_TYPES.values()) - F.col("empty") * 0.75
+    pairs_of_rows = F.col("n_seq") * (F.col("n_seq") - 1) / 2
+    return c.select("aln", "i", "j", (F.when(pairs_of_rows > 0, apart / pairs_of_rows).otherwise(0.0) - penalty * wrong / F.col("n_seq")).alias("score"))
 
 
-def most_informative(aln: DataFrame, width: int) -> DataFrame:
+def most_informative(aln: DataFrame) -> DataFrame:
     """aln, mis: per column the IUPAC letter of all bases at least as frequent there as in the whole alignment, lower
     case where gaps are more frequent than in the whole alignment; '-' where no base is."""
-    c = column_counts(aln, width).groupBy("aln", "i").agg(*[F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in "ACGU-"])
-    every = W.partitionBy("aln")
-    bit = lambda b, v: F.when(F.col(b) * width >= F.sum(b).over(every), v).otherwise(0)
+    c = column_counts(aln)
+    every = c.groupBy(F.col("aln").alias("e")).agg(*[F.sum(b).alias(f"all_{b}") for b in (*"ACGU", "gap")])
+    c = c.join(F.broadcast(every), F.col("aln") == F.col("e"))  # one row per alignment
+    bit = lambda b, v: F.when(F.col(b) * F.col("width") >= F.col(f"all_{b}"), v).otherwise(0)
     code = bit("A", 1) + bit("C", 2) + bit("G", 4) + bit("U", 8)
     # IUPAC letters by the set of A (1), C (2), G (4), U (8).
     letter = F.substring(F.lit("-ACMGRSVUWYHKDBN"), code + 1, F.lit(1))
-    cased = F.when(F.col("`-`") * width > F.sum("`-`").over(every), F.lower(letter)).otherwise(letter)
-    return c.select("aln", "i", cased.alias("x")).groupBy("aln").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]), "").alias("mis"))
+    return _text(c, F.when(F.col("gap") * F.col("width") > F.col("all_gap"), F.lower(letter)).otherwise(letter), "mis")

@@ -7,12 +7,12 @@ have none of their own.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import pair_type
-from .structure import positions
+from ..functions.sequence import PAIR_TYPES
+from .structure import Structure, by_row, letters
 
 # Nearest-neighbour parameters; types CG GC GU UG AU UA and any other pair; loop sizes 0 to 30.
 STACK = [
@@ -46,31 +46,39 @@ def _by_size(values: list[int], n: Column) -> Column:
     return F.when(n <= 30, _at(values, n)).otherwise(longer)
 
 
+_TYPES = np.full(1 << 16, 7, np.int64)
+for _pair, _type in PAIR_TYPES.items():
+    _TYPES[ord(_pair[0]) << 8 | ord(_pair[1])] = _type
+
+
+def _loops(text: str | None, bases: str | None):
+    """Arrays over the loops of one structure: i, j, n_stems, p, q, type, inner, n_au, as in loops()."""
+    s = Structure(text)
+    i, j = s.pairs()
+    around = s.around()
+    b = np.zeros(s.n, np.int64)
+    own = letters(bases)[: s.n]
+    b[: len(own)] = own
+    kind = _TYPES[b[i - 1] << 8 | b[j - 1]]
+    stems = np.bincount(around, minlength=s.n + 1)
+    au = np.bincount(around, weights=kind > 2, minlength=s.n + 1).astype(np.int64)
+    first = np.zeros(s.n + 1, np.int64)
+    first[around[::-1]] = np.arange(len(i), 0, -1)  # the first pair inside each opening position, from 1
+    at = np.r_[0, i] if len(i) else i
+    f = first[at] - 1
+    pick = lambda x: np.where(f >= 0, x[np.maximum(f, 0)] if len(x) else 0, 0)
+    turned = np.array([7, *REVERSE])
+    return at, np.r_[0, j][: len(at)], stems[at], pick(i), pick(j), np.r_[0, kind][: len(at)], pick(turned[kind]), au[at]
+
+
 def loops(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
-    """One row per loop: key, i, j (closing pair; 0 for the exterior loop), n_stems inside, p, q (first pair inside),
-    type of the closing pair, inner (type of the first pair, from its inside), n_au (AU-like pairs inside).
+    """One row per loop: key, i, j (closing pair; 0 for the exterior loop), n_stems inside, p, q (first pair inside, or 0),
+    type of the closing pair (0: none), inner (type of the first pair, from its inside), n_au (AU-like pairs inside).
 
-    Each pair goes to its own loop and to the loop around it, which is that of the last pair opened one level up.
     Structures without pairs have no rows.
     """
-    t = positions(df, key, structure, seq)
-    w = W.partitionBy(key, "level", F.col("c") != ".").orderBy("i")
-    t = t.withColumn("j", F.lead("i").over(w)).withColumn("other", F.lead("base").over(w)).filter("c = '('")
-    kind = pair_type(F.col("base"), F.col("other"))
-    t = t.select(key, "i", "j", "level", F.when(kind == 0, 7).otherwise(kind).alias("type"))
-    sides = F.array(F.struct(F.col("level").alias("slot"), F.lit(True).alias("own")), F.struct((F.col("level") - 1).alias("slot"), F.lit(False).alias("own")))
-    t = t.select(key, "i", "j", "type", F.explode(sides).alias("s")).select(key, "i", "j", "type", "s.*")
-    around = F.last(F.when(F.col("own"), F.col("i")), ignorenulls=True).over(W.partitionBy(key, "slot").orderBy("i"))
-    t = t.withColumn("loop", F.coalesce(around, F.lit(0)))
-    first = F.min(F.when(~F.col("own"), F.struct("i", "j", "type")))
-    g = t.groupBy(key, "slot", "loop").agg(
-        F.max(F.when(F.col("own"), F.col("j"))).alias("j"),
-        F.max(F.when(F.col("own"), F.col("type"))).alias("type"),
-        F.sum(F.when(F.col("own"), 0).otherwise(1)).alias("n_stems"),
-        F.sum(F.when(~F.col("own") & (F.col("type") > 2), 1).otherwise(0)).alias("n_au"),
-        first.alias("f"),
-    )
-    return g.select(key, F.col("loop").alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "n_stems", F.col("f.i").alias("p"), F.col("f.j").alias("q"), "type", _at(REVERSE, F.col("f.type") - 1).alias("inner"), "n_au")
+    names = "i int, j int, n_stems int, p int, q int, type int, inner int, n_au int"
+    return by_row(df, key, [structure, seq], names, lambda text, bases: tuple(x.astype(np.int32) for x in _loops(text, bases)))
 
 
 def loop_energies(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:

@@ -1,90 +1,314 @@
 """Operators on secondary structures: DataFrames with an id and a dot-bracket column, rows for positions and pairs.
 
-Positions are 1-based. All windows are partitioned by the structure (or finer), so work spreads over structures.
+A structure lies in one row, so each operator is one pass over Arrow batches without a shuffle: the arrays of a
+structure (levels, partners, loops) come from running sums and one sort by level. Positions are 1-based.
+
+Defined results: a null or empty structure has no positions and no pairs; null and repeated ids are rows like others;
+brackets without a partner are read as unpaired; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+_ROWS_HELD = 200_000
+
+
+def letters(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)
+
+
+def matched(opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The brackets that have a partner, out of positions that open and that close."""
+    s = np.cumsum(opens.astype(np.int64) - closes)
+    lowest = np.minimum.accumulate(np.r_[0, s])[:-1]
+    after = np.minimum.accumulate(np.r_[s, np.iinfo(np.int64).max][::-1])[::-1][1:]
+    return opens & (after < s), closes & (lowest <= s)
+
+
+class Structure:
+    """Arrays over the positions of one dot-bracket string."""
+
+    def __init__(self, text: str | None, brackets: str = "()"):
+        c = letters(text)
+        self.n = len(c)
+        self.opens, self.closes = matched(c == ord(brackets[0]), c == ord(brackets[1]))
+        self.height = np.cumsum(self.opens.astype(np.int64) - self.closes)
+        self.level = self.height + self.closes
+        at = np.flatnonzero(self.opens | self.closes)
+        at = at[np.argsort(self.level[at], kind="stable")]  # of each level: open, close, open, close ...
+        self.partner = np.zeros(self.n, np.int64)
+        self.partner[at[0::2]], self.partner[at[1::2]] = at[1::2] + 1, at[0::2] + 1
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        i = np.flatnonzero(self.opens)
+        return i + 1, self.partner[i]
+
+    def opener(self, slot: np.ndarray) -> np.ndarray:
+        """For each position, the last position at or before it that opens level ``slot`` (0-based; -1 where slot is 0)."""
+        at = np.arange(self.n)
+        keys = np.sort(self.level[self.opens] * (self.n + 1) + at[self.opens])
+        k = np.searchsorted(keys, slot * (self.n + 1) + at, side="right") - 1
+        return np.where(slot > 0, keys[np.maximum(k, 0)] % (self.n + 1) if len(keys) else -1, -1)
+
+    def loop(self) -> np.ndarray:
+        """Ordinal of the opening bracket of the pair that a position closes or lies in; 0 outside."""
+        return np.where(self.level > 0, np.cumsum(self.opens)[self.opener(self.level)] if self.n else 0, 0)
+
+    def around(self) -> np.ndarray:
+        """For each pair, in the order of pairs(): the opening position (1-based) of the pair around it, or 0."""
+        return self.opener(self.level - 1)[self.opens] + 1
 
-def _chars(text) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    def helices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and lengths of maximal stacks."""
+        i, j = self.pairs()
+        first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] - 1)]) if len(i) else np.empty(0, np.int64)
+        return i[first], j[first], np.diff(np.r_[first, len(i)])
 
 
-def positions(df: DataFrame, key: str = "doc_id", structure: str = "structure", seq: str | None = None) -> DataFrame:
-    """key, i, c, height (open pairs after i), level (of the pair or loop that i belongs to), and with seq the base at i."""
-    p = df.select(key, F.posexplode(_chars(structure)).alias("i", "c"))
-    if seq:
-        both = F.zip_with(_chars(structure), _chars(F.coalesce(F.col(seq), F.lit(""))), lambda c, b: F.struct(c.alias("c"), b.alias("base")))
-        p = df.select(key, F.posexplode(both).alias("i", "x")).select(key, "i", "x.*").filter("c IS NOT NULL")
-    p = p.withColumn("i", F.col("i") + 1)
-    turn = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
-    p = p.withColumn("height", F.sum(turn).over(W.partitionBy(key).orderBy("i")))
-    return p.withColumn("level", F.col("height") + F.when(F.col("c") == ")", 1).otherwise(0))
+def bracketed(opening: str, closing: str) -> Callable[[Column | str], Column]:
+    """A column function: the structure that pairs the letters ``opening`` and ``closing`` of a sequence as brackets."""
+    @F.pandas_udf("string")
+    def run(seqs: pd.Series) -> pd.Series:
+        out = []
+        for t in seqs:
+            c = letters(t)
+            opens, closes = matched(c == ord(opening), c == ord(closing))
+            out.append(np.where(opens, 40, np.where(closes, 41, 46)).astype(np.uint8).tobytes().decode())
+        return pd.Series(out)
+
+    return run
+
+
+def by_row(df: DataFrame, key: str, columns: list[str], out: str, run: Callable) -> DataFrame:
+    """key and the columns of ``out`` for each element of the arrays that run(values of columns) gives for a row."""
+    kind = dict(df.dtypes)[key]
+
+    def rows(batches):
+        for b in batches:
+            ids, held, size = [], [], 0
+            for k in range(len(b)):
+                arrays = run(*(b.column(c + 1)[k].as_py() for c in range(len(columns))))
+                n = len(arrays[0])
+                if n:
+                    ids.append((k, n))
+                    held.append(arrays)
+                    size += n
+                if held and (size > _ROWS_HELD or k + 1 == len(b)):
+                    take = pa.array(np.repeat([i for i, _ in ids], [m for _, m in ids]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(np.concatenate(x)) for x in zip(*held)]], names)
+                    ids, held, size = [], [], 0
+
+    names = [key, *[c.split()[0] for c in out.split(", ")]]
+    return df.select(key, *columns).mapInArrow(rows, f"`{key}` {kind}, {out}")
 
 
 def pair_table(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
     """key, i, partner for every position; partner 0 where unpaired."""
-    p = positions(df, key, structure)
-    w = W.partitionBy(key, "level", F.col("c") != ".").orderBy("i")
-    partner = F.when(F.col("c") == "(", F.lead("i").over(w)).when(F.col("c") == ")", F.lag("i").over(w)).otherwise(0)
-    return p.select(key, "i", partner.alias("partner"))
+    def run(text):
+        s = Structure(text)
+        return np.arange(1, s.n + 1, dtype=np.int32), s.partner.astype(np.int32)
+
+    return by_row(df, key, [structure], "i int, partner int", run)
 
 
 def pairs(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
     """key, i, j with i < j."""
-    return pair_table(df, key, structure).filter("partner > i").select(key, "i", F.col("partner").alias("j"))
+    return by_row(df, key, [structure], "i int, j int", lambda text: tuple(x.astype(np.int32) for x in Structure(text).pairs()))
+
+
+def knotted_pairs(df: DataFrame, key: str = "doc_id", structure: str = "structure", brackets: tuple[str, ...] = ("()", "[]")) -> DataFrame:
+    """key, i, j, layer of the pairs of each kind of bracket; layers may cross."""
+    def run(text):
+        out = [(*Structure(text, b).pairs(), k) for k, b in enumerate(brackets)]
+        return *(np.concatenate([o[x] for o in out]).astype(np.int32) for x in (0, 1)), np.concatenate([np.full(len(o[0]), o[2], np.int32) for o in out])
+
+    return by_row(df, key, [structure], "i int, j int, layer int", run)
 
 
 def loop_index(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
     """key, i, loop: 0 outside, else the ordinal of the opening bracket of the pair that i closes with or lies in."""
-    p = positions(df, key, structure)
-    p = p.withColumn("opened", F.sum((F.col("c") == "(").cast("int")).over(W.partitionBy(key).orderBy("i")))
-    last = F.last(F.when(F.col("c") == "(", F.col("opened")), ignorenulls=True).over(W.partitionBy(key, "level").orderBy("i"))
-    return p.select(key, "i", F.when(F.col("level") == 0, 0).otherwise(last).alias("loop"))
+    def run(text):
+        s = Structure(text)
+        return np.arange(1, s.n + 1, dtype=np.int32), s.loop()
+
+    return by_row(df, key, [structure], "i int, loop long", run)
+
+
+def mountain_heights(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
+    """key, i, height: pairs open after i."""
+    def run(text):
+        s = Structure(text)
+        return np.arange(1, s.n + 1, dtype=np.int32), s.height.astype(np.int32)
+
+    return by_row(df, key, [structure], "i int, height int", run)
 
 
 def helices(df: DataFrame, key: str = "doc_id", structure: str = "structure") -> DataFrame:
-    """key, start, end, length of maximal stacks: islands of pairs (i, j), (i + 1, j - 1), ..."""
-    p = pairs(df, key, structure).withColumn("sum", F.col("i") + F.col("j"))
-    p = p.withColumn("island", F.col("i") - F.row_number().over(W.partitionBy(key, "sum").orderBy("i")))
-    return p.groupBy(key, "sum", "island").agg(F.min("i").alias("start"), F.max("j").alias("end"), F.count(F.lit(1)).alias("length")).drop("sum", "island")
+    """key, start, end, length of maximal stacks: pairs (i, j), (i + 1, j - 1), ..."""
+    def run(text):
+        i, j, n = Structure(text).helices()
+        return i.astype(np.int32), j.astype(np.int32), n
+
+    return by_row(df, key, [structure], "start int, end int, length long", run)
+
+
+def merged_helices(df: DataFrame, most: int = 1, key: str = "doc_id", structure: str = "structure") -> DataFrame:
+    """key, start, end, length (pairs), up5, up3: stacks joined across interior loops of at most ``most`` unpaired bases a side."""
+    def run(text):
+        s = Structure(text)
+        i, j, n = s.helices()
+        if not len(i):
+            return (i,) * 5
+        left, right = i[1:] - (i[:-1] + n[:-1]), (j[:-1] - n[:-1]) - j[1:]
+        joins = (left >= 0) & (right >= 0) & (left <= most) & (right <= most) & (s.around()[np.searchsorted(s.pairs()[0], i[1:])] == i[:-1] + n[:-1] - 1)
+        first = np.flatnonzero(np.r_[True, ~joins])
+        up = [np.add.reduceat(np.r_[0, np.where(joins, x, 0)], first) for x in (left, right)]
+        return i[first], j[first], np.add.reduceat(n, first), *up
+
+    return by_row(df, key, [structure], "start long, end long, length long, up5 long, up3 long", run)
 
 
 def pair_distance(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     """key, distance: pairs in exactly one of the two structures of a row."""
-    both = pairs(df, key, a).withColumn("side", F.lit(1)).unionByName(pairs(df, key, b).withColumn("side", F.lit(2)))
-    one = both.groupBy(key, "i", "j").agg(F.sum("side").alias("s")).filter("s < 3").groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(key, "k")
-    return df.select(key).join(one, F.col(key) == F.col("k"), "left").select(key, F.coalesce("n", F.lit(0)).alias("distance"))
+    def run(x, y):
+        p, q = (set(zip(*(v.tolist() for v in Structure(t).pairs()))) for t in (x, y))
+        return (np.array([len(p ^ q)], np.int64),)
+
+    return by_row(df, key, [a, b], "distance long", run)
 
 
 def mountain_distance(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     """key, distance: sum over the positions of the first structure of the absolute difference of heights."""
-    short = df.withColumn("__b", F.substring(F.col(b), F.lit(1), F.length(a)))
-    both = positions(df, key, a).select(key, "i", "height").unionByName(positions(short, key, "__b").select(key, "i", (-F.col("height")).alias("height")))
-    return both.groupBy(key, "i").agg(F.abs(F.sum("height")).alias("d")).groupBy(key).agg(F.sum("d").alias("distance"))
+    def run(x, y):
+        p, q = Structure(x).height, Structure(y).height[: len(x or "")]
+        return (np.array([np.abs(p - np.r_[q, np.zeros(len(p) - len(q), np.int64)]).sum()], np.int64),)
+
+    return by_row(df, key, [a, b], "distance long", run)
 
 
 def connect_table(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
     """Rows of a connect table: key, i, base, before, after (0 at the end), partner."""
-    t = pair_table(df, key, structure)
-    b = df.select(F.col(key).alias("k"), F.posexplode(F.split(seq, "")).alias("p", "base"), F.length(structure).alias("n"))
-    j = t.join(b, (F.col(key) == F.col("k")) & (F.col("i") == F.col("p") + 1))
-    return j.select(key, "i", "base", (F.col("i") - 1).alias("before"), F.when(F.col("i") < F.col("n"), F.col("i") + 1).otherwise(0).alias("after"), "partner")
+    def run(text, bases):
+        s = Structure(text)
+        i = np.arange(1, s.n + 1, dtype=np.int32)
+        return i, np.array(list((bases or "").ljust(s.n)[: s.n]), object), i - 1, np.where(i < s.n, i + 1, 0).astype(np.int32), s.partner.astype(np.int32)
+
+    return by_row(df, key, [structure, seq], "i int, base string, before int, after int, partner int", run)
+
+
+#: What a position is called in an element string.
+EXTERIOR, HAIRPIN, INTERIOR, MULTI, STACK = "EHIMS"
+
+
+def element_text(text: str | None) -> str:
+    """Letters E, H, I, M for unpaired positions of exterior, hairpin, interior and multiloops, S for paired ones."""
+    s = Structure(text)
+    if not s.n:
+        return ""
+    inner = np.bincount(s.around(), minlength=s.n + 1)  # stems directly inside each opening position
+    own = s.opener(s.height) + 1
+    kind = np.select([own == 0, inner[own] == 0, inner[own] == 1], [ord(EXTERIOR), ord(HAIRPIN), ord(INTERIOR)], ord(MULTI))
+    return np.where(s.partner > 0, ord(STACK), kind).astype(np.uint8).tobytes().decode()
+
+
+def tree_text(text: str | None) -> str:
+    """Full tree in brackets: U for an unpaired position, P for a pair, R for the root around all."""
+    s = Structure(text)
+    return "(" + "".join(np.where(s.opens, "(", np.where(s.closes, "P)", "(U)")).tolist()) + "R)"
+
+
+def homeomorphic_text(text: str | None) -> str:
+    """Homeomorphic tree: runs of unpaired positions are (Un), stacks of n pairs one node Pn, the root R."""
+    s, out, run = Structure(text), [], 0
+    i, j, n = s.helices()
+    at = {int(a) + int(m) - 1: int(m) for a, m in zip(i, n)}  # innermost opening position of a stack -> its pairs
+    shut = {int(b): int(m) for b, m in zip(j, n)}
+    for k in range(1, s.n + 2):
+        if k <= s.n and not s.partner[k - 1]:
+            run += 1
+            continue
+        if run:
+            out.append(f"(U{run})")
+            run = 0
+        if k in at:
+            out.append("(")
+        if k in shut:
+            out.append(f"P{shut[k]})")
+    return "(" + "".join(out) + "R1)"
+
+
+def coarse_text(text: str | None) -> str:
+    """Coarse tree of loops: H, B, I and M for hairpins, bulges, interior and multiloops, nested by stems, R the root."""
+    s, kids = Structure(text), {}
+    i, j, n = s.helices()
+    outer = s.around()[np.searchsorted(s.pairs()[0], i)] if len(i) else i
+    end = {int(a + m - 1): int(b - m + 1) for a, b, m in zip(i, j, n)}
+    for a, m, o in zip(i.tolist(), n.tolist(), outer.tolist()):
+        kids.setdefault(o, []).append((a, a + m - 1))
+    out, todo = [], [("close", "R"), *[("open", b) for _, b in reversed(kids.get(0, []))]]
+    while todo:
+        what, x = todo.pop()
+        if what == "close":
+            out.append(f"{x})")
+            continue
+        own = kids.get(x, [])
+        if len(own) == 1:
+            p = own[0][0]
+            q = int(s.partner[p - 1])
+            name = "B" if p == x + 1 or q == end[x] - 1 else "I"
+        else:
+            name = "M" if own else "H"
+        out.append("(")
+        todo += [("close", name), *[("open", b) for _, b in reversed(own)]]
+    return "(" + "".join(out)
+
+
+def per_text(name: Callable[[str | None], str]) -> Callable[[Column | str], Column]:
+    """A column function out of a function of one structure text."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([name(t) for t in texts])
+
+    return run
 
 
 def from_pairs(p: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, structure from pair rows and (key, n)."""
-    ends = F.explode(F.array(F.struct(F.col("i").alias("at"), F.lit("(").alias("c")), F.struct(F.col("j").alias("at"), F.lit(")").alias("c"))))
-    marks = p.select(F.col(key).alias("k"), ends.alias("e")).groupBy("k").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    marks = marks.withColumn("before", F.concat(F.array(F.lit(0)), F.slice(F.transform("e", lambda x: x["at"]), F.lit(1), F.size("e") - 1)))
-    parts = F.zip_with("e", "before", lambda x, y: F.concat(F.repeat(F.lit("."), x["at"] - y - 1), x["c"]))
-    marks = marks.select("k", F.array_join(parts, "").alias("s"))
+    """key, structure from pair rows and (key, n). Keys are distinct."""
+    marks = p.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("i", "j")).alias("e"))
     j = lengths.join(marks, F.col(key) == F.col("k"), "left")
-    return j.select(key, F.rpad(F.coalesce("s", F.lit("")), F.col("n"), F.lit(".")).alias("structure"))
+
+    @F.pandas_udf("string")
+    def text(n: pd.Series, e: pd.Series) -> pd.Series:
+        out = []
+        for size, own in zip(n, e):
+            t = bytearray(b"." * int(size))
+            for x in own if own is not None else ():
+                t[x["i"] - 1], t[x["j"] - 1] = 40, 41
+            out.append(t.decode())
+        return pd.Series(out)
+
+    return j.select(key, text("n", "e").alias("structure"))
+
+
+def pack(structure: Column) -> Column:
+    """Hex text of five positions a byte: '(' 0, '.' 1, ')' 2 in base three, plus one."""
+    digits = F.rpad(F.translate(structure, "(.)", "012"), F.ceil(F.length(structure) / 5).cast("int") * 5, F.lit("0"))
+    parts = F.regexp_extract_all(digits, F.lit("(.{5})"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.lpad(F.hex(F.conv(x, 3, 10).cast("int") + 1), 2, "0")), "")
+
+
+def unpack(packed: Column, n: Column) -> Column:
+    """The first n positions of a packed structure."""
+    parts = F.regexp_extract_all(packed, F.lit("(.{2})"), F.lit(1))
+    digits = F.array_join(F.transform(parts, lambda x: F.lpad(F.conv((F.conv(x, 16, 10).cast("int") - 1).cast("string"), 10, 3), 5, "0")), "")
+    return F.translate(F.substring(digits, F.lit(1), n), "012", "(.)")
 
 
 def ensemble(p: DataFrame, key: str = "id") -> DataFrame:

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
 from ..operators import alignment, energy, folding, matching, structure
 
-#: Structures that queries pair with sequences, by doc_id modulo their number.
-STRUCTURES = [".(((....))((....))).", ".(.((....))..((....))..).", ".(.((....))..((....))((....)).).", "((......))", "(.(......).)", "((.(......).))"]
+#: Letters in a piece of a sequence that is folded on its own.
 WIDTH = 60
+#: Documents (by id) that a task takes at once to find the one before.
+STEP = 1000
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark, sf_dir, width=WIDTH):
+def sequences(spark, sf_dir):
+    """doc_id, lang, source and seq: the letters of the whole text as a sequence."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "source", F.coalesce(fs.from_text(F.col("text"), width), F.lit("")).alias("seq"))
+    return d.select("doc_id", "lang", "source", F.coalesce(fs.from_text(F.col("text")), F.lit("")).alias("seq"))
 
 
 def pieces(spark, sf_dir):
     """key (doc_id:piece) and seq: all letters of every text in consecutive pieces of WIDTH, from 0; one empty piece of a text without letters."""
-    s = sequences(spark, sf_dir, None)
+    s = sequences(spark, sf_dir)
     cut = F.when(F.col("seq") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("seq", F.lit(f"(.{{1,{WIDTH}}})"), F.lit(1)))
     p = s.select("doc_id", F.posexplode(cut).alias("piece", "seq"))
     return p.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("piece").cast("string")).alias("key"), "seq")
@@ -38,180 +38,192 @@ def _of_piece(key="key"):
     return part(1).try_cast("long").alias("doc_id"), part(2).cast("int").alias("piece")
 
 
-def structures(spark, sf_dir, width=WIDTH):
-    """doc_id, seq, structure and other: sequences long enough for the structure that doc_id picks, and the one after it.
-
-    With width None every document has a row: both structures are repeated over its whole sequence and unpaired in the rest.
-    """
-    n = len(STRUCTURES)
-    pick = lambda k: F.element_at(F.array(*[F.lit(s) for s in STRUCTURES]), (F.pmod(F.col("doc_id") + k, F.lit(n)) + 1).cast("int"))
-    s = sequences(spark, sf_dir, width).select("doc_id", "seq", pick(0).alias("structure"), pick(1).alias("other"))
-    if width is None:
-        n_seq = F.length("seq")
-        tiled = lambda c: F.rpad(F.repeat(c, F.floor(n_seq / F.length(c)).cast("int")), n_seq, F.lit("."))
-        return s.select("doc_id", "seq", *[tiled(F.col(c)).alias(c) for c in ("structure", "other")])
-    return s.filter(F.length("seq") >= F.length("structure")).withColumn("seq", F.substring("seq", F.lit(1), F.length("structure")))
-
+def structures(spark, sf_dir):
+    """doc_id, seq, structure and other: the whole sequence, and the structures that pair its G with C, and its A with U,
+    as brackets; those without a partner are unpaired."""
+    return sequences(spark, sf_dir).select("doc_id", "seq", structure.bracketed("G", "C")("seq").alias("structure"), structure.bracketed("A", "U")("seq").alias("other"))
 
-def alignment_rows(spark, sf_dir, width):
-    return sequences(spark, sf_dir).filter(F.length("seq") > 0).select(F.col("source").alias("aln"), F.substring("seq", 1, width).alias("seq"))
 
+def alignment_rows(spark, sf_dir):
+    """aln and seq: the sequences of a source are the rows of an alignment, which end in gaps."""
+    return sequences(spark, sf_dir).filter(F.length("seq") > 0).select(F.col("source").alias("aln"), "seq")
 
-SEQ = r"seqs AS (SELECT doc_id, lang, source, coalesce(translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ACGUACGUACGUACGUACGUACGUAC'), '') AS seq FROM documents)"
-_LIST = "[" + ", ".join(f"'{s}'" for s in STRUCTURES) + "]"
-#: The same over whole texts.
-WHOLE_SEQ = SEQ.replace("substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60)", "regexp_replace(lower(text), '[^a-z]', '', 'g')")
-STR = SEQ + f""", str0 AS (SELECT doc_id, seq, {_LIST}[CAST(doc_id % 6 AS INT) + 1] AS structure, {_LIST}[CAST((doc_id + 1) % 6 AS INT) + 1] AS other FROM seqs),
-strs AS (SELECT doc_id, substr(seq, 1, length(structure)) AS seq, structure, other FROM str0 WHERE length(seq) >= length(structure))"""
 
-_TILED = ", ".join(f"repeat({{c}}, CAST(floor(length(seq) / length({{c}})) AS INT)) || repeat('.', CAST(length(seq) % length({{c}}) AS INT)) AS {{c}}".format(c=c) for c in ("structure", "other"))
-WHOLE_STR = STR[: STR.index("strs AS (")].replace(SEQ, WHOLE_SEQ) + f"strs AS (SELECT doc_id, seq, {_TILED} FROM str0)"
+SEQ = r"seqs AS (SELECT doc_id, lang, source, coalesce(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGUACGUACGUACGUACGUACGUAC'), '') AS seq FROM documents)"
+STR = SEQ + """, strs AS (SELECT doc_id, seq FROM seqs),
+chars AS (SELECT doc_id, c, CAST(i AS INT) AS i FROM (SELECT doc_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM seqs) WHERE i IS NOT NULL)"""
 
 
 def _pairs_sql(name: str, column: str) -> str:
-    return f"""{name}_p AS (SELECT doc_id, CAST(i AS INT) AS i, substr({column}, i, 1) AS c FROM (SELECT doc_id, {column}, unnest(range(1, length({column}) + 1)) AS i FROM strs)),
+    opening, closing = {"structure": "GC", "other": "AU"}[column]
+    return f"""{name}_d AS (SELECT doc_id, i, CASE c WHEN '{opening}' THEN 1 WHEN '{closing}' THEN -1 ELSE 0 END AS d FROM chars),
+{name}_s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM {name}_d),
+{name}_m AS (SELECT *, coalesce(least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS low, min(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM {name}_s),
+{name}_p AS (SELECT doc_id, i, CASE WHEN d = 1 AND after < s THEN '(' WHEN d = -1 AND low <= s THEN ')' ELSE '.' END AS c FROM {name}_m),
 {name}_h AS (SELECT *, CAST(sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS height FROM {name}_p),
 {name}_l AS (SELECT *, height + CASE c WHEN ')' THEN 1 ELSE 0 END AS level FROM {name}_h),
 {name}_t AS (SELECT doc_id, i, c, height, level, CASE c WHEN '(' THEN lead(i) OVER w WHEN ')' THEN lag(i) OVER w ELSE 0 END AS partner FROM {name}_l WINDOW w AS (PARTITION BY doc_id, level, c <> '.' ORDER BY i)),
 {name} AS (SELECT doc_id, i, partner AS j FROM {name}_t WHERE partner > i)"""
 
 
-LOOP_JOIN = "up AS (SELECT"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Registers a query with its SQL; with whole, also whole_ and its name: the same over all letters of the texts."""
+def query(sql: str | None = None):
+    """Registers a query with its SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
-        if whole:
-            QUERIES[f"whole_{f.__name__}"] = partial(f, width=None)
-            if LOOP_JOIN not in sql:  # that join tries all pairs of pairs of a document
-                ORACLES[f"whole_{f.__name__}"] = sql.replace(STR, WHOLE_STR).replace(SEQ, WHOLE_SEQ)
         return f
 
     return add
 
 
 @query(f"""WITH {SEQ} SELECT lang, count(*) AS n_seq, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS BIGINT) AS n_gc,
-round(CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS DOUBLE) / CAST(sum(length(seq)) AS DOUBLE), 6) AS gc FROM seqs GROUP BY lang""", whole=True)
-def sequence_statistics(spark, sf_dir, width=WIDTH):
-    s = sequences(spark, sf_dir, width).withColumn("n_gc", fs.count_of(F.col("seq"), "G") + fs.count_of(F.col("seq"), "C"))
+round(CAST(sum(length(replace(replace(seq, 'A', ''), 'U', ''))) AS DOUBLE) / CAST(sum(length(seq)) AS DOUBLE), 6) AS gc FROM seqs GROUP BY lang""")
+def sequence_statistics(spark, sf_dir):
+    s = sequences(spark, sf_dir).withColumn("n_gc", fs.count_of(F.col("seq"), "G") + fs.count_of(F.col("seq"), "C"))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_seq"), F.sum(F.length("seq")).alias("n_bases"), F.sum("n_gc").alias("n_gc"), F.round(F.sum("n_gc").cast("double") / F.sum(F.length("seq")).cast("double"), 6).alias("gc"))
 
 
-@query(f"WITH {SEQ} SELECT doc_id, " + ", ".join(f"CAST(length(seq) - length(replace(seq, '{b}', '')) AS INT) AS n_{b.lower()}" for b in "ACGU") + " FROM seqs", whole=True)
-def sequence_composition(spark, sf_dir, width=WIDTH):
-    return sequences(spark, sf_dir, width).select("doc_id", *[fs.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ACGU"])
+@query(f"WITH {SEQ} SELECT doc_id, " + ", ".join(f"CAST(length(seq) - length(replace(seq, '{b}', '')) AS INT) AS n_{b.lower()}" for b in "ACGU") + " FROM seqs")
+def sequence_composition(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", *[fs.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ACGU"])
 
 
-@query(f"WITH {SEQ} SELECT doc_id, translate(seq, 'ACGU', '1234') AS codes, seq AS decoded FROM seqs", whole=True)
-def sequence_codes(spark, sf_dir, width=WIDTH):
+@query(f"WITH {SEQ} SELECT doc_id, translate(seq, 'ACGU', '1234') AS codes, seq AS decoded FROM seqs")
+def sequence_codes(spark, sf_dir):
     c = fs.encoded(F.col("seq"))
-    return sequences(spark, sf_dir, width).select("doc_id", F.array_join(c.cast("array<string>"), "").alias("codes"), fs.decoded(c).alias("decoded"))
+    return sequences(spark, sf_dir).select("doc_id", F.array_join(c.cast("array<string>"), "").alias("codes"), fs.decoded(c).alias("decoded"))
 
 
 @query(f"""WITH {SEQ}, x AS (SELECT doc_id, replace(seq, 'U', 'T') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '&' END || CASE WHEN doc_id % 3 = 1 THEN reverse(seq) ELSE '' END AS s FROM seqs)
-SELECT doc_id, translate(s, 'Tt', 'Uu') AS rna, CAST(CASE WHEN strpos(s, '&') = 0 OR strpos(s, '&') = length(s) THEN -1 ELSE strpos(s, '&') END AS INT) AS cut, translate(replace(s, 'A', '-'), '-_~.', '') AS ungapped FROM x""", whole=True)
-def sequence_strands(spark, sf_dir, width=WIDTH):
+SELECT doc_id, translate(s, 'Tt', 'Uu') AS rna, CAST(CASE WHEN strpos(s, '&') = 0 OR strpos(s, '&') = length(s) THEN -1 ELSE strpos(s, '&') END AS INT) AS cut, translate(replace(s, 'A', '-'), '-_~.', '') AS ungapped FROM x""")
+def sequence_strands(spark, sf_dir):
     third = F.col("doc_id") % 3
     s = F.concat(F.replace("seq", F.lit("U"), F.lit("T")), F.when(third == 0, "").otherwise("&"), F.when(third == 1, F.reverse("seq")).otherwise(""))
-    x = sequences(spark, sf_dir, width).select("doc_id", s.alias("s"))
+    x = sequences(spark, sf_dir).select("doc_id", s.alias("s"))
     return x.select("doc_id", fs.to_rna(F.col("s")).alias("rna"), fs.cut_point(F.col("s")).alias("cut"), fs.ungapped(F.replace("s", F.lit("A"), F.lit("-"))).alias("ungapped"))
 
 
 @query(f"""WITH {SEQ}, x AS (SELECT doc_id, seq, lag(seq) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM seqs)
-SELECT doc_id, CAST(len(list_filter(range(1, least(length(seq), length(before)) + 1), lambda i: substr(seq, i, 1) <> substr(before, i, 1))) AS INT) AS distance FROM x WHERE before IS NOT NULL""", whole=True)
-def hamming_consecutive(spark, sf_dir, width=WIDTH):
-    x = sequences(spark, sf_dir, width).withColumn("before", F.lag("seq").over(W.partitionBy("source").orderBy("doc_id"))).filter("before IS NOT NULL")
-    return x.select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
-
-
-@query(f"""WITH {SEQ}, x AS (SELECT doc_id, list_filter(range(1, length(seq) - 2), lambda i: regexp_matches(substr(seq, i, 4), '^[AG][CU][ACGU][GU]$')) AS spots FROM seqs)
-SELECT doc_id, CAST(len(spots) AS INT) AS n_sites, CAST(spots[1] AS INT) AS first_site FROM x""", whole=True)
-def iupac_motif_sites(spark, sf_dir, width=WIDTH):
-    x = sequences(spark, sf_dir, width).select("doc_id", fs.motif_starts(F.col("seq"), "RYNK").alias("at"))
+SELECT doc_id, CAST(coalesce(len(list_filter(list_zip(string_split(seq, ''), string_split(before, ''), true), lambda p: p[1] <> p[2] AND p[1] <> '' AND p[2] <> '')), 0) AS INT) AS distance FROM x WHERE before IS NOT NULL""")
+def hamming_consecutive(spark, sf_dir):
+    """Distance to the document before within the source. Documents are taken STEP ids at a time; the first of each such
+    run looks for the last of the run before it, so no source is sorted in one task."""
+    s = sequences(spark, sf_dir).select("doc_id", "source", "seq", F.floor(F.col("doc_id") / STEP).alias("run"))
+    near = s.withColumn("before_id", F.lag("doc_id").over(W.partitionBy("source", "run").orderBy("doc_id")))
+    runs = s.groupBy("source", "run").agg(F.max("doc_id").alias("last"))
+    runs = runs.select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), F.lag("last").over(W.partitionBy("source").orderBy("run")).alias("last"))
+    near = near.join(runs, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
+    near = near.select("doc_id", "seq", F.coalesce("before_id", "last").alias("b")).filter("b IS NOT NULL")
+    j = near.join(s.select(F.col("doc_id").alias("b_id"), F.col("seq").alias("before")), F.col("b") == F.col("b_id"))
+    return j.select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
+
+
+@query(f"""WITH {SEQ}, cells AS (SELECT doc_id, c, CAST(i AS INT) AS i FROM (SELECT doc_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM seqs) WHERE i IS NOT NULL),
+x AS (SELECT doc_id, i, c || lead(c) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o AS g FROM cells WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id AS id, count(*) AS n, min(i) AS first FROM x WHERE regexp_matches(g, '^[AG][CU][ACGU][GU]$') GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_sites, first AS first_site FROM seqs LEFT JOIN n ON doc_id = id""")
+def iupac_motif_sites(spark, sf_dir):
+    x = sequences(spark, sf_dir).select("doc_id", fs.motif_starts(F.col("seq"), "RYNK").alias("at"))
     return x.select("doc_id", F.size("at").alias("n_sites"), F.get("at", F.lit(0)).alias("first_site"))
 
 
-@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, partner FROM a_t", whole=True)
-def pair_table(spark, sf_dir, width=WIDTH):
-    return structure.pair_table(structures(spark, sf_dir, width))
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, partner FROM a_t")
+def pair_table(spark, sf_dir):
+    return structure.pair_table(structures(spark, sf_dir))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, o AS (SELECT *, sum((c = '(')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS opened FROM a_t)
-SELECT doc_id, i, CAST(CASE WHEN level = 0 THEN 0 ELSE max(CASE WHEN c = '(' THEN opened END) OVER (PARTITION BY doc_id, level ORDER BY i) END AS BIGINT) AS loop FROM o""", whole=True)
-def loop_index(spark, sf_dir, width=WIDTH):
-    return structure.loop_index(structures(spark, sf_dir, width)).withColumn("loop", F.col("loop").cast("long"))
+SELECT doc_id, i, CAST(CASE WHEN level = 0 THEN 0 ELSE max(CASE WHEN c = '(' THEN opened END) OVER (PARTITION BY doc_id, level ORDER BY i) END AS BIGINT) AS loop FROM o""")
+def loop_index(spark, sf_dir):
+    return structure.loop_index(structures(spark, sf_dir))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, i + j ORDER BY i) AS island FROM a)
-SELECT doc_id, min(i) AS start, max(j) AS "end", count(*) AS length FROM s GROUP BY doc_id, i + j, island""", whole=True)
-def helix_list(spark, sf_dir, width=WIDTH):
-    return structure.helices(structures(spark, sf_dir, width))
+SELECT doc_id, min(i) AS start, max(j) AS "end", count(*) AS length FROM s GROUP BY doc_id, i + j, island""")
+def helix_list(spark, sf_dir):
+    return structure.helices(structures(spark, sf_dir))
 
 
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, d AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.i = b.i AND a.j = b.j WHERE a.doc_id IS NULL OR b.doc_id IS NULL),
-n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id) SELECT strs.doc_id, coalesce(n, 0) AS distance FROM strs LEFT JOIN n ON strs.doc_id = n.doc_id""", whole=True)
-def base_pair_distance(spark, sf_dir, width=WIDTH):
-    return structure.pair_distance(structures(spark, sf_dir, width), "structure", "other")
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id) SELECT strs.doc_id, coalesce(n, 0) AS distance FROM strs LEFT JOIN n ON strs.doc_id = n.doc_id""")
+def base_pair_distance(spark, sf_dir):
+    return structure.pair_distance(structures(spark, sf_dir), "structure", "other")
 
 
-@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, substr(s.seq, t.i, 1) AS base, t.i - 1 AS before, CASE WHEN t.i < length(s.structure) THEN t.i + 1 ELSE 0 END AS after, t.partner FROM a_t t JOIN strs s ON t.doc_id = s.doc_id""", whole=True)
-def connect_table(spark, sf_dir, width=WIDTH):
-    return structure.connect_table(structures(spark, sf_dir, width))
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, x.c AS base, t.i - 1 AS before, CASE WHEN lead(t.i) OVER (PARTITION BY t.doc_id ORDER BY t.i) IS NULL THEN 0 ELSE t.i + 1 END AS after, t.partner FROM a_t t JOIN chars x ON t.doc_id = x.doc_id AND t.i = x.i""")
+def connect_table(spark, sf_dir):
+    return structure.connect_table(structures(spark, sf_dir))
 
 
-@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, height FROM a_t", whole=True)
-def mountain_heights(spark, sf_dir, width=WIDTH):
-    return structure.positions(structures(spark, sf_dir, width)).select("doc_id", "i", F.col("height").cast("int").alias("height"))
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')} SELECT doc_id, i, height FROM a_t")
+def mountain_heights(spark, sf_dir):
+    return structure.mountain_heights(structures(spark, sf_dir))
 
 
-@query(f"WITH {STR} SELECT doc_id, structure FROM strs", whole=True)
-def structure_round_trip(spark, sf_dir, width=WIDTH):
+@query(f"WITH {STR}, {_pairs_sql('a', 'structure')}, g AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS structure FROM a_p GROUP BY doc_id) SELECT strs.doc_id, coalesce(structure, '') AS structure FROM strs LEFT JOIN g ON strs.doc_id = g.doc_id")
+def structure_round_trip(spark, sf_dir):
     """Dot-bracket -> pair rows -> dot-bracket."""
-    s = structures(spark, sf_dir, width)
+    s = structures(spark, sf_dir)
     return structure.from_pairs(structure.pairs(s), s.select("doc_id", F.length("structure").alias("n")))
 
 
-@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
-c AS (SELECT aln, i, substr(s, i, 1) AS base, count(*) AS n FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a) GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY aln, i ORDER BY n DESC, base) AS r FROM c)
-SELECT aln, string_agg(base, '' ORDER BY i) AS consensus FROM b WHERE r = 1 GROUP BY aln""")
+ALN = SEQ + """, rows_ AS (SELECT source AS aln, doc_id, seq FROM seqs WHERE length(seq) > 0),
+cells AS (SELECT aln, doc_id, c, CAST(i AS INT) AS i FROM (SELECT aln, doc_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM rows_) WHERE i IS NOT NULL),
+w AS (SELECT aln AS wa, count(*) AS n_seq, max(length(seq)) AS width FROM rows_ GROUP BY aln),
+cols AS (SELECT aln, i, any_value(n_seq) AS n_seq, any_value(width) AS width, count(*) FILTER (c = 'A') AS a, count(*) FILTER (c = 'C') AS c, count(*) FILTER (c = 'G') AS g, count(*) FILTER (c = 'U') AS u, any_value(n_seq) - count(*) AS gap FROM cells JOIN w ON aln = wa GROUP BY aln, i)"""
+
+
+@query(f"""WITH {ALN} SELECT aln, string_agg(CASE greatest(a, c, g, u, gap) WHEN gap THEN '-' WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'U' END, '' ORDER BY i) AS consensus FROM cols GROUP BY aln""")
 def alignment_consensus(spark, sf_dir):
-    return alignment.consensus(alignment_rows(spark, sf_dir, 40), 40)
+    return alignment.consensus(alignment_rows(spark, sf_dir))
 
 
-@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
-c AS (SELECT aln, i, substr(s, i, 1) AS base, count(*) AS n FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a) GROUP BY ALL),
-m AS (SELECT aln, count(*) AS n_seq FROM a GROUP BY aln), e AS (SELECT aln, CAST(sum(n * (n - 1)) AS BIGINT) AS same FROM c GROUP BY aln)
-SELECT m.aln, n_seq, CAST(CASE WHEN n_seq > 1 THEN floor(CAST(100 * same AS DOUBLE) / CAST(n_seq * (n_seq - 1) * 40 AS DOUBLE)) ELSE 100 END AS BIGINT) AS identity FROM m JOIN e ON m.aln = e.aln""")
+@query(f"""WITH {ALN} SELECT aln, any_value(n_seq) AS n_seq, CAST(CASE WHEN any_value(n_seq) > 1 THEN floor(CAST(100 * sum(a * (a - 1) + c * (c - 1) + g * (g - 1) + u * (u - 1) + gap * (gap - 1)) AS DOUBLE) / CAST(any_value(n_seq * (n_seq - 1) * width) AS DOUBLE)) ELSE 100 END AS BIGINT) AS identity FROM cols GROUP BY aln""")
 def alignment_identity(spark, sf_dir):
-    return alignment.mean_pairwise_identity(alignment_rows(spark, sf_dir, 40), 40)
+    return alignment.mean_pairwise_identity(alignment_rows(spark, sf_dir))
+
+
+_KINDS = """kinds AS (SELECT aln, i, CAST(i + d AS INT) AS j, CASE c || x WHEN 'CG' THEN 1 WHEN 'GC' THEN 2 WHEN 'GU' THEN 3 WHEN 'UG' THEN 4 WHEN 'AU' THEN 5 WHEN 'UA' THEN 6 ELSE 0 END AS t FROM (
+SELECT aln, i, c, unnest([4, 5, 6, 7, 8]) AS d, unnest([lead(c, 4) OVER o, lead(c, 5) OVER o, lead(c, 6) OVER o, lead(c, 7) OVER o, lead(c, 8) OVER o]) AS x FROM cells WINDOW o AS (PARTITION BY aln, doc_id ORDER BY i)) WHERE x IS NOT NULL)"""
 
 
-@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 20), 20, '-') AS s FROM seqs WHERE length(seq) > 0),
-t AS (SELECT aln, i, j, CASE substr(s, i, 1) || substr(s, j, 1) WHEN 'CG' THEN 1 WHEN 'GC' THEN 2 WHEN 'GU' THEN 3 WHEN 'UG' THEN 4 WHEN 'AU' THEN 5 WHEN 'UA' THEN 6 ELSE 0 END AS t
-FROM a, (SELECT CAST(x.i AS INT) AS i, CAST(y.i AS INT) AS j FROM range(1, 21) x(i), range(1, 21) y(i) WHERE y.i >= x.i + 4))
-SELECT aln, i, j, count(*) AS n_seq, CAST(sum((t > 0)::INT) AS BIGINT) AS compatible, count(DISTINCT CASE WHEN t > 0 THEN t END) AS types FROM t GROUP BY aln, i, j""")
+@query(f"""WITH {ALN}, {_KINDS}, n AS (SELECT aln, i, j, t, count(*) AS n FROM kinds WHERE t > 0 GROUP BY aln, i, j, t)
+SELECT aln, i, j, any_value(n_seq) AS n_seq, CAST(sum(n) AS BIGINT) AS compatible, count(*) AS types FROM n JOIN w ON aln = wa GROUP BY aln, i, j""")
 def alignment_pair_support(spark, sf_dir):
-    return alignment.pair_support(alignment_rows(spark, sf_dir, 20), 20)
+    return alignment.pair_support(alignment_rows(spark, sf_dir)).drop("entropy")
+
+
+@query(f"""WITH {ALN}, {_KINDS}, n AS (SELECT aln, i, j, t, count(*) AS n FROM kinds WHERE t > 0 GROUP BY aln, i, j, t), p AS (SELECT aln, i, j, n / CAST(n_seq AS DOUBLE) AS p FROM n JOIN w ON aln = wa),
+s AS (SELECT aln, i, j, 1 - sum(p) AS rest, -sum(p * log2(p)) AS s FROM p GROUP BY aln, i, j) SELECT aln, i, j, round(s - CASE WHEN rest > 1e-12 THEN rest * log2(rest) ELSE 0 END, 6) + 0.0 AS entropy FROM s""")
+def alignment_pair_entropy(spark, sf_dir):
+    """Entropy of the kinds of pair of two columns over all rows."""
+    return alignment.pair_support(alignment_rows(spark, sf_dir)).select("aln", "i", "j", (F.round("entropy", 6) + 0.0).alias("entropy"))
+
 
+_DISTANCES = " + ".join(f"t{v} * t{w} * {sum(x != y for x, y in zip(a, b))}" for k, (a, v) in enumerate(fs.PAIR_TYPES.items()) for b, w in list(fs.PAIR_TYPES.items())[k + 1 :])
 
-_FREQUENT = " + ".join(f"CASE WHEN sum((base = '{b}')::INT) * 40 >= any_value(all_{b.lower()}) THEN {1 << k} ELSE 0 END" for k, b in enumerate("ACGU"))
 
+@query(f"""WITH {ALN}, {_KINDS}, n AS (SELECT aln, i, j, {", ".join(f"count(*) FILTER (t = {k}) AS t{k}" for k in range(1, 7))} FROM kinds WHERE t > 0 GROUP BY aln, i, j)
+SELECT n.aln, n.i, n.j, round(CASE WHEN n_seq > 1 THEN ({_DISTANCES}) / (n_seq * (n_seq - 1) / 2.0) ELSE 0 END - (n_seq - t1 - t2 - t3 - t4 - t5 - t6 - 0.75 * gap) / n_seq, 6) + 0.0 AS score FROM n JOIN cols ON n.aln = cols.aln AND n.i = cols.i""")
+def alignment_covariance(spark, sf_dir):
+    c = alignment.covariance(alignment_rows(spark, sf_dir))
+    return c.select("aln", "i", "j", (F.round("score", 6) + 0.0).alias("score"))
 
-@query(f"""WITH {SEQ}, a AS (SELECT source AS aln, rpad(substr(seq, 1, 40), 40, '-') AS s FROM seqs WHERE length(seq) > 0),
-x AS (SELECT aln, i, substr(s, i, 1) AS base FROM (SELECT aln, s, unnest(range(1, 41)) AS i FROM a)),
-t AS (SELECT aln AS ta, sum((base = 'A')::INT) AS all_a, sum((base = 'C')::INT) AS all_c, sum((base = 'G')::INT) AS all_g, sum((base = 'U')::INT) AS all_u, sum((base = '-')::INT) AS all_gap FROM x GROUP BY aln),
-l AS (SELECT aln, i, substr('-ACMGRSVUWYHKDBN', CAST({_FREQUENT} AS INT) + 1, 1) AS letter, sum((base = '-')::INT) * 40 > any_value(all_gap) AS gaps FROM x JOIN t ON aln = ta GROUP BY aln, i)
+
+_FREQUENT = " + ".join(f"CASE WHEN {b} * width >= all_{b} THEN {1 << k} ELSE 0 END" for k, b in enumerate("acgu"))
+
+
+@query(f"""WITH {ALN}, t AS (SELECT aln AS ta, sum(a) AS all_a, sum(c) AS all_c, sum(g) AS all_g, sum(u) AS all_u, sum(gap) AS all_gap FROM cols GROUP BY aln),
+l AS (SELECT aln, i, substr('-ACMGRSVUWYHKDBN', CAST({_FREQUENT} AS INT) + 1, 1) AS letter, gap * width > all_gap AS gaps FROM cols JOIN t ON aln = ta)
 SELECT aln, string_agg(CASE WHEN gaps THEN lower(letter) ELSE letter END, '' ORDER BY i) AS mis FROM l GROUP BY aln""")
 def alignment_most_informative(spark, sf_dir):
-    return alignment.most_informative(alignment_rows(spark, sf_dir, 40), 40)
+    return alignment.most_informative(alignment_rows(spark, sf_dir))
 
 
 _R = "CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value / 100 END"
@@ -293,10 +305,10 @@ def melting_curve(spark, sf_dir):
     return x.select("user_id", "event_id", "t", F.round(-(F.col("t") + 273.15) * F.col("s") / 7, 6).alias("heat_capacity"))
 
 
-@query(f"""WITH {SEQ} SELECT length(seq) AS len, source, count(*) AS n, count(DISTINCT seq) AS n_distinct FROM seqs GROUP BY length(seq), source""", whole=True)
-def length_batches(spark, sf_dir, width=WIDTH):
+@query(f"""WITH {SEQ} SELECT length(seq) AS len, source, count(*) AS n, count(DISTINCT seq) AS n_distinct FROM seqs GROUP BY length(seq), source""")
+def length_batches(spark, sf_dir):
     """Sequences and distinct sequences of each length and source: the batches that length-grouped kernels get."""
-    return sequences(spark, sf_dir, width).groupBy(F.length("seq").cast("long").alias("len"), "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_distinct"))
+    return sequences(spark, sf_dir).groupBy(F.length("seq").cast("long").alias("len"), "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_distinct"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 20 AS INT) AS i, CAST(31 + o_orderkey % 20 AS INT) AS j, CAST(1 + o_custkey % 5 AS INT) AS k FROM orders) SELECT id, CAST(i + s AS INT) AS i, CAST(j - s AS INT) AS j FROM (SELECT *, unnest(range(0, k)) AS s FROM o)""")
@@ -317,34 +329,31 @@ def _list_sql(values) -> str:
     return "[" + ", ".join(map(str, values)) + "]"
 
 
-_TYPE = "CASE x WHEN 'CG' THEN 1 WHEN 'GC' THEN 2 WHEN 'GU' THEN 3 WHEN 'UG' THEN 4 WHEN 'AU' THEN 5 WHEN 'UA' THEN 6 ELSE 7 END"
-LOOPS = f"""{STR}, {_pairs_sql('a', 'structure')}, ty AS (SELECT doc_id, i, j, {_TYPE} AS type FROM (SELECT a.doc_id, i, j, substr(seq, i, 1) || substr(seq, j, 1) AS x FROM a JOIN strs ON a.doc_id = strs.doc_id)),
-up AS (SELECT x.doc_id, x.i, x.j, x.type, coalesce(max(y.i), 0) AS around FROM ty x LEFT JOIN ty y ON x.doc_id = y.doc_id AND y.i < x.i AND y.j > x.j GROUP BY ALL),
-inside AS (SELECT doc_id, around, count(*) AS stems, sum((type > 2)::INT) AS au, min(i) AS p, arg_min(j, i) AS q, arg_min(type, i) AS t FROM up GROUP BY doc_id, around),
-lp AS (SELECT ty.doc_id, ty.i, ty.j, type, coalesce(stems, 0) AS stems, coalesce(au, 0) AS au, p - ty.i - 1 AS u1, ty.j - q - 1 AS u2, [2, 1, 4, 3, 6, 5, 7][t] AS inner_t, ty.j - ty.i - 1 AS size, CASE WHEN type > 2 THEN 50 ELSE 0 END AS own_au
-FROM ty LEFT JOIN inside ON ty.doc_id = inside.doc_id AND ty.i = inside.around),
-le AS (SELECT doc_id, 0 AS i, 0 AS j, 'exterior' AS kind, CAST(50 * au AS BIGINT) AS energy FROM inside WHERE around = 0 UNION ALL
-SELECT doc_id, i, j, CASE stems WHEN 0 THEN 'hairpin' WHEN 1 THEN 'interior' ELSE 'multi' END, CAST(CASE WHEN stems > 1 THEN 930 - 90 * (stems + 1) + own_au + 50 * au
-WHEN stems = 0 AND size < 3 THEN {energy.FORBIDDEN} WHEN stems = 0 THEN {_list_sql(energy.HAIRPIN)}[size + 1] + CASE WHEN size = 3 THEN own_au ELSE 0 END
-WHEN u1 + u2 = 0 THEN {_list_sql(energy.STACK)}[type][inner_t] WHEN u1 + u2 = 1 THEN 380 + {_list_sql(energy.STACK)}[type][inner_t]
-WHEN u1 = 0 OR u2 = 0 THEN {_list_sql(energy.BULGE)}[u1 + u2 + 1] + own_au + 50 * au ELSE {_list_sql(energy.INTERIOR)}[u1 + u2 + 1] + least(300, 60 * abs(u1 - u2)) END AS BIGINT) FROM lp)"""
+#: All pairs of these structures are G with C, so one stacking energy serves.
+LOOPS = f"""{STR}, {_pairs_sql('a', 'structure')}, pr AS (SELECT doc_id, i, partner AS j, level FROM a_t WHERE c = '('),
+slots AS (SELECT doc_id, i, j, level AS slot, true AS own FROM pr UNION ALL SELECT doc_id, i, j, level - 1, false FROM pr),
+up AS (SELECT *, coalesce(max(CASE WHEN own THEN i END) OVER (PARTITION BY doc_id, slot ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS around FROM slots),
+lp AS (SELECT doc_id, around AS i, coalesce(max(CASE WHEN own THEN j END), 0) AS j, count(*) FILTER (NOT own) AS stems, min(CASE WHEN NOT own THEN i END) - around - 1 AS u1, coalesce(max(CASE WHEN own THEN j END), 0) - arg_min(j, i) FILTER (NOT own) - 1 AS u2 FROM up GROUP BY doc_id, slot, around),
+le AS (SELECT doc_id, i, j, CASE WHEN i = 0 THEN 'exterior' WHEN stems = 0 THEN 'hairpin' WHEN stems = 1 THEN 'interior' ELSE 'multi' END AS kind, CAST(CASE WHEN i = 0 THEN 0 WHEN stems > 1 THEN 930 - 90 * (stems + 1)
+WHEN stems = 0 AND j - i - 1 < 3 THEN {energy.FORBIDDEN} WHEN stems = 0 AND j - i - 1 > 30 THEN {energy.HAIRPIN[30]} + trunc({energy.LONGER} * ln((j - i - 1) / 30.0)) WHEN stems = 0 THEN {_list_sql(energy.HAIRPIN)}[j - i]
+WHEN u1 + u2 = 0 THEN {energy.STACK[1][0]} WHEN u1 + u2 = 1 THEN 380 + {energy.STACK[1][0]} WHEN u1 = 0 OR u2 = 0 THEN CASE WHEN u1 + u2 > 30 THEN {energy.BULGE[30]} + trunc({energy.LONGER} * ln((u1 + u2) / 30.0)) ELSE {_list_sql(energy.BULGE)}[u1 + u2 + 1] END
+ELSE CASE WHEN u1 + u2 > 30 THEN {energy.INTERIOR[30]} + trunc({energy.LONGER} * ln((u1 + u2) / 30.0)) ELSE {_list_sql(energy.INTERIOR)}[u1 + u2 + 1] END + least(300, 60 * abs(u1 - u2)) END AS BIGINT) AS energy FROM lp)"""
 
 
-@query(f"WITH {LOOPS} SELECT * FROM le", whole=True)
-def loop_energies(spark, sf_dir, width=WIDTH):
-    return energy.loop_energies(structures(spark, sf_dir, width))
+@query(f"WITH {LOOPS} SELECT * FROM le")
+def loop_energies(spark, sf_dir):
+    return energy.loop_energies(structures(spark, sf_dir))
 
 
-@query(f"WITH {LOOPS} SELECT s.doc_id, coalesce(CAST(sum(energy) AS BIGINT), 0) AS energy FROM strs s LEFT JOIN le ON s.doc_id = le.doc_id GROUP BY s.doc_id", whole=True)
-def structure_energy(spark, sf_dir, width=WIDTH):
-    return energy.structure_energy(structures(spark, sf_dir, width))
+@query(f"WITH {LOOPS} SELECT s.doc_id, coalesce(CAST(sum(energy) AS BIGINT), 0) AS energy FROM strs s LEFT JOIN le ON s.doc_id = le.doc_id GROUP BY s.doc_id")
+def structure_energy(spark, sf_dir):
+    return energy.structure_energy(structures(spark, sf_dir))
 
 
-@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, n AS (SELECT doc_id, length(structure) AS n FROM strs),
-h AS (SELECT doc_id, i, height FROM a_t UNION ALL SELECT doc_id, i, -height FROM b_t WHERE i <= (SELECT n FROM n WHERE n.doc_id = b_t.doc_id)),
-d AS (SELECT doc_id, i, abs(sum(height)) AS d FROM h GROUP BY doc_id, i) SELECT doc_id, CAST(sum(d) AS BIGINT) AS distance FROM d GROUP BY doc_id""", whole=True)
-def mountain_distance(spark, sf_dir, width=WIDTH):
-    return structure.mountain_distance(structures(spark, sf_dir, width), "structure", "other")
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')}, d AS (SELECT a_t.doc_id, sum(abs(a_t.height - b_t.height)) AS d FROM a_t JOIN b_t ON a_t.doc_id = b_t.doc_id AND a_t.i = b_t.i GROUP BY a_t.doc_id)
+SELECT strs.doc_id, CAST(coalesce(d, 0) AS BIGINT) AS distance FROM strs LEFT JOIN d ON strs.doc_id = d.doc_id""")
+def mountain_distance(spark, sf_dir):
+    return structure.mountain_distance(structures(spark, sf_dir), "structure", "other")
 
 
 @query()
@@ -363,6 +372,40 @@ def sampled_pairs(spark, sf_dir):
     return p.select("doc_id", *[(F.col(x) + F.col("piece") * WIDTH).alias(x) for x in "ij"], "frequency")
 
 
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, pr AS (SELECT doc_id, i, level FROM a_t WHERE c = '('), o AS (SELECT doc_id, i, c, level, height, max(CASE WHEN c = '(' THEN i END) OVER (PARTITION BY doc_id, level ORDER BY i) AS own FROM a_t),
+slots AS (SELECT doc_id, i, level AS slot, true AS own FROM pr UNION ALL SELECT doc_id, i, level - 1, false FROM pr),
+up AS (SELECT doc_id, own, coalesce(max(CASE WHEN own THEN i END) OVER (PARTITION BY doc_id, slot ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS around FROM slots),
+n AS (SELECT doc_id, around, count(*) FILTER (NOT own) AS stems FROM up GROUP BY doc_id, around),
+e AS (SELECT o.doc_id, o.i, CASE WHEN o.c <> '.' THEN 'S' WHEN o.level = 0 THEN 'E' WHEN coalesce(stems, 0) = 0 THEN 'H' WHEN stems = 1 THEN 'I' ELSE 'M' END AS x FROM o LEFT JOIN n ON o.doc_id = n.doc_id AND o.own = n.around AND o.level > 0),
+g AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS elements FROM e GROUP BY doc_id) SELECT strs.doc_id, coalesce(elements, '') AS elements FROM strs LEFT JOIN g ON strs.doc_id = g.doc_id""")
+def element_strings(spark, sf_dir):
+    """Which kind of loop each position lies in."""
+    return structures(spark, sf_dir).select("doc_id", structure.per_text(structure.element_text)("structure").alias("elements"))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, g AS (SELECT doc_id, string_agg(CASE c WHEN '(' THEN '(' WHEN ')' THEN 'P)' ELSE '(U)' END, '' ORDER BY i) AS t FROM a_p GROUP BY doc_id) SELECT strs.doc_id, '(' || coalesce(t, '') || 'R)' AS tree FROM strs LEFT JOIN g ON strs.doc_id = g.doc_id""")
+def structure_trees(spark, sf_dir):
+    """Full trees: a node for every pair and every unpaired position."""
+    return structures(spark, sf_dir).select("doc_id", structure.per_text(structure.tree_text)("structure").alias("tree"))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, b AS (SELECT doc_id, (i - 1) // 5 AS k, i, CASE c WHEN '(' THEN 0 WHEN '.' THEN 1 ELSE 2 END * [81, 27, 9, 3, 1][(i - 1) % 5 + 1] AS v FROM a_p),
+x AS (SELECT doc_id, k, lpad(upper(to_hex(CAST(1 + sum(v) AS INT))), 2, '0') AS h FROM b GROUP BY doc_id, k), g AS (SELECT doc_id, string_agg(h, '' ORDER BY k) AS packed FROM x GROUP BY doc_id), o AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS structure FROM a_p GROUP BY doc_id)
+SELECT strs.doc_id, coalesce(packed, '') AS packed, coalesce(structure, '') AS unpacked FROM strs LEFT JOIN g ON strs.doc_id = g.doc_id LEFT JOIN o ON strs.doc_id = o.doc_id""")
+def packed_structures(spark, sf_dir):
+    """Five positions a byte, and back."""
+    s = structures(spark, sf_dir).select("doc_id", structure.pack(F.col("structure")).alias("packed"), F.length("structure").alias("n"))
+    return s.select("doc_id", "packed", structure.unpack(F.col("packed"), F.col("n")).alias("unpacked"))
+
+
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, {_pairs_sql('b', 'other')} SELECT doc_id, i, j, 0 AS layer FROM a UNION ALL SELECT doc_id, i, j, 1 FROM b""")
+def knotted_pairs(spark, sf_dir):
+    """Pairs of structures with two kinds of brackets, which may cross."""
+    s = structures(spark, sf_dir)
+    both = F.zip_with(F.split("structure", ""), F.split("other", ""), lambda x, y: F.when(x != ".", x).otherwise(F.translate(y, "()", "[]")))
+    return structure.knotted_pairs(s.select("doc_id", F.array_join(both, "").alias("structure")))
+
+
 def flagship(spark, sf_dir):
     return sequence_statistics(spark, sf_dir)
 

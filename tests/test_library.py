@@ -80,21 +80,51 @@ def test_folding_queries_cover_whole_texts(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["piece"], len(r["structure"])) for r in rows) == sorted((str(i), k, len(s)) for (i, k), s in cut.items())
     pairs = registry.sampled_pairs(spark, str(tmp_path)).collect()
     assert max(r["j"] for r in pairs) > 60 and all((r["i"] - 1) // 60 == (r["j"] - 1) // 60 and whole[r["doc_id"]][r["i"] - 1] + whole[r["doc_id"]][r["j"] - 1] in fs.PAIR_TYPES for r in pairs)
-    n = {r["doc_id"]: sum(r[f"n_{b}"] for b in "acgu") for r in registry.queries()["whole_sequence_composition"](spark, str(tmp_path)).collect()}
+    n = {r["doc_id"]: sum(r[f"n_{b}"] for b in "acgu") for r in registry.queries()["sequence_composition"](spark, str(tmp_path)).collect()}
     assert n == {i: len(s) for i, s in whole.items()}
 
 
-def test_whole_structures_have_every_document(spark, tmp_path):
-    texts = {1: "gggg aaaa bbbb cd" * 30, 2: "Acg!", 3: "", 4: None, 11: "acgtu" * 9}
-    spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    want = {}
-    for i, t in texts.items():
-        n, x = sum(c in fs.LETTERS for c in (t or "").lower()), registry.STRUCTURES[i % 6]
-        want[i] = x * (n // len(x)) + "." * (n % len(x))
-    assert {r["doc_id"]: r["structure"] for r in run("whole_structure_round_trip")} == want
-    energies = {r["doc_id"]: r["energy"] for r in run("whole_structure_energy")}
-    from test_energy import by_hand
-
-    seqs = {r["doc_id"]: r["decoded"] for r in run("whole_sequence_codes")}
-    assert energies == {i: by_hand(seqs[i], x) for i, x in want.items()} and energies[1] != 0
+def by_stack(text, brackets="()"):
+    """(i, j) of a dot-bracket string; brackets without a partner are left out."""
+    out, opened = [], []
+    for k, c in enumerate(text or "", 1):
+        if c == brackets[0]:
+            opened.append(k)
+        elif c == brackets[1] and opened:
+            out.append((opened.pop(), k))
+    return sorted(out)
+
+
+def test_structure_arrays_against_a_stack():
+    rng = np.random.default_rng(4)
+    for n in [0, 1, 2, 5, 30, 200] * 20:
+        t = "".join(rng.choice(list("().["), n))
+        s, p = structure.Structure(t), by_stack(t)
+        assert list(zip(*(x.tolist() for x in s.pairs()))) == p
+        inside = [max((k for k in p if k[0] < i and j < k[1]), default=(0, 0))[0] for i, j in p]
+        assert s.around().tolist() == inside
+        loop = [max((i for i, j in p if i <= k <= j), default=0) for k in range(1, n + 1)]
+        assert s.loop().tolist() == [sum(i <= x for i, _ in p) for x in loop]
+        helix = [q for q in p if (q[0] - 1, q[1] + 1) not in p]
+        assert list(zip(*(x.tolist() for x in s.helices()[:2]))) == helix and s.helices()[2].sum() == len(p)
+
+
+def test_structure_texts():
+    t = "..((..((...)).(((...)))..)).((.(....)))"
+    assert structure.element_text(t) == "EESSMMSSHHHSSMSSSHHHSSSMMSSESSISHHHHSSS"
+    assert structure.tree_text("(.).") == "((" + "(U)P)" + "(U)" + "R)"
+    assert structure.homeomorphic_text(".((..)).") == "((U1)((U2)P2)(U1)R1)"
+    assert structure.coarse_text(t) == "(((H)(H)M)((H)B)R)"
+    assert structure.element_text(None) == "" and structure.coarse_text("") == "(R)"
+
+
+def test_structure_rows(spark):
+    t = "((.((...))..))"
+    d = spark.createDataFrame([(1, t, "([.)]"), (None, None, None), (2, "", ""), (1, t, ")(")], "doc_id long, structure string, i string")
+    m = structure.merged_helices(d, 2).collect()
+    assert [tuple(r) for r in m] == [(1, 1, 14, 4, 1, 2)] * 2
+    assert [tuple(r)[3] for r in structure.merged_helices(d, 1).collect()] == [2, 2] * 2
+    assert sorted(map(tuple, structure.knotted_pairs(d, "doc_id", "i").collect())) == [(1, 1, 4, 0), (1, 2, 5, 1)]
+    p = d.select(structure.pack(structure.F.col("structure")).alias("p"), structure.F.length("structure").alias("n"), "structure")
+    assert all(r[0] == r[1] for r in p.select(structure.unpack(structure.F.col("p"), structure.F.col("n")), "structure").collect())
+    assert structure.pair_table(d.limit(0)).count() == 0
