@@ -6,10 +6,12 @@ shuffle; no pair of sequences is ever formed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import PAIR_TYPES, pair_type
+from ..functions.sequence import PAIR_TYPES
+from .structure import by_row, letters
 
 
 def _sizes(aln: DataFrame) -> DataFrame:
@@ -51,11 +53,20 @@ def mean_pairwise_identity(aln: DataFrame) -> DataFrame:
 
 def _pair_kinds(aln: DataFrame, span: tuple[int, int]) -> DataFrame:
     """aln, i, j, t (kind of pair) for every row and pair of columns within the span that the row can pair."""
-    rows = aln.filter(F.length("seq") > span[0]).select("aln", F.split("seq", "").alias("b"))
-    ahead = range(span[0], span[1] + 1)
-    at = lambda k: F.array(*[F.struct((k + 1).alias("i"), (k + 1 + d).alias("j"), pair_type(F.get("b", k), F.get("b", k + d)).alias("t")) for d in ahead])
-    kinds = F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 1 - span[0]), at))
-    return rows.select("aln", F.explode(F.filter(kinds, lambda x: x["t"] > 0)).alias("p")).select("aln", "p.*")
+    kinds = np.zeros((128, 128), np.int32)
+    for pair, t in PAIR_TYPES.items():
+        kinds[ord(pair[0]), ord(pair[1])] = t
+
+    def run(seq):
+        b = letters(seq) & 127
+        t = [kinds[b[:-d], b[d:]] for d in range(span[0], span[1] + 1) if d < len(b)]
+        i = [np.flatnonzero(x) for x in t]
+        if not i:
+            return (np.empty(0, np.int32),) * 3
+        at = np.concatenate(i).astype(np.int32) + 1
+        return at, at + np.repeat(np.arange(len(i), dtype=np.int32) + span[0], [len(x) for x in i]), np.concatenate([x[k] for x, k in zip(t, i)])
+
+    return by_row(aln, "aln", ["seq"], "i int, j int, t int", run)
 
 
 def pair_support(aln: DataFrame, span: tuple[int, int] = (4, 8)) -> DataFrame:

@@ -372,6 +372,13 @@ def sampled_pairs(spark, sf_dir):
     return p.select("doc_id", *[(F.col(x) + F.col("piece") * WIDTH).alias(x) for x in "ij"], "frequency")
 
 
+@query()
+def ensemble_structures(spark, sf_dir):
+    """Symbols, centroid and most accurate structure of the ensemble of each piece of every text."""
+    e = folding.ensembles(pieces(spark, sf_dir), key="key")
+    return e.select(*_of_piece(), "symbols", "centroid", F.round("centroid_distance", 6).alias("centroid_distance"), "mea", F.round("accuracy", 6).alias("accuracy"), F.round("diversity", 6).alias("diversity"), F.size("pairs").alias("n_pairs"))
+
+
 @query(f"""WITH {STR}, {_pairs_sql('a', 'structure')}, pr AS (SELECT doc_id, i, level FROM a_t WHERE c = '('), o AS (SELECT doc_id, i, c, level, height, max(CASE WHEN c = '(' THEN i END) OVER (PARTITION BY doc_id, level ORDER BY i) AS own FROM a_t),
 slots AS (SELECT doc_id, i, level AS slot, true AS own FROM pr UNION ALL SELECT doc_id, i, level - 1, false FROM pr),
 up AS (SELECT doc_id, own, coalesce(max(CASE WHEN own THEN i END) OVER (PARTITION BY doc_id, slot ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS around FROM slots),

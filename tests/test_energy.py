@@ -110,3 +110,35 @@ def test_samples_follow_the_weights(spark):
     for x, w in weights.items():
         assert abs(seen[x] / n - w / z) < 0.04
     assert sorted(map(tuple, folding.sampled_structures(d.repartition(3), n).collect())) == sorted(map(tuple, rows))
+
+
+def test_pair_probabilities_against_every_structure(spark):
+    from test_library import by_stack
+
+    d = spark.createDataFrame([(k, s) for k, s in enumerate(SEQS)] + [(98, ""), (99, None)], "doc_id long, seq string")
+    for r in folding.ensembles(d, cutoff=1e-12).collect():
+        s = SEQS[r["doc_id"]] if r["doc_id"] < 90 else ""
+        every = [x for x in every_structure(s) if by_hand(s, x) is not None]
+        w = np.array([math.exp(-by_hand(s, x) / folding.KT) for x in every])
+        w /= w.sum()
+        p = Counter()
+        for x, v in zip(every, w):
+            for q in by_stack(x):
+                p[q] += v
+        got = {(x["i"], x["j"]): x["p"] for x in r["pairs"]}
+        for q in set(p) | set(got):
+            assert math.isclose(p[q], got.get(q, 0), rel_tol=1e-9, abs_tol=1e-11)
+        assert by_stack(r["centroid"]) == sorted(q for q in p if p[q] > 0.5)
+        free = {k: 1 - sum(v for q, v in p.items() if k in q) for k in range(1, len(s) + 1)}
+        gain = lambda x: sum(2 * p[q] for q in by_stack(x)) + sum(free[k] for k, c in enumerate(x, 1) if c == ".")
+        assert math.isclose(r["accuracy"], max(map(gain, every)), abs_tol=1e-9) and math.isclose(gain(r["mea"]), r["accuracy"], abs_tol=1e-9)
+        assert len(r["symbols"]) == len(s) and math.isclose(r["diversity"], 2 * sum(v * (1 - v) for v in p.values()), abs_tol=1e-9)
+
+
+def test_long_sequence_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACGU"), 90)) for _ in range(5)]
+    whole = [list(g) for g in folding._groups(seqs)]
+    monkeypatch.setattr(folding, "CELLS", 2 * 92**2)
+    assert [len(g) for g in whole] == [5] and [len(g) for g in folding._groups(seqs)] == [2, 2, 1]
+    assert [len(g) for g in folding._groups(["A" * 3000] * 3)] == [1, 1, 1]
