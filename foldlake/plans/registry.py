@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
 from ..operators import alignment, energy, folding, matching, structure
+from ..sources import records
 
 #: Letters in a piece of a sequence that is folded on its own.
 WIDTH = 60
@@ -413,6 +414,11 @@ def knotted_pairs(spark, sf_dir):
     return structure.knotted_pairs(s.select("doc_id", F.array_join(both, "").alias("structure")))
 
 
+@query(f"""WITH {STR}, {_pairs_sql('a', 'structure')} SELECT t.doc_id, t.i, concat_ws(' ', t.i, x.c, t.partner) AS line FROM a_t t JOIN chars x ON t.doc_id = x.doc_id AND t.i = x.i""")
+def bpseq_lines(spark, sf_dir):
+    return records.bpseq_lines(structure.connect_table(structures(spark, sf_dir)))
+
+
 def flagship(spark, sf_dir):
     return sequence_statistics(spark, sf_dir)
 

@@ -128,3 +128,22 @@ def test_structure_rows(spark):
     p = d.select(structure.pack(structure.F.col("structure")).alias("p"), structure.F.length("structure").alias("n"), "structure")
     assert all(r[0] == r[1] for r in p.select(structure.unpack(structure.F.col("p"), structure.F.col("n")), "structure").collect())
     assert structure.pair_table(d.limit(0)).count() == 0
+
+
+def test_record_files(spark, tmp_path):
+    from foldlake.sources import records
+
+    (tmp_path / "a.sto").write_text("# STOCKHOLM 1.0\n#=GF ID one\ns1 ACG-\ns2 AC-U\n#=GC SS_cons ....\n\ns1 GG\ns2 CC\n//\n# STOCKHOLM 1.0\nx AAA\n//\n")
+    got = sorted((r["name"], r["seq"]) for r in records.read_stockholm(spark, str(tmp_path / "a.sto")).collect())
+    assert got == [("s1", "ACG-GG"), ("s2", "AC-UCC"), ("x", "AAA")]
+    assert {r["aln"] for r in records.read_stockholm(spark, str(tmp_path / "a.sto")).filter("name <> 'x'").collect()} == {"one"}
+    (tmp_path / "a.aln").write_text("CLUSTAL W\n\ns1 ACG- 3\ns2 AC-U 3\n   **\n\ns1 GG 5\ns2 CC 5\n   *\n")
+    rows = records.read_clustal(spark, str(tmp_path / "a.aln")).orderBy("row").collect()
+    assert [(r["name"], r["seq"]) for r in rows] == [("s1", "ACG-GG"), ("s2", "AC-UCC")]
+    (tmp_path / "r.txt").write_text("1 A 0.5\n2 -999\n3\n4 1.25\njunk\n")
+    assert sorted(map(tuple, records.read_reactivities(spark, str(tmp_path / "r.txt")).collect())) == [(1, "A", 0.5), (2, "N", None), (3, "N", None), (4, "N", 1.25)]
+    t = structure.connect_table(spark.createDataFrame([(1, "GCAAAGC", "((...))")], "doc_id long, seq string, structure string"))
+    assert records.bpseq_lines(t).filter("i = 2").first()["line"] == "2 C 6"
+    records.connect_lines(t).select("line").write.text(str(tmp_path / "ct"))
+    back = {r["i"]: (r["base"], r["partner"]) for r in records.read_connect(spark, str(tmp_path / "ct")).collect()}
+    assert back == {1: ("G", 7), 2: ("C", 6), 3: ("A", 0), 4: ("A", 0), 5: ("A", 0), 6: ("G", 2), 7: ("C", 1)}
