@@ -1,74 +1,91 @@
-"""Loop energies of given structures, as DataFrame expressions.
+"""Loop energies of given structures: one pass over Arrow batches, without a shuffle.
 
-Energies are in units of 0.01 kcal/mol at 37 C. The terms are stacking, loop initiation by size, asymmetry, terminal AU
-and GU pairs and linear multiloops, without dangling ends; mismatches and the special small interior and hairpin loops
-have none of their own.
+Energies are in units of 0.01 kcal/mol at 37 C, of the parameters of ``parameters``: stacks, loop initiation by size,
+asymmetry, mismatches, special hairpins, terminal AU and GU pairs, linear multiloops, and dangling ends on both sides of
+every stem of exterior and multiloops.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import PAIR_TYPES
+from . import parameters as par
 from .structure import Structure, by_row, letters
 
-# Nearest-neighbour parameters; types CG GC GU UG AU UA and any other pair; loop sizes 0 to 30.
-STACK = [
-    [-240, -330, -210, -140, -210, -210, -140],
-    [-330, -340, -250, -150, -220, -240, -150],
-    [-210, -250, 130, -50, -140, -130, 130],
-    [-140, -150, -50, 30, -60, -100, 30],
-    [-210, -220, -140, -60, -110, -90, -60],
-    [-210, -240, -130, -100, -90, -130, -90],
-    [-140, -150, 130, 30, -60, -90, 130],
-]
-FORBIDDEN = 1_000_000
-HAIRPIN = [FORBIDDEN] * 3 + [540, 560, 570, 540, 600, 550, 640, 650, 660, 670, 680, 690, 690, 700, 710, 710, 720, 720, 730, 730, 740, 740, 750, 750, 750, 760, 760, 770]
-BULGE = [FORBIDDEN, 380, 280, 320, 360, 400, 440, 460, 470, 480, 490, 500, 510, 520, 530, 540, 540, 550, 550, 560, 570, 570, 580, 580, 580, 590, 590, 600, 600, 600, 610]
-INTERIOR = [FORBIDDEN] * 2 + [100, 100, 110, 200, 200, 210, 230, 240, 250, 260, 270, 280, 290, 290, 300, 310, 310, 320, 330, 330, 340, 340, 350, 350, 350, 360, 360, 370, 370]
-LONGER = 107.856
-ASYMMETRY, MOST_ASYMMETRY = 60, 300
-TERMINAL_AU = 50
-MULTI_CLOSING, MULTI_STEM = 930, -90
-#: Type of a pair seen from the other side.
-REVERSE = [2, 1, 4, 3, 6, 5, 7]
-
-
-def _at(values: list[int], index: Column) -> Column:
-    """values[index], null beyond them."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-
-def _by_size(values: list[int], n: Column) -> Column:
-    longer = F.lit(values[30]) + (LONGER * F.log(n / 30.0)).cast("int")
-    return F.when(n <= 30, _at(values, n)).otherwise(longer)
-
-
-_TYPES = np.full(1 << 16, 7, np.int64)
-for _pair, _type in PAIR_TYPES.items():
-    _TYPES[ord(_pair[0]) << 8 | ord(_pair[1])] = _type
-
-
-def _loops(text: str | None, bases: str | None):
-    """Arrays over the loops of one structure: i, j, n_stems, p, q, type, inner, n_au, as in loops()."""
-    s = Structure(text)
-    i, j = s.pairs()
-    around = s.around()
-    b = np.zeros(s.n, np.int64)
-    own = letters(bases)[: s.n]
-    b[: len(own)] = own
-    kind = _TYPES[b[i - 1] << 8 | b[j - 1]]
-    stems = np.bincount(around, minlength=s.n + 1)
-    au = np.bincount(around, weights=kind > 2, minlength=s.n + 1).astype(np.int64)
-    first = np.zeros(s.n + 1, np.int64)
-    first[around[::-1]] = np.arange(len(i), 0, -1)  # the first pair inside each opening position, from 1
-    at = np.r_[0, i] if len(i) else i
-    f = first[at] - 1
-    pick = lambda x: np.where(f >= 0, x[np.maximum(f, 0)] if len(x) else 0, 0)
-    turned = np.array([7, *REVERSE])
-    return at, np.r_[0, j][: len(at)], stems[at], pick(i), pick(j), np.r_[0, kind][: len(at)], pick(turned[kind]), au[at]
+#: Fixed names of loops, by code.
+KINDS = ["exterior", "hairpin", "interior", "multi"]
+
+
+class Loops:
+    """Arrays over the loops of one structure: the exterior one first, then one per pair."""
+
+    def __init__(self, text: str | None, bases: str | None):
+        s = Structure(text)
+        i, j = s.pairs()
+        around = s.around()
+        code = np.full(s.n + 2, 5)  # 1-based, 5 beyond the ends
+        code[1 : s.n + 1] = 0
+        own = par.CODE_OF[letters(bases)[: s.n]]
+        code[1 : len(own) + 1] = own
+        self.code, self.bases = code, bases or ""
+        kind = par.TYPE_OF[code[i], code[j]]
+        self.at = np.r_[0, i] if len(i) else i
+        self.j, self.type = (np.r_[0, x][: len(self.at)] for x in (j, kind))
+        at = self.at
+        self.stems = np.bincount(around, minlength=s.n + 1)[at]
+        self.au = np.bincount(around, weights=kind > 2, minlength=s.n + 1).astype(np.int64)[at]
+        first = np.zeros(s.n + 1, np.int64)
+        first[around[::-1]] = np.arange(len(i), 0, -1)  # the first pair inside each opening position, from 1
+        f = first[at] - 1
+        pick = lambda x: np.where(f >= 0, x[np.maximum(f, 0)] if len(x) else 0, 0)
+        self.p, self.q, self.inner = pick(i), pick(j), pick(par.TURNED[kind])
+        self.outside = [np.bincount(around, weights=t[kind, code[i - 1], code[j + 1]], minlength=s.n + 1).astype(np.int64)[at] for t in (par.EXTERIOR_STEM, par.MULTI_STEMS)]
+
+    def energies(self) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds and energies of the loops."""
+        i, j, p, q, t, s, code = self.at, self.j, self.p, self.q, self.type, self.inner, self.code
+        kind = np.where(i == 0, 0, 1 + np.minimum(self.stems, 2))
+        out = np.where(kind == 0, self.outside[0], 0)
+        k = np.flatnonzero(kind == 1)
+        size = j[k] - i[k] - 1
+        out[k] = _by_size(par.HAIRPIN, size) + np.where(size == 3, par.NO_AU[t[k]], np.where(size > 3, par.HAIRPINS[t[k], code[i[k] + 1], code[j[k] - 1]], 0))
+        for x in k[np.isin(size, [3, 4, 6])]:
+            out[x] = par.SPECIAL_HAIRPINS.get(self.bases[i[x] - 1 : j[x]], out[x])
+        k = np.flatnonzero(kind == 2)
+        if len(k):
+            out[k] = interior(p[k] - i[k] - 1, j[k] - q[k] - 1, t[k], s[k], *(code[x] for x in (i[k] + 1, j[k] - 1, p[k] - 1, q[k] + 1)))
+        k = np.flatnonzero(kind == 3)
+        out[k] = par.MULTI_CLOSING + par.MULTI_STEMS[par.TURNED[t[k]], code[j[k] - 1], code[i[k] + 1]] + self.outside[1][k]
+        return kind, out
+
+
+def _by_size(values: list[int], n: np.ndarray) -> np.ndarray:
+    longer = values[30] + (par.LONGER * np.log(np.maximum(n, 30) / 30)).astype(np.int64)
+    return np.where(n <= 30, np.array(values)[np.minimum(n, 30)], longer)
+
+
+def interior(left, right, t, s, si, sj, sp, sq) -> np.ndarray:
+    """Energies of loops with one pair inside: unpaired bases left and right, type of the outer pair, of the inner pair from
+    inside, bases after i, before j, before p, after q."""
+    n, short, long = left + right, np.minimum(left, right), np.maximum(left, right)
+    skew = np.minimum(par.MOST_ASYMMETRY, par.ASYMMETRY * (long - short))
+    stack = par.STACKS[t, s]
+    return np.select(
+        [n == 0, n == 1, short == 0, n == 2, (left == 1) & (right == 2), (left == 2) & (right == 1), short == 1, n == 5],
+        [
+            stack,
+            par.BULGE[1] + stack,
+            _by_size(par.BULGE, n) + par.NO_AU[t] + par.NO_AU[s],
+            par.ONE_ONE[t, s, si, sj],
+            par.ONE_TWO[t, s, si, sq, sj],
+            par.ONE_TWO[s, t, sq, si, sp],
+            _by_size(par.INTERIOR, n) + skew + par.ONE_LONG[t, si, sj] + par.ONE_LONG[s, sq, sp],
+            par.INTERIOR[5] + par.ASYMMETRY + par.TWO_THREE[t, si, sj] + par.TWO_THREE[s, sq, sp],
+        ],
+        _by_size(par.INTERIOR, n) + skew + par.LONG[t, si, sj] + par.LONG[s, sq, sp],
+    )
 
 
 def loops(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
@@ -77,26 +94,55 @@ def loops(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str =
 
     Structures without pairs have no rows.
     """
-    names = "i int, j int, n_stems int, p int, q int, type int, inner int, n_au int"
-    return by_row(df, key, [structure, seq], names, lambda text, bases: tuple(x.astype(np.int32) for x in _loops(text, bases)))
+
+    def run(text, bases):
+        x = Loops(text, bases)
+        return tuple(v.astype(np.int32) for v in (x.at, x.j, x.stems, x.p, x.q, x.type, x.inner, x.au))
+
+    return by_row(df, key, [structure, seq], "i int, j int, n_stems int, p int, q int, type int, inner int, n_au int", run)
 
 
 def loop_energies(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
-    """key, i, j, kind (exterior, hairpin, interior, multi), energy of every loop."""
-    left, right = F.col("p") - F.col("i") - 1, F.col("j") - F.col("q") - 1
-    n, au = left + right, F.when(F.col("type") > 2, TERMINAL_AU).otherwise(0)
-    size = F.col("j") - F.col("i") - 1
-    hairpin = F.when(size < 3, FORBIDDEN).otherwise(_by_size(HAIRPIN, size) + F.when(size == 3, au).otherwise(0))
-    stack = _at([v for row in STACK for v in row], (F.col("type") - 1) * 7 + F.col("inner") - 1)
-    bulge = _by_size(BULGE, n) + F.when(n == 1, stack).otherwise(au + TERMINAL_AU * F.col("n_au"))
-    interior = F.when(n == 0, stack).when((left == 0) | (right == 0), bulge).otherwise(_by_size(INTERIOR, n) + F.least(F.lit(MOST_ASYMMETRY), ASYMMETRY * F.abs(left - right)))
-    multi = MULTI_CLOSING + MULTI_STEM * (F.col("n_stems") + 1) + au + TERMINAL_AU * F.col("n_au")
-    kind = F.when(F.col("i") == 0, "exterior").when(F.col("n_stems") == 0, "hairpin").when(F.col("n_stems") == 1, "interior").otherwise("multi")
-    energy = F.when(F.col("i") == 0, TERMINAL_AU * F.col("n_au")).when(F.col("n_stems") == 0, hairpin).when(F.col("n_stems") == 1, interior).otherwise(multi)
-    return loops(df, key, seq, structure).select(key, "i", "j", kind.alias("kind"), energy.cast("long").alias("energy"))
+    """key, i, j, kind (exterior, hairpin, interior, multi), energy of every loop. Structures without pairs have no rows."""
+
+    def run(text, bases):
+        x = Loops(text, bases)
+        kind, energy = x.energies()
+        return x.at.astype(np.int32), x.j.astype(np.int32), kind.astype(np.int32), energy.astype(np.int64)
+
+    e = by_row(df, key, [structure, seq], "i int, j int, kind int, energy long", run)
+    return e.withColumn("kind", F.get(F.array(*[F.lit(k) for k in KINDS]), "kind"))
 
 
 def structure_energy(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
-    """key, energy of every row's structure; 0 without pairs. Keys are distinct."""
-    e = loop_energies(df, key, seq, structure).groupBy(F.col(key).alias("k")).agg(F.sum("energy").alias("e"))
-    return df.select(key).join(e, F.col(key) == F.col("k"), "left").select(key, F.coalesce("e", F.lit(0)).alias("energy"))
+    """key, energy of every row's structure; 0 without pairs. Null and repeated keys are rows like others."""
+
+    def run(text, bases):
+        return (np.array([Loops(text, bases).energies()[1].sum()], np.int64),)
+
+    return by_row(df, key, [structure, seq], "energy long", run)
+
+
+def move_energies(df: DataFrame, moves: str = "moves", key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
+    """key, i, j, change of energy by each move of the array column ``moves`` of (i, j): a pair to insert, or, negative, one
+    to delete. A move that the structure has no place for has a null change; rows without moves have none."""
+
+    def run(text, bases, own):
+        old = Structure(text)
+        before, out = Loops(text, bases).energies()[1].sum(), []
+        for i, j in ((m["i"], m["j"]) for m in own or ()):
+            a, b = abs(i), abs(j)
+            inside = 0 < a < b <= old.n
+            t = np.where(old.opens, 40, np.where(old.closes, 41, 46)).astype(np.uint8)
+            if inside and i < 0 and old.partner[a - 1] == b and old.opens[a - 1]:
+                t[[a - 1, b - 1]] = 46
+            elif inside and i > 0 and not old.partner[a - 1] and not old.partner[b - 1] and old.height[a - 1] == old.height[b - 1] == old.height[a - 1 : b].min():
+                t[a - 1], t[b - 1] = 40, 41
+            else:
+                out.append((i, j, 0, False))
+                continue
+            out.append((i, j, int(Loops(t.tobytes().decode(), bases).energies()[1].sum() - before), True))
+        return tuple(np.array(x, kind) for x, kind in zip(zip(*out) if out else ((),) * 4, (np.int32, np.int32, np.int64, bool)))
+
+    e = by_row(df, key, [structure, seq, moves], "i int, j int, change long, fits boolean", run)
+    return e.select(key, "i", "j", F.when(F.col("fits"), F.col("change")).alias("change"))

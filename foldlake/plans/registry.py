@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
 from ..operators import alignment, energy, folding, matching, structure
+from ..operators import parameters as par
 from ..sources import records
 
 #: Letters in a piece of a sequence that is folded on its own.
@@ -330,15 +333,35 @@ def _list_sql(values) -> str:
     return "[" + ", ".join(map(str, values)) + "]"
 
 
-#: All pairs of these structures are G with C, so one stacking energy serves.
-LOOPS = f"""{STR}, {_pairs_sql('a', 'structure')}, pr AS (SELECT doc_id, i, partner AS j, level FROM a_t WHERE c = '('),
-slots AS (SELECT doc_id, i, j, level AS slot, true AS own FROM pr UNION ALL SELECT doc_id, i, j, level - 1, false FROM pr),
+def _at_sql(values, *codes: str) -> str:
+    """Element of an array over bases, by their codes."""
+    at = " + ".join(f"{c} * {math.prod(values.shape[k + 1:])}" for k, c in enumerate(codes))
+    return f"{_list_sql(values.ravel().tolist())}[CAST({at} + 1 AS BIGINT)]"
+
+
+def _size_sql(values, n: str) -> str:
+    return f"CASE WHEN {n} > 30 THEN {values[30]} + trunc({par.LONGER} * ln(({n}) / 30.0)) ELSE {_list_sql(values)}[{n} + 1] END"
+
+
+#: All pairs of these structures are G with C, so they are type 2, or 1 from inside. si, sj: bases after i and before j of
+#: a loop's pair; sp, sq: before and after the first pair inside.
+LOOPS = f"""{STR}, {_pairs_sql('a', 'structure')},
+near AS (SELECT doc_id, i, coalesce(lag(b) OVER w, 5) AS prev, coalesce(lead(b) OVER w, 5) AS next FROM (SELECT doc_id, i, strpos('ACGU', c) AS b FROM chars) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pr AS (SELECT a_t.doc_id, a_t.i, partner AS j, level, x.prev AS s5, x.next AS si, y.prev AS sj, y.next AS s3 FROM a_t JOIN near x ON a_t.doc_id = x.doc_id AND a_t.i = x.i JOIN near y ON a_t.doc_id = y.doc_id AND a_t.partner = y.i WHERE c = '('),
+slots AS (SELECT *, level AS slot, true AS own FROM pr UNION ALL SELECT *, level - 1, false FROM pr),
 up AS (SELECT *, coalesce(max(CASE WHEN own THEN i END) OVER (PARTITION BY doc_id, slot ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS around FROM slots),
-lp AS (SELECT doc_id, around AS i, coalesce(max(CASE WHEN own THEN j END), 0) AS j, count(*) FILTER (NOT own) AS stems, min(CASE WHEN NOT own THEN i END) - around - 1 AS u1, coalesce(max(CASE WHEN own THEN j END), 0) - arg_min(j, i) FILTER (NOT own) - 1 AS u2 FROM up GROUP BY doc_id, slot, around),
-le AS (SELECT doc_id, i, j, CASE WHEN i = 0 THEN 'exterior' WHEN stems = 0 THEN 'hairpin' WHEN stems = 1 THEN 'interior' ELSE 'multi' END AS kind, CAST(CASE WHEN i = 0 THEN 0 WHEN stems > 1 THEN 930 - 90 * (stems + 1)
-WHEN stems = 0 AND j - i - 1 < 3 THEN {energy.FORBIDDEN} WHEN stems = 0 AND j - i - 1 > 30 THEN {energy.HAIRPIN[30]} + trunc({energy.LONGER} * ln((j - i - 1) / 30.0)) WHEN stems = 0 THEN {_list_sql(energy.HAIRPIN)}[j - i]
-WHEN u1 + u2 = 0 THEN {energy.STACK[1][0]} WHEN u1 + u2 = 1 THEN 380 + {energy.STACK[1][0]} WHEN u1 = 0 OR u2 = 0 THEN CASE WHEN u1 + u2 > 30 THEN {energy.BULGE[30]} + trunc({energy.LONGER} * ln((u1 + u2) / 30.0)) ELSE {_list_sql(energy.BULGE)}[u1 + u2 + 1] END
-ELSE CASE WHEN u1 + u2 > 30 THEN {energy.INTERIOR[30]} + trunc({energy.LONGER} * ln((u1 + u2) / 30.0)) ELSE {_list_sql(energy.INTERIOR)}[u1 + u2 + 1] END + least(300, 60 * abs(u1 - u2)) END AS BIGINT) AS energy FROM lp)"""
+lp AS (SELECT doc_id, around AS i, coalesce(max(CASE WHEN own THEN j END), 0) AS j, count(*) FILTER (NOT own) AS stems, min(CASE WHEN NOT own THEN i END) - around - 1 AS u1, coalesce(max(CASE WHEN own THEN j END), 0) - arg_min(j, i) FILTER (NOT own) - 1 AS u2,
+max(CASE WHEN own THEN si END) AS si, max(CASE WHEN own THEN sj END) AS sj, arg_min(s5, i) FILTER (NOT own) AS sp, arg_min(s3, i) FILTER (NOT own) AS sq,
+sum({_at_sql(par.EXTERIOR_STEM[2], 's5', 's3')}) FILTER (NOT own) AS outer_stems, sum({_at_sql(par.MULTI_STEMS[2], 's5', 's3')}) FILTER (NOT own) AS multi_stems FROM up GROUP BY doc_id, slot, around),
+le AS (SELECT lp.doc_id, i, j, CASE WHEN i = 0 THEN 'exterior' WHEN stems = 0 THEN 'hairpin' WHEN stems = 1 THEN 'interior' ELSE 'multi' END AS kind, CAST(CASE WHEN i = 0 THEN outer_stems
+WHEN stems > 1 THEN {par.MULTI_CLOSING} + {_at_sql(par.MULTI_STEMS[1], 'sj', 'si')} + multi_stems
+WHEN stems = 0 AND j - i - 1 = 3 AND substr(seq, i, 5) = 'GUUAC' THEN {par.SPECIAL_HAIRPINS['GUUAC']} WHEN stems = 0 AND j - i - 1 < 4 THEN {_list_sql(par.HAIRPIN)}[j - i]
+WHEN stems = 0 THEN {_size_sql(par.HAIRPIN, 'j - i - 1')} + {_at_sql(par.HAIRPINS[2], 'si', 'sj')}
+WHEN u1 + u2 <= 1 THEN {par.STACK[1][0]} + {par.BULGE[1]} * (u1 + u2) WHEN u1 = 0 OR u2 = 0 THEN {_size_sql(par.BULGE, 'u1 + u2')}
+WHEN u1 = 1 AND u2 = 1 THEN {_at_sql(par.ONE_ONE[2, 1], 'si', 'sj')} WHEN u1 = 1 AND u2 = 2 THEN {_at_sql(par.ONE_TWO[2, 1], 'si', 'sq', 'sj')} WHEN u1 = 2 AND u2 = 1 THEN {_at_sql(par.ONE_TWO[1, 2], 'sq', 'si', 'sp')}
+WHEN u1 = 1 OR u2 = 1 THEN {_size_sql(par.INTERIOR, 'u1 + u2')} + least({par.MOST_ASYMMETRY}, {par.ASYMMETRY} * abs(u1 - u2))
+WHEN u1 + u2 = 5 THEN {par.INTERIOR[5] + par.ASYMMETRY} + {_at_sql(par.TWO_THREE[2], 'si', 'sj')} + {_at_sql(par.TWO_THREE[1], 'sq', 'sp')}
+ELSE {_size_sql(par.INTERIOR, 'u1 + u2')} + least({par.MOST_ASYMMETRY}, {par.ASYMMETRY} * abs(u1 - u2)) + {_at_sql(par.LONG[2], 'si', 'sj')} + {_at_sql(par.LONG[1], 'sq', 'sp')} END AS BIGINT) AS energy FROM lp JOIN strs ON lp.doc_id = strs.doc_id)"""
 
 
 @query(f"WITH {LOOPS} SELECT * FROM le")

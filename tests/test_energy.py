@@ -8,6 +8,7 @@ import numpy as np
 from foldlake.functions.sequence import PAIR_TYPES
 from foldlake.operators import energy as en
 from foldlake.operators import folding
+from foldlake.operators import parameters as par
 
 
 def every_structure(s, i=0, j=None):
@@ -31,7 +32,9 @@ def by_hand(s, structure):
         elif c == ")":
             partner[opened.pop()] = x
     t = lambda a, b: PAIR_TYPES.get(s[a] + s[b], 7)
+    code = lambda k: " ACGU".index(s[k]) if 0 <= k < len(s) else 5
     au = lambda a, b: 50 if t(a, b) > 2 else 0
+    stem = lambda a, b: par.EXTERIOR_STEM[t(a, b), code(a - 1), code(b + 1)]
 
     def inside(a, b):
         found, x = [], a
@@ -42,28 +45,43 @@ def by_hand(s, structure):
             x += 1
         return found
 
-    total = sum(au(*p) for p in inside(0, len(s)))
+    def facing(table, a, b):
+        return table[t(a, b), code(a + 1), code(b - 1)]
+
+    total = sum(stem(*p) for p in inside(0, len(s)))
     for i, j in partner.items():
-        stems = inside(i + 1, j)
+        stems, n = inside(i + 1, j), j - i - 1
         if not stems:
-            total += en.HAIRPIN[j - i - 1] + (au(i, j) if j - i == 4 else 0)
+            total += par.SPECIAL_HAIRPINS.get(s[i : j + 1], par.HAIRPIN[n] + (au(i, j) if n == 3 else facing(par.HAIRPINS, i, j)))
         elif len(stems) == 1:
             (p, q), = stems
             a, b = p - i - 1, j - q - 1
+            inner = PAIR_TYPES.get(s[q] + s[p], 7)
+            back = lambda table: table[inner, code(q + 1), code(p - 1)]  # noqa: B023, E731
             if a + b > 30:
                 return None
             if a + b <= 1:
-                total += en.STACK[t(i, j) - 1][t(q, p) - 1] + (380 if a + b else 0)
+                total += par.STACK[t(i, j) - 1][inner - 1] + (380 if a + b else 0)
             elif a == 0 or b == 0:
-                total += en.BULGE[a + b] + au(i, j) + au(p, q)
+                total += par.BULGE[a + b] + au(i, j) + au(p, q)
+            elif (a, b) == (1, 1):
+                total += par.ONE_ONE[t(i, j), inner, code(i + 1), code(j - 1)]
+            elif (a, b) == (1, 2):
+                total += par.ONE_TWO[t(i, j), inner, code(i + 1), code(q + 1), code(j - 1)]
+            elif (a, b) == (2, 1):
+                total += par.ONE_TWO[inner, t(i, j), code(q + 1), code(i + 1), code(p - 1)]
+            elif min(a, b) == 1:
+                total += par.INTERIOR[a + b] + min(300, 60 * abs(a - b)) + 70 * ((t(i, j) > 2) + (inner > 2))
             else:
-                total += en.INTERIOR[a + b] + min(300, 60 * abs(a - b))
+                table = par.TWO_THREE if a + b == 5 else par.LONG
+                total += par.INTERIOR[a + b] + min(300, 60 * abs(a - b)) + facing(table, i, j) + back(table)
         else:
-            total += 930 - 90 * (len(stems) + 1) + au(i, j) + sum(au(*p) for p in stems)
+            closing = par.EXTERIOR_STEM[PAIR_TYPES.get(s[j] + s[i], 7), code(j - 1), code(i + 1)]
+            total += 930 - 90 * (len(stems) + 1) + closing + sum(stem(*p) for p in stems)
     return total
 
 
-SEQS = ["GGGAAAUCCC", "GGAAACGAAAGC", "GCGAAAGCAGCAAAGC", "GGCAAAGCGCAAAGCC", "GACGAAACAGCAAAGUC", "AAAA", "GGGGAAAACCCC", "GCUAAAGAAACCGUUGC"]
+SEQS = ["GGGAAAUCCC", "GGAAACGAAAGC", "GCGAAAGCAGCAAAGC", "GGCAAAGCGCAAAGCC", "GACGAAACAGCAAAGUC", "AAAA", "GGGGAAAACCCC", "GCUAAAGAAACCGUUGC", "GGCCUUCGGGUC", "GACAGUGAUGUC", "CGUUACGAGCAAAC"]
 
 
 def test_energies_of_every_structure(spark):
@@ -73,11 +91,44 @@ def test_energies_of_every_structure(spark):
     assert any(len(s) > 14 and "(" in x for _, s, x in rows)
 
 
+#: Structures with energies worked out by hand from the parameters, with dangling ends on both sides.
+KNOWN = [
+    ("ACCCAAAAGGCCAAAAGGGC", ".(((....))((....))).", 400),
+    ("ACACAAAAAUGUUACAAAAGUCCGA", ".(.((....))..((....))..).", 800),
+    ("AAACAAAAAUGUUACAAAAGUCCUA", ".(.((....))..((....))..).", 960),
+    ("ACACAAAAAUGUUACAAAAGUCCAAAAGGCGA", ".(.((....))..((....))((....)).).", 740),
+    ("CAAAAAAG", "(......)", -150 + 540),
+    ("CCAAAAAAGG", "((......))", -330 - 150 + 540),
+    ("GAAAAAACCC", "(........)", 550 - 150),
+    ("CACAAAAAAGAG", "(.(......).)", 90 - 150 + 540),
+    ("CAGCAAAAAAGAUG", "((.(......).))", -210 + 120 - 150 + 540),
+    ("CUAAAAAAAUCAG", "(.(......)..)", 300 - 80 + 50 + 540),
+    ("UGCAAAAAAAUGA", "(..(......).)", 50 + 260 - 80 + 50 + 540),
+]
+
+
+def test_known_energies(spark):
+    d = spark.createDataFrame([(k, s, x) for k, (s, x, _) in enumerate(KNOWN)], "doc_id long, seq string, structure string")
+    got = {r["doc_id"]: r["energy"] for r in en.structure_energy(d).collect()}
+    assert got == {k: e for k, (_, _, e) in enumerate(KNOWN)} == {k: by_hand(s, x) for k, (s, x, _) in enumerate(KNOWN)}
+    best = folding.fold(spark.createDataFrame([(1, "CGCAGGGAUACCCGCG")], "doc_id long, seq string")).first()
+    assert best["structure"] == "(((.(((...))))))"
+
+
+def test_move_energies(spark):
+    s, x = "GGGAAAUCCCA", "((......))."
+    moves = [(1, 10), (-1, -10), (-2, -9), (3, 8), (2, 9), (11, 12)]
+    d = spark.createDataFrame([(1, s, x, moves), (2, s, x, []), (3, None, None, None)], "doc_id long, seq string, structure string, moves array<struct<i int, j int>>")
+    got = {(r["i"], r["j"]): r["change"] for r in en.move_energies(d).collect()}
+    e = by_hand(s, x)
+    assert got == {(1, 10): None, (2, 9): None, (11, 12): None, (-1, -10): by_hand(s, ".(......)..") - e, (-2, -9): by_hand(s, "(........).") - e, (3, 8): by_hand(s, "(((....))).") - e}
+
+
 def test_long_loops(spark):
     s = "G" + "A" * 35 + "C"
     d = spark.createDataFrame([(1, s, "(" + "." * 35 + ")"), (2, "GCAAC", "((.))"), (3, "", ""), (4, None, None)], "doc_id long, seq string, structure string")
     got = {r["doc_id"]: r["energy"] for r in en.structure_energy(d).collect()}
-    assert got[1] == 770 + int(107.856 * math.log(35 / 30)) and got[2] == en.FORBIDDEN + en.STACK[1][6] and got[3] == got[4] == 0
+    assert got[1] == 770 + int(107.856 * math.log(35 / 30)) - 110 and got[2] == par.FORBIDDEN + par.STACK[1][6] and got[3] == got[4] == 0
 
 
 def test_fold_against_every_structure(spark):
@@ -142,3 +193,12 @@ def test_long_sequence_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(folding, "CELLS", 2 * 92**2)
     assert [len(g) for g in whole] == [5] and [len(g) for g in folding._groups(seqs)] == [2, 2, 1]
     assert [len(g) for g in folding._groups(["A" * 3000] * 3)] == [1, 1, 1]
+
+
+def test_lengths_together_change_nothing():
+    rng = np.random.default_rng(8)
+    seqs = ["".join(rng.choice(list("ACGU"), n)) for n in (0, 1, 3, 20, 21, 24, 24, 27, 29)]
+    alone = [folding.Tables([s], folding.Sum).f[-1, 0] if s else 1 for s in seqs]
+    together = folding.Tables(seqs, folding.Sum)
+    np.testing.assert_allclose(together.f[-1], alone)
+    assert sorted(k for g in folding._groups(seqs) for k in g) == list(range(9)) and [len(g) for g in folding._groups(seqs)] == [3, 6]
