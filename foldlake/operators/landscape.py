@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import energy as en
@@ -71,8 +72,7 @@ def suboptimals(df: DataFrame, delta: int, key: str = "doc_id", seq: str = "seq"
 def density_of_states(structures: DataFrame, width: int = 10, key: str = "doc_id") -> DataFrame:
     """key, bin (energies from bin * width above the best), n_structures out of rows of ``suboptimals``."""
     s = structures.groupBy(key, "energy").agg(F.count(F.lit(1)).alias("n"))
-    low = s.groupBy(F.col(key).alias("k")).agg(F.min("energy").alias("low"))
-    s = s.join(low, F.col(key).eqNullSafe(F.col("k")))
+    s = s.withColumn("low", F.min("energy").over(W.partitionBy(key)))  # a row per energy, not per structure
     return s.groupBy(key, F.floor((F.col("energy") - F.col("low")) / width).cast("int").alias("bin")).agg(F.sum("n").alias("n_structures"))
 
 
@@ -165,7 +165,8 @@ def tree_distance(a: str | None, b: str | None) -> int:
 
 def tree_distances(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     """key, distance of the full trees of two structures of every row."""
-    return by_row(df, key, [a, b], "distance long", lambda x, y: (np.array([tree_distance(x, y)], np.int64),))
+    d = df.select(key, a, b).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return by_row(d, key, [a, b], "distance long", lambda x, y: (np.array([tree_distance(x, y)], np.int64),))
 
 
 def duplex(one: str, other: str) -> tuple[int, list[tuple[int, int]]] | None:

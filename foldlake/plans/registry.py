@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
-from ..operators import alignment, energy, folding, matching, structure
+from ..operators import alignment, energy, folding, landscape, matching, structure
 from ..operators import parameters as par
 from ..sources import records
 
@@ -442,6 +442,56 @@ def bpseq_lines(spark, sf_dir):
     return records.bpseq_lines(structure.connect_table(structures(spark, sf_dir)))
 
 
+def item_pieces(spark, sf_dir):
+    """key (item_id:piece), item_id, piece and seq: all letters of every benchmark text in consecutive pieces of WIDTH."""
+    d = table(spark, sf_dir, "benchmark")
+    seq = F.coalesce(fs.from_text(F.col("text")), F.lit(""))
+    cut = F.when(seq == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(seq, F.lit(f"(.{{1,{WIDTH}}})"), F.lit(1)))
+    p = d.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.posexplode(cut).alias("piece", "seq"))
+    return p.select(F.concat_ws(":", "item_id", F.col("piece").cast("string")).alias("key"), "item_id", "piece", "seq")
+
+
+def _of_item():
+    part = lambda n: F.regexp_extract("key", "(?s)^(.*):([0-9]+)$", n)
+    return part(1).alias("item_id"), part(2).cast("int").alias("piece")
+
+
+@query()
+def suboptimal_states(spark, sf_dir):
+    """Numbers of structures within 1 kcal/mol of the best of each piece of every benchmark text, in bins of 0.1."""
+    s = landscape.density_of_states(landscape.suboptimals(item_pieces(spark, sf_dir), 100, "key"), 10, "key")
+    return s.select(*_of_item(), "bin", "n_structures")
+
+
+@query()
+def constrained_fold(spark, sf_dir):
+    """Best structures of the pieces of benchmark texts whose runs of three A stay unpaired."""
+    held = F.translate(F.regexp_replace("seq", "AAA", "xxx"), "ACGU", "....")
+    f = folding.fold(item_pieces(spark, sf_dir).withColumn("held", held), "key", constraint="held")
+    return f.select(*_of_item(), "structure", "mfe", F.round("free_energy", 4).alias("free_energy"))
+
+
+@query()
+def local_minima(spark, sf_dir):
+    """Where the walk from no pairs at all ends, for each piece of every benchmark text."""
+    m = landscape.local_minima(item_pieces(spark, sf_dir).withColumn("structure", F.lit("")), "key")
+    return m.select(*_of_item(), "minimum", "energy", "steps")
+
+
+@query()
+def tree_distances(spark, sf_dir):
+    """Distance of the trees of the G-C and A-U brackets of each piece of every benchmark text."""
+    s = item_pieces(spark, sf_dir).select("key", structure.bracketed("G", "C")("seq").alias("structure"), structure.bracketed("A", "U")("seq").alias("other"))
+    return landscape.tree_distances(s, "structure", "other", "key").select(*_of_item(), "distance")
+
+
+@query()
+def duplexes(spark, sf_dir):
+    """Best duplex of each piece of every benchmark text with the piece after it."""
+    p = item_pieces(spark, sf_dir).withColumn("after", F.lead("seq").over(W.partitionBy("item_id").orderBy("piece")))
+    return landscape.duplexes(p.filter("after IS NOT NULL"), "seq", "after", "key").select(*_of_item(), "energy", "start", "end", "other_start", "other_end", "structure")
+
+
 def flagship(spark, sf_dir):
     return sequence_statistics(spark, sf_dir)
 

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lines that hold a structure or a constraint instead of letters.
+STRUCTURE_LINE = r"^[.()<>{}\[\]|,x]+(\s.*)?$"
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq of each record; sequence lines are joined, comment lines (; # %) and text before the first header left out."""
+    """id, description, seq of each record; sequence lines are joined, comment lines (; # % * /), lines of a
+    structure and text before the first header left out (``records.read_plain`` reads files without headers)."""
     r = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"), F.col("value").startswith(">").alias("first"))
     lines = F.split("v", r"\r?\n")
-    body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: ~x.rlike("^[;#%]"))
+    body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: ~x.rlike("^[;#%*/]") & ~x.rlike(STRUCTURE_LINE))
     head = F.trim(F.element_at(lines, 1))
     r = r.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("id"), head.alias("description"), F.regexp_replace(F.array_join(body, ""), r"\s+", "").alias("seq"))
     return r.filter("seq <> ''")

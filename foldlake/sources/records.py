@@ -61,3 +61,38 @@ def connect_lines(table: DataFrame, key: str = "doc_id") -> DataFrame:
 def bpseq_lines(table: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, i and the bpseq line (position, base, partner) of rows of ``structure.connect_table``."""
     return table.select(key, "i", F.concat_ws(" ", "i", "base", "partner").alias("line"))
+
+
+def read_maf(spark: SparkSession, path: str) -> DataFrame:
+    """aln, row, name, start, size, strand, source_size, seq of the sequence lines of every alignment block; blocks are
+    parted by blank lines, and other lines are left out."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path).withColumn("aln", F.monotonically_increasing_id())
+    blocks = blocks.select("aln", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line"))
+    f = F.split(F.trim("line"), r"\s+")
+    r = blocks.select("aln", "row", f.alias("f")).filter((F.col("f")[0] == "s") & (F.size("f") == 7))
+    number = lambda n: F.col("f")[n].try_cast("long")
+    return r.select("aln", "row", F.col("f")[1].alias("name"), number(2).alias("start"), number(3).alias("size"), F.col("f")[4].alias("strand"), number(5).alias("source_size"), F.col("f")[6].alias("seq"))
+
+
+def read_plain(spark: SparkSession, path: str) -> DataFrame:
+    """seq of the lines of files without headers, one sequence a line; comments and lines of other than letters, '-', '_',
+    '.' and '&' are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("seq")).filter(F.col("seq").rlike("^[A-Za-z][A-Za-z._&-]*$"))
+
+
+def alignment_faults(rows: DataFrame, aln: str = "aln", seq: str = "seq") -> DataFrame:
+    """aln, n_rows, n_columns (null if rows differ), n_empty of alignments that cannot be used: rows of unequal lengths, or none with
+    letters."""
+    g = rows.groupBy(aln).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.length(F.coalesce(seq, F.lit("")))).alias("low"), F.max(F.length(F.coalesce(seq, F.lit("")))).alias("high"), F.count_if(~F.coalesce(F.col(seq).rlike("[A-Za-z]"), F.lit(False))).alias("n_empty"))
+    bad = (F.col("low") < F.col("high")) | (F.col("n_empty") == F.col("n_rows"))
+    return g.filter(bad).select(aln, "n_rows", F.when(F.col("low") == F.col("high"), F.col("low")).alias("n_columns"), "n_empty")
+
+
+def energy_text(structure: Column, energy: Column) -> Column:
+    """The structure and its energy (0.01 kcal/mol) in kcal/mol, as in fold reports: '((...)) ( -1.20)'."""
+    return F.format_string("%s (%6.2f)", structure, energy.cast("double") / 100)
+
+
+def fold_json(folds: DataFrame) -> DataFrame:
+    """One JSON text per row, of all its columns."""
+    return folds.select(F.to_json(F.struct("*")).alias("value"))

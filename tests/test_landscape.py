@@ -123,3 +123,20 @@ def test_duplexes(spark):
             low = e if low is None else min(low, e)
         assert got[k]["energy"] == low
     assert got[4]["structure"] == "((((&))))" and got[5]["energy"] is got[98]["energy"] is got[99]["structure"] is None
+
+
+def test_text_records(spark, tmp_path):
+    from foldlake.sources import fasta, records
+
+    (tmp_path / "a.maf").write_text("##maf version=1\n\na score=1\ns x.1 0 4 + 100 AC-GU\ns y.1 7 5 - 50 ACGGU\n\na score=2\ns x.1 9 1 + 100 A\ni x.1 N 0\n")
+    r = sorted((x["aln"], x["row"], x["name"], x["start"], x["strand"], x["seq"]) for x in records.read_maf(spark, str(tmp_path / "a.maf")).collect())
+    assert [x[2:] for x in r] == [("x.1", 0, "+", "AC-GU"), ("y.1", 7, "-", "ACGGU"), ("x.1", 9, "+", "A")] and len({x[0] for x in r}) == 2
+    (tmp_path / "p.txt").write_text("ACGU\n# no\n\nGG&CC\n>head\n((..))\n")
+    assert sorted(x["seq"] for x in records.read_plain(spark, str(tmp_path / "p.txt")).collect()) == ["ACGU", "GG&CC"]
+    (tmp_path / "f.fa").write_text(">s1 one\nACG\n* note\nUU\n.(.).\n>s2\n/ x\nGG\n")
+    assert sorted((x["id"], x["seq"]) for x in fasta.read_fasta(spark, str(tmp_path / "f.fa")).collect()) == [("s1", "ACGUU"), ("s2", "GG")]
+    d = spark.createDataFrame([("a", "AC-G"), ("a", "ACG"), ("b", "AC"), ("b", "GG"), ("c", None), ("c", "")], "aln string, seq string")
+    assert sorted(map(tuple, records.alignment_faults(d).collect())) == [("a", 2, None, 0), ("c", 2, 0, 2)]
+    x = spark.createDataFrame([("((...))", -120)], "structure string, mfe long")
+    assert x.select(records.energy_text(x.structure, x.mfe)).first()[0] == "((...)) ( -1.20)"
+    assert records.fold_json(x).first()[0] == '{"structure":"((...))","mfe":-120}'
