@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import energy as en
 from . import parameters as par
-from .folding import Minimum, Tables
+from .folding import Minimum, Sum, Tables, _groups
 from .matching import spread
 from .structure import Structure, by_row, letters, tree_text
 
@@ -169,6 +169,64 @@ def tree_distances(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFr
     return by_row(d, key, [a, b], "distance long", lambda x, y: (np.array([tree_distance(x, y)], np.int64),))
 
 
+def _aligned(drop: np.ndarray, add: np.ndarray, change) -> float:
+    """Cheapest alignment of two rows of items: costs of leaving items of each out, and change(i), the costs of turning item i
+    of the first into each of the second. One row of the table is held."""
+    ahead = np.r_[0, np.cumsum(add)]
+    row = ahead.astype(float)
+    for i, d in enumerate(drop):
+        step = row + d
+        step[1:] = np.minimum(step[1:], row[:-1] + change(i))
+        row = ahead + np.minimum.accumulate(step - ahead)
+    return float(row[-1])
+
+
+def string_distance(a: str | None, b: str | None) -> float:
+    """Distance of two structures as strings of tree brackets, each with half the costs of its node; opening brackets turn
+    only into opening ones."""
+    def tokens(text):
+        s = Structure(text)
+        return [t for o, c in zip(s.opens.tolist(), s.closes.tolist()) for t in ([(1, 1)] if o else [(-1, 1)] if c else [(1, 0), (-1, 0)])]
+
+    x, y = (np.array(tokens(t), int).reshape(-1, 2) for t in (a, b))
+    cost = np.array([TREE_UNPAIRED, TREE_PAIR]) / 2
+    change = lambda i: np.where(y[:, 0] != x[i, 0], np.inf, (y[:, 1] != x[i, 1]) * TREE_REPLACE / 2)
+    return _aligned(cost[x[:, 1]], cost[y[:, 1]], change)
+
+
+def string_distances(df: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
+    """key, distance of the bracket strings of two structures of every row."""
+    d = df.select(key, a, b).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return by_row(d, key, [a, b], "distance double", lambda x, y: (np.array([string_distance(x, y)]),))
+
+
+def profile_distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Distance of two profiles (position x probabilities of being unpaired, opening, closing): two positions cost 2 less
+    twice the sum of the geometric means, a position left out its sum."""
+    p, q = np.sqrt(np.maximum(p, 0)), np.sqrt(np.maximum(q, 0))
+    return _aligned((p * p).sum(1), (q * q).sum(1), lambda i: 2 - 2 * q @ p[i])
+
+
+def profile_distances(df: DataFrame, one: str, other: str, key: str = "doc_id") -> DataFrame:
+    """key, distance of the profiles of the ensembles of two sequences of every row."""
+    def run(batches):
+        for b in batches:
+            seqs = [*b["one"].fillna("").str.upper(), *b["other"].fillna("").str.upper()]
+            profiles = [np.zeros((0, 3))] * len(seqs)
+            for rows in _groups(seqs):
+                if seqs[rows[-1]]:
+                    every = Tables([seqs[r] for r in rows], Sum).pair_probabilities()
+                    for k, r in enumerate(rows):
+                        x = every[1 : len(seqs[r]) + 1, 1 : len(seqs[r]) + 1, k]
+                        up, down = x.sum(1), x.sum(0)
+                        profiles[r] = np.stack([1 - up - down, up, down], 1)
+            n = len(b)
+            yield pd.DataFrame({"key": b["key"], "distance": [profile_distance(profiles[k], profiles[n + k]) for k in range(n)]})
+
+    d = df.select(F.col(key).alias("key"), F.col(one).alias("one"), F.col(other).alias("other")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return d.mapInPandas(run, f"key {dict(df.dtypes)[key]}, distance double").withColumnRenamed("key", key)
+
+
 def duplex(one: str, other: str) -> tuple[int, list[tuple[int, int]]] | None:
     """Lowest energy of two strands that pair only with each other, and its pairs (position in one, position in the other)
     from the start of ``one``; None where no pair can form."""

@@ -492,6 +492,20 @@ def duplexes(spark, sf_dir):
     return landscape.duplexes(p.filter("after IS NOT NULL"), "seq", "after", "key").select(*_of_item(), "energy", "start", "end", "other_start", "other_end", "structure")
 
 
+@query()
+def string_distances(spark, sf_dir):
+    """Distance of the bracket strings of the G-C and A-U brackets of each piece of every benchmark text."""
+    s = item_pieces(spark, sf_dir).select("key", structure.bracketed("G", "C")("seq").alias("structure"), structure.bracketed("A", "U")("seq").alias("other"))
+    return landscape.string_distances(s, "structure", "other", "key").select(*_of_item(), "distance")
+
+
+@query()
+def profile_distances(spark, sf_dir):
+    """Distance of the ensemble profiles of each piece of every benchmark text and the piece after it."""
+    p = item_pieces(spark, sf_dir).withColumn("after", F.lead("seq").over(W.partitionBy("item_id").orderBy("piece")))
+    return landscape.profile_distances(p.filter("after IS NOT NULL"), "seq", "after", "key").select(*_of_item(), F.round("distance", 6).alias("distance"))
+
+
 def flagship(spark, sf_dir):
     return sequence_statistics(spark, sf_dir)
 

@@ -93,6 +93,57 @@ def test_tree_distances(spark):
     assert got == {k: apart(forest(a or ""), forest(b or "")) for k, a, b in rows}
 
 
+def plain_alignment(x, y, drop, change):
+    d = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) + 1):
+        for j in range(len(y) + 1):
+            if i or j:
+                d[i][j] = min(([d[i - 1][j] + drop(x[i - 1])] if i else []) + ([d[i][j - 1] + drop(y[j - 1])] if j else []) + ([d[i - 1][j - 1] + change(x[i - 1], y[j - 1])] if i and j else []))
+    return d[-1][-1]
+
+
+def test_string_and_profile_distances(spark):
+    def tokens(text):
+        return [c for x in text for c in {"(": ["<P"], ")": [">P"], ".": ["<U", ">U"]}[x]]
+
+    texts = ["", "...", "(...)", "((...))", "((..)(..))", ".((((...).)..))"]
+    rows = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in texts for b in texts)] + [(99, None, "(...)")]
+    got = {r["doc_id"]: r["distance"] for r in landscape.string_distances(spark.createDataFrame(rows, "doc_id long, a string, b string"), "a", "b").collect()}
+    drop = lambda t: 1.0 if "P" in t else 0.5
+    change = lambda t, u: 1e9 if t[0] != u[0] else 0.5 * (t != u)
+    assert got == {k: plain_alignment(tokens(a or ""), tokens(b or ""), drop, change) for k, a, b in rows}
+    pairs = [(k, a, b) for k, (a, b) in enumerate(zip(SEQS, SEQS[1:]))] + [(98, SEQS[0], SEQS[0]), (99, None, "ACG")]
+    d = spark.createDataFrame(pairs, "doc_id long, a string, b string")
+    got = {r["doc_id"]: r["distance"] for r in landscape.profile_distances(d, "a", "b").collect()}
+
+    def profile(s):
+        every = {x: np.exp(-by_hand(s, x) / folding.KT) for x in every_structure(s)}
+        z = sum(every.values())
+        return [tuple(sum(w for x, w in every.items() if x[i] == c) / z for c in ".()") for i in range(len(s))]
+
+    for k, a, b in pairs:
+        wanted = plain_alignment(profile(a or ""), profile(b), sum, lambda p, q: 2 - 2 * sum(np.sqrt(x * y) for x, y in zip(p, q)))
+        assert abs(got[k] - wanted) < 1e-6
+    assert abs(got[98]) < 1e-6 and got[99] == 3
+
+
+def test_stack_energies(spark):
+    def bonus(x, e):
+        pairs = set(by_stack(x))
+        return sum(e[i - 1] + e[j - 1] + e[i] + e[j - 2] for i, j in pairs if (i + 1, j - 1) in pairs)
+
+    rng = np.random.default_rng(9)
+    rows = [(k, s, [int(v) for v in rng.integers(-150, 150, len(s))]) for k, s in enumerate(SEQS)]
+    d = spark.createDataFrame(rows + [(98, "GGGAAAUCCC", None), (99, None, [1])], "doc_id long, seq string, e array<int>")
+    got = {r["doc_id"]: r for r in folding.fold(d, stacked="e").collect()}
+    for k, s, e in rows:
+        energies = {x: by_hand(s, x) + bonus(x, e) for x in every_structure(s)}
+        assert got[k]["mfe"] == min(energies.values()) == energies[got[k]["structure"]]
+        z = sum(np.exp(-v / folding.KT) for v in energies.values())
+        assert abs(got[k]["free_energy"] + folding.KT * np.log(z)) < 1e-6
+    assert got[98]["mfe"] == min(by_hand("GGGAAAUCCC", x) for x in every_structure("GGGAAAUCCC")) and got[99]["structure"] == ""
+
+
 def every_duplex(a, b, i=0, j=None):
     """All chains of pairs (0-based) that rise in a and fall in b."""
     j = len(b) if j is None else j
