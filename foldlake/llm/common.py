@@ -8,7 +8,7 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,6 +108,35 @@ def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most_bytes else df
 
 
+def numbered(t: DataFrame, key: str, order: list[Column], most: int = 4096) -> DataFrame:
+    """t with nr: the number of the row among those of its key, from 0, in the order given; equal rows in any order.
+
+    Keys of more rows than most are sorted all together by ranges, which cut long keys and equal rows too; the number is
+    the count in the ranges before and the place in the range. The others are numbered by a window. Keys are not null.
+    """
+    long = t.groupBy(F.col(key).alias("l_key")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most)
+    long = materialize(long.select("l_key", F.lit(True).alias("long")), "long")
+    by_window = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1
+    if long.isEmpty():
+        return t.withColumn("nr", by_window)
+    j = t.withColumn("salt", F.rand(1)).join(small(long), F.col(key) == F.col("l_key"), "left").drop("l_key")
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [F.col(key), *order, F.col("salt")]
+    r = j.filter("long").repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    r = materialize(r.select(*t.columns, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "ranges")
+    s = r.groupBy(F.col(key).alias("s_key"), F.col("range").alias("s_range")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("s_key").orderBy("s_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = materialize(s.select("s_key", "s_range", (before - F.col("low")).alias("shift")), "starts")
+    r = r.join(small(s), (F.col(key) == F.col("s_key")) & (F.col("range") == F.col("s_range"))).select(*t.columns, (F.col("at") + F.col("shift")).alias("nr"))
+    return j.filter("long IS NULL").select(*t.columns).withColumn("nr", by_window).unionByName(r)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda z: CAST(ord(z) AS BIGINT))), lambda c, b: {bits}))"
+
+
 def stream_groups(batches, keys: list[str]):
     """(key, rows) for each run of equal keys over sorted Arrow batches; rows are dicts. Runs may cross batches."""
     last, rows = None, []

@@ -31,7 +31,7 @@ def odd_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     a, b = queries.queries()[name](spark, SF).toPandas(), c.execute(queries.oracle_sql()[name]).df()
     key = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(str).values.tolist()))
