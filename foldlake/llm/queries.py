@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, hmm, html_cut, jaccard, mixing, prefix_trie, quality, sharding, toxicity, warc
+from . import chat, decontaminate, hmm, html_cut, jaccard, mixing, periodic_runs, prefix_trie, quality, sharding, toxicity, warc
 
 
 def queries():
@@ -19,10 +19,11 @@ def queries():
         "op8_minimum_cut_text": html_cut.op8_minimum_cut_text,
         "op9_systematic_mix": mixing.op9_systematic_mix,
         "op10_parity_sketch_join": jaccard.op10_parity_sketch_join,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op5_benchmark_ngrams": decontaminate.OP5_SQL, "op6_rule_ledger": quality.OP6_SQL, "op9_systematic_mix": mixing.OP9_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
+    return {"op5_benchmark_ngrams": decontaminate.OP5_SQL, "op6_rule_ledger": quality.OP6_SQL, "op9_systematic_mix": mixing.OP9_SQL, "op11_periodic_runs": periodic_runs.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
