@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, hmm, html_cut, jaccard, mixing, periodic_runs, prefix_trie, quality, sharding, toxicity, warc
+from . import chat, decontaminate, hmm, html_cut, jaccard, mixing, periodic_runs, personal_data, prefix_trie, quality, sharding, toxicity, warc
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op10_parity_sketch_join": jaccard.op10_parity_sketch_join,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_personal_data": personal_data.op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }
 
