@@ -31,6 +31,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -254,9 +255,7 @@ class Seen(dict):
     """(document, set) of the last rows, so that repeated rows are worked on once a task; forgets all when it gets large."""
 
     def again(self, i: int, s: np.ndarray) -> bool:
-        import xxhash
-
-        key = (i, xxhash.xxh3_128_digest(s))
+        key = (i, hashlib.blake2b(s, digest_size=16).digest())
         if key in self:
             return True
         if len(self) > _SEEN_KEPT:
