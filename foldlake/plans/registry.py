@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
-from ..operators import alignment, energy, folding, landscape, matching, structure
+from ..operators import alignment, energy, folding, landscape, matching, structure, windowed
 from ..operators import parameters as par
 from ..sources import records
 
@@ -442,6 +442,35 @@ def bpseq_lines(spark, sf_dir):
     return records.bpseq_lines(structure.connect_table(structures(spark, sf_dir)))
 
 
+#: Longest distance of paired bases, and length of a window, where whole texts are folded.
+SPAN = 70
+
+
+@query()
+def local_folds(spark, sf_dir):
+    """Locally best structures of every whole text, with pairs up to SPAN apart."""
+    return windowed.local_folds(sequences(spark, sf_dir), SPAN)
+
+
+def items(spark, sf_dir):
+    """item_id and seq: the letters of every whole benchmark text as a sequence."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(fs.from_text(F.col("text")), F.lit("")).alias("seq"))
+
+
+@query()
+def window_pairs(spark, sf_dir):
+    """Mean pair probabilities over the windows of every whole benchmark text."""
+    p = windowed.window_pairs(items(spark, sf_dir), SPAN, SPAN, 0.01, "item_id")
+    return p.select("item_id", "i", "j", F.round("p", 6).alias("p"))
+
+
+@query()
+def accessibilities(spark, sf_dir):
+    """Mean probabilities over the windows of every whole benchmark text that 1, 4 or 8 bases from i on are unpaired."""
+    a = windowed.accessibilities(items(spark, sf_dir), [1, 4, 8], SPAN, SPAN, "item_id")
+    return a.select("item_id", "i", "u", F.round("p", 6).alias("p"), F.round("energy", 4).alias("energy"))
+
+
 def item_pieces(spark, sf_dir):
     """key (item_id:piece), item_id, piece and seq: all letters of every benchmark text in consecutive pieces of WIDTH."""
     d = table(spark, sf_dir, "benchmark")
