@@ -204,18 +204,19 @@ def connect_table(df: DataFrame, key: str = "doc_id", seq: str = "seq", structur
 
 
 #: What a position is called in an element string.
-EXTERIOR, HAIRPIN, INTERIOR, MULTI, STACK = "EHIMS"
+EXTERIOR, HAIRPIN, INTERIOR, MULTI = "ehim"
 
 
 def element_text(text: str | None) -> str:
-    """Letters E, H, I, M for unpaired positions of exterior, hairpin, interior and multiloops, S for paired ones."""
+    """Letters e, h, i, m for unpaired positions of exterior, hairpin, interior and multiloops; in upper case for the pairs
+    that close them."""
     s = Structure(text)
     if not s.n:
         return ""
     inner = np.bincount(s.around(), minlength=s.n + 1)  # stems directly inside each opening position
-    own = s.opener(s.height) + 1
+    own = s.opener(s.level) + 1
     kind = np.select([own == 0, inner[own] == 0, inner[own] == 1], [ord(EXTERIOR), ord(HAIRPIN), ord(INTERIOR)], ord(MULTI))
-    return np.where(s.partner > 0, ord(STACK), kind).astype(np.uint8).tobytes().decode()
+    return np.where(s.partner > 0, kind - 32, kind).astype(np.uint8).tobytes().decode()
 
 
 def tree_text(text: str | None) -> str:

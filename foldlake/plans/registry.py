@@ -213,11 +213,11 @@ def alignment_pair_entropy(spark, sf_dir):
 _DISTANCES = " + ".join(f"t{v} * t{w} * {sum(x != y for x, y in zip(a, b))}" for k, (a, v) in enumerate(fs.PAIR_TYPES.items()) for b, w in list(fs.PAIR_TYPES.items())[k + 1 :])
 
 
-@query(f"""WITH {ALN}, {_KINDS}, n AS (SELECT aln, i, j, {", ".join(f"count(*) FILTER (t = {k}) AS t{k}" for k in range(1, 7))} FROM kinds WHERE t > 0 GROUP BY aln, i, j)
-SELECT n.aln, n.i, n.j, round(CASE WHEN n_seq > 1 THEN ({_DISTANCES}) / (n_seq * (n_seq - 1) / 2.0) ELSE 0 END - (n_seq - t1 - t2 - t3 - t4 - t5 - t6 - 0.75 * gap) / n_seq, 6) + 0.0 AS score FROM n JOIN cols ON n.aln = cols.aln AND n.i = cols.i""")
+@query(f"""WITH {ALN}, {_KINDS}, n AS (SELECT aln, i, j, {", ".join(f"count(*) FILTER (t = {k}) AS t{k}" for k in range(1, 7))} FROM kinds WHERE t > 0 GROUP BY aln, i, j),
+p AS (SELECT n.aln, n.i, n.j, n_seq, gap AS p7, n_seq - t1 - t2 - t3 - t4 - t5 - t6 - gap AS p0, {_DISTANCES} AS apart FROM n JOIN cols ON n.aln = cols.aln AND n.i = cols.i)
+SELECT aln, i, j, CASE WHEN 2 * p0 + p7 > n_seq THEN {alignment.FORBIDDEN} ELSE CAST(trunc(100.0::DOUBLE * apart / n_seq - 100.0::DOUBLE * (p0 + p7 * 0.25::DOUBLE)) AS BIGINT) END AS score FROM p""")
 def alignment_covariance(spark, sf_dir):
-    c = alignment.covariance(alignment_rows(spark, sf_dir))
-    return c.select("aln", "i", "j", (F.round("score", 6) + 0.0).alias("score"))
+    return alignment.covariance(alignment_rows(spark, sf_dir))
 
 
 _FREQUENT = " + ".join(f"CASE WHEN {b} * width >= all_{b} THEN {1 << k} ELSE 0 END" for k, b in enumerate("acgu"))
@@ -407,10 +407,10 @@ def ensemble_structures(spark, sf_dir):
 slots AS (SELECT doc_id, i, level AS slot, true AS own FROM pr UNION ALL SELECT doc_id, i, level - 1, false FROM pr),
 up AS (SELECT doc_id, own, coalesce(max(CASE WHEN own THEN i END) OVER (PARTITION BY doc_id, slot ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS around FROM slots),
 n AS (SELECT doc_id, around, count(*) FILTER (NOT own) AS stems FROM up GROUP BY doc_id, around),
-e AS (SELECT o.doc_id, o.i, CASE WHEN o.c <> '.' THEN 'S' WHEN o.level = 0 THEN 'E' WHEN coalesce(stems, 0) = 0 THEN 'H' WHEN stems = 1 THEN 'I' ELSE 'M' END AS x FROM o LEFT JOIN n ON o.doc_id = n.doc_id AND o.own = n.around AND o.level > 0),
+e AS (SELECT o.doc_id, o.i, CASE WHEN o.c <> '.' THEN upper(k) ELSE k END AS x FROM (SELECT o.doc_id, o.i, o.c, CASE WHEN o.level = 0 THEN 'e' WHEN coalesce(stems, 0) = 0 THEN 'h' WHEN stems = 1 THEN 'i' ELSE 'm' END AS k FROM o LEFT JOIN n ON o.doc_id = n.doc_id AND o.own = n.around AND o.level > 0) o),
 g AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS elements FROM e GROUP BY doc_id) SELECT strs.doc_id, coalesce(elements, '') AS elements FROM strs LEFT JOIN g ON strs.doc_id = g.doc_id""")
 def element_strings(spark, sf_dir):
-    """Which kind of loop each position lies in."""
+    """Which kind of loop each position lies in, upper case for the pair that closes it."""
     return structures(spark, sf_dir).select("doc_id", structure.per_text(structure.element_text)("structure").alias("elements"))
 
 

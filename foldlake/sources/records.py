@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 def _rows(records: DataFrame, line_is_row: Column, name: Column, seq: Column) -> DataFrame:
     """aln, row, name, seq: the pieces of each name in records (aln, rec, value), joined in the order of their lines."""
-    lines = records.select("aln", "rec", F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).filter(line_is_row)
+    numbered = F.transform(F.split("value", r"\r?\n"), lambda x, k: F.struct(k.alias("k"), x.alias("line")))
+    lines = records.select("aln", "rec", F.explode(numbered).alias("x")).select("aln", "rec", "x.k", "x.line").filter(line_is_row)
     parts = lines.select("aln", "rec", "k", name.alias("name"), seq.alias("part"))
     g = parts.groupBy("aln", "rec", "name").agg(F.min("k").alias("row"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("p"))
     return g.select("aln", "row", "name", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
@@ -32,7 +33,7 @@ def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     """aln (the file), row, name, seq of one alignment a file; conservation lines and counts are left out."""
-    r = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("aln"), F.lit(0).cast("long").alias("rec"), "value")
+    r = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("aln"), F.lit(0).cast("long").alias("rec"), "value")
     return _rows(r, F.col("line").rlike(r"^[^#\s]\S*\s+[A-Za-z.~_-]+(\s+\d+)?\s*$") & ~F.col("line").startswith("CLUSTAL"), _field(1), _field(2))
 
 

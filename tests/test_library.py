@@ -111,7 +111,7 @@ def test_structure_arrays_against_a_stack():
 
 def test_structure_texts():
     t = "..((..((...)).(((...)))..)).((.(....)))"
-    assert structure.element_text(t) == "EESSMMSSHHHSSMSSSHHHSSSMMSSESSISHHHHSSS"
+    assert structure.element_text(t) == "eeIMmmIHhhhHImIIHhhhHIImmMIeIIiHhhhhHII"
     assert structure.tree_text("(.).") == "((" + "(U)P)" + "(U)" + "R)"
     assert structure.homeomorphic_text(".((..)).") == "((U1)((U2)P2)(U1)R1)"
     assert structure.coarse_text(t) == "(((H)(H)M)((H)B)R)"
@@ -140,6 +140,9 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "a.aln").write_text("CLUSTAL W\n\ns1 ACG- 3\ns2 AC-U 3\n   **\n\ns1 GG 5\ns2 CC 5\n   *\n")
     rows = records.read_clustal(spark, str(tmp_path / "a.aln")).orderBy("row").collect()
     assert [(r["name"], r["seq"]) for r in rows] == [("s1", "ACG-GG"), ("s2", "AC-UCC")]
+    (tmp_path / "b.aln").write_text("CLUSTAL W\n\nz UUU\na GGG\n\nz AAA\na CCC\n\nz AUA\na ACC\n")
+    rows = records.read_clustal(spark, str(tmp_path / "b.aln")).orderBy("row").collect()
+    assert [(r["name"], r["seq"]) for r in rows] == [("z", "UUUAAAAUA"), ("a", "GGGCCCACC")]
     (tmp_path / "r.txt").write_text("1 A 0.5\n2 -999\n3\n4 1.25\njunk\n")
     assert sorted(map(tuple, records.read_reactivities(spark, str(tmp_path / "r.txt")).collect())) == [(1, "A", 0.5), (2, "N", None), (3, "N", None), (4, "N", 1.25)]
     t = structure.connect_table(spark.createDataFrame([(1, "GCAAAGC", "((...))")], "doc_id long, seq string, structure string"))
@@ -147,3 +150,31 @@ def test_record_files(spark, tmp_path):
     records.connect_lines(t).select("line").write.text(str(tmp_path / "ct"))
     back = {r["i"]: (r["base"], r["partner"]) for r in records.read_connect(spark, str(tmp_path / "ct")).collect()}
     assert back == {1: ("G", 7), 2: ("C", 6), 3: ("A", 0), 4: ("A", 0), 5: ("A", 0), 6: ("G", 2), 7: ("C", 1)}
+
+
+def test_alignment_scores(spark):
+    """Counts, covariance and forbidden pairs of columns against the plain sums over rows."""
+    from foldlake.functions.sequence import PAIR_TYPES
+    from foldlake.operators import alignment
+
+    rows = ["GGGAAACCC", "GCGAAACGC", "AGGA-ACCU", "GGGAA", "G-GAAACCC", "AUGAAACAU"]
+    df = spark.createDataFrame([("x", r, 1) for r in rows] + [("y", "G", 1), ("y", None, 1), (None, "GAAAAC", 1)], "aln string, seq string, i int")
+    got = {(r["aln"], r["i"], r["j"]): r["score"] for r in alignment.covariance(df, (4, 8)).collect()}
+    full = [r.ljust(9, "-") for r in rows]
+    for i in range(9):
+        for j in range(i + 4, 9):
+            kinds = [PAIR_TYPES.get(r[i] + r[j], 7 if r[i] == r[j] == "-" else 0) for r in full]
+            n = {k: kinds.count(k) for k in range(8)}
+            if not sum(n[k] for k in range(1, 7)):
+                assert ("x", i + 1, j + 1) not in got
+                continue
+            names = {v: k for k, v in PAIR_TYPES.items()}
+            apart = sum(n[k] * n[l] * sum(a != b for a, b in zip(names[k], names[l])) for k in range(1, 7) for l in range(k + 1, 7))
+            want = alignment.FORBIDDEN if 2 * n[0] + n[7] > len(rows) else int(100 * apart / len(rows) - 100 * (n[0] + n[7] * 0.25))
+            assert got["x", i + 1, j + 1] == want
+    assert got[None, 1, 6] == 0
+    alignment.HELD, held = 50, alignment.HELD
+    assert {(r["aln"], r["i"], r["j"]): r["score"] for r in alignment.covariance(df, (4, 8)).collect()} == got
+    alignment.HELD = held
+    counts = {(r["aln"], r["i"]): (r["A"], r["C"], r["G"], r["U"], r["gap"]) for r in alignment.column_counts(df).collect()}
+    assert counts["x", 2] == (0, 1, 3, 1, 1) and counts["y", 1] == (0, 0, 1, 0, 1)
