@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
-from ..operators import alignment, energy, folding, landscape, matching, structure, windowed
+from ..operators import alignment, consensus, dimers, energy, folding, landscape, matching, structure, windowed
 from ..operators import parameters as par
 from ..sources import records
 
@@ -521,6 +521,35 @@ def duplexes(spark, sf_dir):
     return landscape.duplexes(p.filter("after IS NOT NULL"), "seq", "after", "key").select(*_of_item(), "energy", "start", "end", "other_start", "other_end", "structure")
 
 
+def _item_pairs(spark, sf_dir):
+    """Pieces of every benchmark text with the piece after them."""
+    p = item_pieces(spark, sf_dir).withColumn("after", F.lead("seq").over(W.partitionBy("item_id").orderBy("piece")))
+    return p.filter("after IS NOT NULL")
+
+
+@query()
+def strand_dimers(spark, sf_dir):
+    """Structure and energies of each piece of every benchmark text as a strand that may join the piece after it."""
+    d = dimers.dimers(_item_pairs(spark, sf_dir), "seq", "after", "key")
+    return d.select(*_of_item(), "structure", "energy", *[F.round(c, 4).alias(c) for c in ("free_a", "free_b", "free_dimer", "free_all")], F.round("joined", 6).alias("joined"), F.size("pairs").alias("n_pairs"))
+
+
+@query()
+def strand_concentrations(spark, sf_dir):
+    """Parts of each piece of every benchmark text, and of the piece after it, that are alone and in dimers, of a micromole
+    a litre each."""
+    p = _item_pairs(spark, sf_dir).withColumns({"a0": F.lit(1e-6), "b0": F.lit(1e-6)})
+    c = dimers.dimer_concentrations(p, "seq", "after", "a0", "b0", "key")
+    return c.select(*_of_item(), *[F.round(F.col(x) * 1e6, 6).alias(x) for x in ("a", "b", "aa", "bb", "ab")])
+
+
+@query()
+def alignment_folds(spark, sf_dir):
+    """One structure of the pieces of every benchmark text as the rows of an alignment, with its conservation index."""
+    f = consensus.fold_alignments(item_pieces(spark, sf_dir), "item_id")
+    return f.select("item_id", "n_seq", "structure", *[F.round(c, 4).alias(c) for c in ("energy", "covariance", "free_energy", "mean_energy")], F.round("conservation", 6).alias("conservation"))
+
+
 @query()
 def string_distances(spark, sf_dir):
     """Distance of the bracket strings of the G-C and A-U brackets of each piece of every benchmark text."""
