@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
-from ..operators import alignment, consensus, dimers, energy, folding, landscape, matching, structure, windowed
+from ..operators import alignment, consensus, dimers, energy, folding, landscape, matching, paths, structure, windowed
 from ..operators import parameters as par
 from ..sources import records
 
@@ -550,6 +550,16 @@ def alignment_folds(spark, sf_dir):
     return f.select("item_id", "n_seq", "structure", *[F.round(c, 4).alias(c) for c in ("energy", "covariance", "free_energy", "mean_energy")], F.round("conservation", 6).alias("conservation"))
 
 
+@query()
+def refolding_paths(spark, sf_dir):
+    """Barrier between the best and a sampled structure of each piece of every benchmark text."""
+    p = item_pieces(spark, sf_dir)
+    drawn = folding.sampled_structures(p, 1, key="key").select(F.col("key").alias("k"), F.col("structure").alias("drawn"))
+    best = folding.fold(p, "key").select(F.col("key").alias("b"), "structure")
+    x = p.join(best, F.col("key") == F.col("b")).join(drawn, F.col("key") == F.col("k"))
+    return paths.refolding_paths(x, "structure", "drawn", 16, "key").select(*_of_item(), "barrier", "at", "n_steps")
+
+
 @query()
 def string_distances(spark, sf_dir):
     """Distance of the bracket strings of the G-C and A-U brackets of each piece of every benchmark text."""
