@@ -227,9 +227,9 @@ def profile_distances(df: DataFrame, one: str, other: str, key: str = "doc_id")
     return d.mapInPandas(run, f"key {dict(df.dtypes)[key]}, distance double").withColumnRenamed("key", key)
 
 
-def duplex(one: str, other: str) -> tuple[int, list[tuple[int, int]]] | None:
+def duplex(one: str, other: str, end: tuple[int, int] | None = None) -> tuple[int, list[tuple[int, int]]] | None:
     """Lowest energy of two strands that pair only with each other, and its pairs (position in one, position in the other)
-    from the start of ``one``; None where no pair can form."""
+    from the start of ``one``; of those whose last pair is ``end``, if given; None where no pair can form."""
     n1, n2 = len(one), len(other)
     x, y = (np.r_[5, par.CODE_OF[letters(s)], 5] for s in (one, other))
     kind = par.TYPE_OF[x[:, None], y[None, :]]
@@ -237,8 +237,8 @@ def duplex(one: str, other: str) -> tuple[int, list[tuple[int, int]]] | None:
     back = {}
     u = np.array([(p, q) for p in range(31) for q in range(31 - p)]).T
     best = (np.inf, None)
-    for i in range(1, n1 + 1):
-        for j in range(n2, 0, -1):
+    for i in range(1, (end[0] if end else n1) + 1):
+        for j in range(n2, (end[1] if end else 1) - 1, -1):
             t = kind[i, j]
             if t == 7:
                 continue
@@ -255,7 +255,7 @@ def duplex(one: str, other: str) -> tuple[int, list[tuple[int, int]]] | None:
                     low, before = e[at], (int(k[at]), int(m[at]))
             c[i, j], back[i, j] = low, before
             total = low + par.EXTERIOR_STEM[par.TURNED[t], y[j - 1], x[i + 1]]
-            if total < best[0]:
+            if (total < best[0]) if end is None else (i, j) == end:
                 best = (total, (i, j))
     if best[1] is None:
         return None

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fs
-from ..operators import alignment, consensus, dimers, energy, folding, landscape, matching, paths, structure, windowed
+from ..operators import alignment, consensus, dimers, energy, folding, interactions, landscape, matching, paths, structure, windowed
 from ..operators import parameters as par
 from ..sources import records
 
@@ -560,6 +560,14 @@ def refolding_paths(spark, sf_dir):
     return paths.refolding_paths(x, "structure", "drawn", 16, "key").select(*_of_item(), "barrier", "at", "n_steps")
 
 
+@query()
+def interaction_sites(spark, sf_dir):
+    """Where each piece of every benchmark text binds the whole text, with the energy that opens the place."""
+    x = item_pieces(spark, sf_dir).join(items(spark, sf_dir).select(F.coalesce("item_id", F.lit("")).alias("of"), F.col("seq").alias("whole")), F.col("item_id") == F.col("of"))
+    h = interactions.interactions(x, "seq", "whole", -1000, key="key")
+    return h.select(*_of_item(), "energy", F.round("opening", 4).alias("opening"), F.round("total", 4).alias("total"), "start", "end", "target_start", "target_end", "structure")
+
+
 @query()
 def string_distances(spark, sf_dir):
     """Distance of the bracket strings of the G-C and A-U brackets of each piece of every benchmark text."""
