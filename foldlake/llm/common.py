@@ -86,6 +86,12 @@ def discard(*tables: DataFrame) -> None:
             files.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what nothing refers to any more: Spark then removes the shuffle files of finished jobs,
+    which it would else keep until the driver happens to need memory."""
+    spark._jvm.System.gc()
+
+
 BROADCAST_BYTES = 64 << 20
 
 

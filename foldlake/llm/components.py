@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame):
@@ -16,7 +16,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node reachable, for every node that has an edge to another.
 
     Each round joins edges with one minimum per node, so a hub costs one partial aggregate and a join that adaptive
-    execution may split; the number of rounds grows with the logarithm of the largest component.
+    execution may split; the number of rounds grows with the logarithm of the largest component. The table of a round goes
+    when that of the next is written. Null nodes have no edges; repeated edges count once; an empty table gives no rows.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
@@ -28,8 +29,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, large["a"] == low["u"]).select("b", "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = materialize(small.filter("a <> b").distinct(), "edges")
+        old, e = e, materialize(small.filter("a <> b").distinct(), "edges")
         after = _state(e)
+        discard(old)
         if after == before:
             break
         before = after

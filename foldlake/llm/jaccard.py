@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, small, table
+from .common import discard, materialize, release, small, table
 from .components import components
 
 HOT_COPIES = 64
@@ -393,14 +393,17 @@ def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; sketches that differ in too many bits go first."""
+    """The pairs (a, b) whose whole sets are similar enough, written; sketches that differ in too many bits go first."""
     apart = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = _both(pairs, sets, "sketch").filter(apart <= _difference(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
     near = materialize(near, "near")
     ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near_ids")
     sets = sets.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
     both = F.size(F.array_intersect("x_a", "x_b"))
-    return _both(near, sets, "s").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
+    linked = materialize(_both(near, sets, "s").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct(), "links")
+    discard(near, ids)
+    release(sets.sparkSession)
+    return linked
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -455,6 +458,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     met = d.mapInArrow(_posts(n, num, den, crowd), MET).repartition("key").sortWithinPartitions("key")
     met = met.mapInArrow(_met(crowd), "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c"))
     met = materialize(met, "met")
+    release(docs.sparkSession)
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), "c"))).drop("col")
     copies = met.filter(F.col("kind") == COPY).select("a", "b")
     pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
@@ -463,20 +467,25 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(tried), F.col("doc_id") == F.col("id"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n), "doc_id long, sketch array<long>, s array<long>"), "sets").withColumn("n", F.size("s"))
     if many.isEmpty():
-        return sizes, materialize(_verified(pairs, sets, num, den), "links").unionByName(copies)
+        linked = _verified(pairs, sets, num, den)
+        discard(sets, tried)
+        return sizes, linked.unionByName(copies)
     crowded = sets.join(small(many), F.col("doc_id") == F.col("id"), "left_semi")
     prefix = materialize(_prefixes(crowded, num, den), "prefixes")
     centre = prefix.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("m"), F.max("df").alias("most"))
     centre = centre.select(F.col("token").alias("t2"), F.col("m.i").alias("i2"), F.col("m.doc_id").alias("d2"), F.col("m.n").alias("n2"), _salts(F.col("most")).alias("s2"))
     star = prefix.withColumn("salt", _salt()).join(centre, (F.col("token") == F.col("t2")) & (F.col("salt") == F.col("s2"))).filter((F.col("doc_id") != F.col("d2")) & _fits(num, den))
     star = star.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
-    first = materialize(_verified(pairs.unionByName(star).distinct(), sets, num, den), "links")
+    first = _verified(pairs.unionByName(star).distinct(), sets, num, den)
     group = components(first)
     p = prefix.join(group, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "i", "df", F.coalesce("component", "doc_id").alias("g"))
-    p = materialize(p, "grouped")
+    p = grouped = materialize(p, "grouped")
     split = p.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.max("df").alias("most")).filter("g1 <> g2").select(F.col("token").alias("t3"), _salts(F.col("most")).alias("s3"))
     p = p.withColumn("salt", _salt()).join(split, (F.col("token") == F.col("t3")) & (F.col("salt") == F.col("s3")), "left_semi").drop("salt")
-    second = materialize(_verified(_across(p, num, den), sets, num, den), "links")
+    discard(prefix)
+    second = _verified(_across(p, num, den), sets, num, den)
+    discard(sets, grouped, tried, many, group)
+    release(docs.sparkSession)
     return sizes, first.unionByName(second).unionByName(copies)
 
 
