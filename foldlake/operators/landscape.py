@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import bands, folding
 from . import energy as en
 from . import parameters as par
 from .folding import Minimum, Sum, Tables, _groups
@@ -69,6 +70,61 @@ def suboptimals(df: DataFrame, delta: int, key: str = "doc_id", seq: str = "seq"
     return spread(df, key, seq).mapInPandas(run, f"key {dict(df.dtypes)[key]}, structure string, energy long").withColumnRenamed("key", key)
 
 
+def best_through_pairs(low: bands.Bands, k: int) -> dict[tuple[int, int], int]:
+    """The least energy of the structures with a pair (from 1), for every pair of sequence k; low has its derivatives."""
+    a, n, out = int(low.starts[k]), len(low.seqs[k]), {}
+    for d in range(bands.LEAST, min(low.span, n - 1) + 1):
+        e = low.c[d, a : a + n - d].astype(np.int64) + low.dc[d, a : a + n - d]
+        out.update({(int(x) + 1, int(x) + d + 1): int(e[x]) for x in np.flatnonzero(e < bands.Minimum.zero // 2)})
+    return out
+
+
+def _through(seq: str, pairs: list[tuple[int, int]]) -> list[str]:
+    """The best structure with each pair, all of them folded together."""
+    forced: dict[int, list[int]] = {}
+    starts = bands.strip([seq] * len(pairs))[1]
+    for a, (i, j) in zip(starts.tolist(), pairs):
+        forced.setdefault(j - i, []).append(a + i - 1)
+    b = bands.Bands([seq] * len(pairs), len(seq), bands.Minimum, forced=forced)
+    return [folding._best(b, k)[1] for k in range(len(pairs))]
+
+
+def covering(seq: str, delta: int, together: int = 16) -> list[tuple[str, int]]:
+    """The best structure and its energy, and so on for the pair that no structure before has and that is in the best
+    structure, as long as that is within delta of the best."""
+    low = bands.Bands([seq], len(seq), bands.Minimum)
+    q = low.segments(len(seq))
+    seeds = np.full_like(q, bands.Minimum.zero)
+    seeds[len(seq), low.starts[0]] = 0
+    low.derivatives(q, seeds)
+    best = int(q[len(seq), low.starts[0]])
+    todo = sorted((e, p) for p, e in best_through_pairs(low, 0).items() if e <= best + delta)
+    out, covered = [], set()
+    if best == 0:
+        out.append(("." * len(seq), 0))
+    while todo:
+        todo = [x for x in todo if x[1] not in covered]
+        for (e, p), text in zip(todo[:together], _through(seq, [p for _, p in todo[:together]]) if todo else ()):
+            if p not in covered:
+                out.append((text, e))
+                covered.update(zip(*(v.tolist() for v in Structure(text).pairs())))
+    return out
+
+
+def covering_structures(df: DataFrame, delta: int, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """key, rank (from 1), structure, energy (0.01 kcal/mol): structures within ``delta`` of the best, each the best one with
+    a pair that none before it has. A null or empty sequence has the empty structure."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, r + 1, *x) for k, s in zip(b["key"], b["seq"].fillna("")) for r, x in enumerate(covering(s, delta) if s else [("", 0)])]
+            x = pd.DataFrame(rows, columns=["key", "rank", "structure", "energy"])
+            x["key"] = x["key"].astype(b["key"].dtype)
+            yield x
+
+    return spread(df, key, seq).mapInPandas(run, f"key {dict(df.dtypes)[key]}, rank int, structure string, energy long").withColumnRenamed("key", key)
+
+
 def density_of_states(structures: DataFrame, width: int = 10, key: str = "doc_id") -> DataFrame:
     """key, bin (energies from bin * width above the best), n_structures out of rows of ``suboptimals``."""
     s = structures.groupBy(key, "energy").agg(F.count(F.lit(1)).alias("n"))

@@ -568,6 +568,12 @@ def interaction_sites(spark, sf_dir):
     return h.select(*_of_item(), "energy", F.round("opening", 4).alias("opening"), F.round("total", 4).alias("total"), "start", "end", "target_start", "target_end", "structure")
 
 
+@query()
+def covering_structures(spark, sf_dir):
+    """Structures of each piece of every benchmark text within 2 kcal/mol of the best, each the best with a new pair."""
+    return landscape.covering_structures(item_pieces(spark, sf_dir), 200, "key").select(*_of_item(), "rank", "structure", "energy")
+
+
 @query()
 def string_distances(spark, sf_dir):
     """Distance of the bracket strings of the G-C and A-U brackets of each piece of every benchmark text."""
