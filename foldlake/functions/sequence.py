@@ -44,6 +44,12 @@ def cut_point(seq: Column) -> Column:
     return F.when((at == 0) | (at == F.length(seq)), F.lit(-1)).otherwise(at)
 
 
+def with_cut(seq: Column, cut: Column) -> Column:
+    """seq with '&' before position cut (from 1); as it is where cut is null, below 1 or beyond the end."""
+    fits = (cut >= 1) & (cut <= F.length(seq))
+    return F.when(fits, F.concat(F.left(seq, cut - 1), F.lit("&"), F.substr(seq, cut))).otherwise(seq)
+
+
 def count_of(seq: Column, base: str) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit(base), F.lit("")))
 
@@ -54,6 +60,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(unequal, lambda u: u))
 
 
+def hamming_within(a: Column, b: Column, most: Column) -> Column:
+    """Unequal positions among the first ``most`` of the common prefix length."""
+    return hamming(F.left(a, most), F.left(b, most))
+
+
 def iupac_regex(motif: str) -> str:
     return "".join(f"[{IUPAC[c]}]" for c in motif.upper())
 

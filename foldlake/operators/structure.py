@@ -219,6 +219,16 @@ def element_text(text: str | None) -> str:
     return np.where(s.partner > 0, kind - 32, kind).astype(np.uint8).tobytes().decode()
 
 
+def letter_text(text: str | None) -> str:
+    """A letter for the pairs of each stack, in the order of their starts (A to Z, a to z, then again), '.' for others."""
+    s = Structure(text)
+    out = np.full(s.n, ord("."), np.uint8)
+    names = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)
+    for k, (i, j, n) in enumerate(zip(*s.helices())):
+        out[i - 1 : i - 1 + n] = out[j - n : j] = names[k % len(names)]
+    return out.tobytes().decode()
+
+
 def tree_text(text: str | None) -> str:
     """Full tree in brackets: U for an unpaired position, P for a pair, R for the root around all."""
     s = Structure(text)
@@ -320,3 +330,13 @@ def ensemble(p: DataFrame, key: str = "id") -> DataFrame:
         F.sum(in_it.cast("int")).alias("centroid_pairs"),
         F.sum(F.when(in_it, 1 - F.col("p")).otherwise(F.col("p"))).alias("centroid_distance"),
     )
+
+
+def pair_list(df: DataFrame, p: float = 1.0, key: str = "doc_id", structure: str = "structure") -> DataFrame:
+    """key, i, j, p of every pair, all with the probability p: the list that pair probabilities come in."""
+    return pairs(df, key, structure).withColumn("p", F.lit(float(p)))
+
+
+def joined_lists(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of both pair lists; a list may have further columns, which are null for the other's rows."""
+    return one.unionByName(other, allowMissingColumns=True)

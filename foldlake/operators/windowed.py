@@ -149,12 +149,13 @@ def _windows(batches, window: int, span: int, rows_of):
                 yield pd.Series([batch["key"].iloc[k]] * got.shape[1], dtype=batch["key"].dtype), got, first
 
 
-def window_pairs(df: DataFrame, window: int = 70, span: int = 70, cutoff: float = 0.01, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+def window_pairs(df: DataFrame, window: int = 70, span: int = 70, cutoff: float = 0.01, key: str = "doc_id", seq: str = "seq", stacked: bool = False) -> DataFrame:
     """key, i, j, p: mean probability of the pair over all windows of the sequence that hold it (of at least cutoff); a
-    window is folded alone, but its stems see the bases beside it. A sequence shorter than the window is one window."""
+    window is folded alone, but its stems see the bases beside it. A sequence shorter than the window is one window.
+    ``stacked``: of the pair and the next one inside it, (i + 1, j - 1), together."""
 
     def run(batches):
-        for keys, got, first in _windows(batches, window, span, lambda w: lambda x: w.pairs(x, cutoff)):
+        for keys, got, first in _windows(batches, window, span, lambda w: lambda x: (w.stacks if stacked else w.pairs)(x, cutoff)):
             yield pd.DataFrame({"key": keys, "i": got[0].astype(np.int32), "j": (got[1] + first).astype(np.int32), "p": got[2]})
 
     return spread(df, key, seq).mapInPandas(run, f"key {dict(df.dtypes)[key]}, i int, j int, p double").withColumnRenamed("key", key)

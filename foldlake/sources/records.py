@@ -6,7 +6,7 @@ appearance in ``row``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,55 @@ def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
     return _rows(r, F.col("line").rlike(r"^\s*[^#\s/]\S*\s+\S+\s*$"), _field(1), _field(2))
 
 
+def read_stockholm_structures(spark: SparkSession, path: str) -> DataFrame:
+    """aln and structure: the '#=GC SS_cons' lines of every alignment that has some, joined; '<' and '>' read as brackets."""
+    r = spark.read.option("lineSep", "\n//").text(path).select("value", F.monotonically_increasing_id().alias("rec"))
+    own = F.regexp_extract("value", r"#=GF\s+ID\s+(\S+)", 1)
+    parts = F.regexp_extract_all("value", F.lit(r"(?m)^#=GC\s+SS_cons\s+(\S+)"), F.lit(1))
+    r = r.select(F.when(own != "", own).otherwise(F.col("rec").cast("string")).alias("aln"), F.translate(F.array_join(parts, ""), "<>", "()").alias("structure"))
+    return r.filter("structure <> ''")
+
+
+#: How a file begins, in the order in which formats are tried.
+FORMATS = {"stockholm": r"^\s*# STOCKHOLM", "clustal": r"^\s*CLUSTAL", "fasta": r"^\s*>", "maf": r"^\s*##maf"}
+
+
+def _formatted(spark: SparkSession, path: str) -> DataFrame:
+    kind = F.coalesce(*[F.when(F.col("value").rlike(v), k) for k, v in FORMATS.items()])
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), kind.alias("format"), "value")
+
+
+def alignment_formats(spark: SparkSession, path: str) -> DataFrame:
+    """file, format (stockholm, clustal, fasta, maf; null for others) of every file."""
+    return _formatted(spark, path).select("file", "format")
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """file, format, record (its number in the file), row (of appearance in the record), name, seq of the alignments of all
+    files, whatever their formats; files of none have no rows."""
+    f = _formatted(spark, path).filter("format IS NOT NULL")
+    cut = F.when(F.col("format") == "stockholm", F.split("value", r"\n//")).when(F.col("format") == "maf", F.split("value", r"\r?\n[ \t]*\r?\n")).otherwise(F.array("value"))
+    records = f.select("file", "format", F.explode(F.transform(cut, lambda x, k: F.struct(k.alias("record"), x.alias("text")))).alias("x")).select("file", "format", "x.*")
+    lines = F.transform(F.split("text", r"\r?\n"), lambda x, k: F.struct(k.alias("k"), x.alias("line")))
+    r = records.select("file", "format", "record", F.explode(lines).alias("x")).select("file", "format", "record", "x.*")
+    words = F.split(F.trim("line"), r"\s+")
+    plain = r.filter(
+        (F.col("format") == "stockholm") & F.col("line").rlike(r"^\s*[^#\s/]\S*\s+\S+\s*$")
+        | (F.col("format") == "clustal") & F.col("line").rlike(r"^[^#\s]\S*\s+[A-Za-z.~_-]+(\s+\d+)?\s*$") & ~F.col("line").startswith("CLUSTAL")
+    ).select("file", "format", "record", "k", words[0].alias("name"), words[1].alias("part"))
+    maf = r.filter((F.col("format") == "maf") & F.col("line").rlike(r"^s\s") & (F.size(words) == 7)).select("file", "format", "record", "k", words[1].alias("name"), words[6].alias("part"))
+    blocks = F.filter(F.split("text", r"(?:^|\n)\s*>"), lambda x: x != "")
+    fasta = records.filter(F.col("format") == "fasta").select("file", "format", "record", F.explode(F.transform(blocks, lambda x, k: F.struct(k.alias("k"), x.alias("line")))).alias("x"))
+    body = F.regexp_replace(F.regexp_replace("x.line", r"^[^\n]*", ""), r"\s+", "")
+    fasta = fasta.select("file", "format", "record", "x.k", F.regexp_extract("x.line", r"^\s*(\S+)", 1).alias("name"), body.alias("part")).filter("part <> ''")
+    # Pieces of one name are one row, but for formats whose names may repeat.
+    piece = F.when(F.col("format").isin("maf", "fasta"), F.col("k")).otherwise(-1)
+    g = plain.unionByName(maf).unionByName(fasta).groupBy("file", "format", "record", "name", piece.alias("piece"))
+    g = g.agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("p"))
+    row = F.row_number().over(Window.partitionBy("file", "record").orderBy("k")) - 1
+    return g.select("file", "format", "record", row.alias("row"), "name", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
+
+
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     """aln (the file), row, name, seq of one alignment a file; conservation lines and counts are left out."""
     r = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("aln"), F.lit(0).cast("long").alias("rec"), "value")

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldlake.functions import sequence as fs
 from foldlake.operators import matching, structure
@@ -178,3 +179,40 @@ def test_alignment_scores(spark):
     alignment.HELD = held
     counts = {(r["aln"], r["i"]): (r["A"], r["C"], r["G"], r["U"], r["gap"]) for r in alignment.column_counts(df).collect()}
     assert counts["x", 2] == (0, 1, 3, 1, 1) and counts["y", 1] == (0, 0, 1, 0, 1)
+
+
+def test_alignments_of_any_format(spark, tmp_path):
+    from foldlake.sources import records
+
+    files = {
+        "a.sto": "# STOCKHOLM 1.0\n#=GF ID one\nz AC\na GG\n#=GC SS_cons <.\n\nz UU\na CC\n#=GC SS_cons .>\n//\n# STOCKHOLM 1.0\nx AAA\n//\n",
+        "b.aln": "CLUSTAL W\n\nz UUU\na GGG\n\nz AAA 6\na CCC 6\n",
+        "c.fa": ">z first\nAC-\nGU\n>a\nACCGU\n>a\nAC--U\n",
+        "d.maf": "##maf version=1\na score=1\ns z 0 3 + 9 ACG\ns a 0 2 - 9 A-G\n\na score=2\ns z 3 1 + 9 U\n",
+        "e.txt": "nothing of the kind\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    kinds = {r["file"][-5:].strip("/"): r["format"] for r in records.alignment_formats(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.sto": "stockholm", "b.aln": "clustal", "c.fa": "fasta", "d.maf": "maf", "e.txt": None}
+    got = sorted((r["format"], r["record"], r["row"], r["name"], r["seq"]) for r in records.read_alignments(spark, str(tmp_path)).collect())
+    assert got == [
+        ("clustal", 0, 0, "z", "UUUAAA"), ("clustal", 0, 1, "a", "GGGCCC"),
+        ("fasta", 0, 0, "z", "AC-GU"), ("fasta", 0, 1, "a", "ACCGU"), ("fasta", 0, 2, "a", "AC--U"),
+        ("maf", 0, 0, "z", "ACG"), ("maf", 0, 1, "a", "A-G"), ("maf", 1, 0, "z", "U"),
+        ("stockholm", 0, 0, "z", "ACUU"), ("stockholm", 0, 1, "a", "GGCC"), ("stockholm", 1, 0, "x", "AAA"),
+    ]
+    assert [tuple(r) for r in records.read_stockholm_structures(spark, str(tmp_path / "a.sto")).collect()] == [("one", "(..)")]
+
+
+def test_small_functions(spark):
+    from foldlake.functions import sequence as fs
+
+    assert structure.letter_text("((..((...)).(((...)))..)).((.(....)))") == "AA..BB...BB.CCC...CCC..AA.DD.E....EDD" and structure.letter_text(None) == ""
+    d = spark.createDataFrame([(1, "ACGU", 3, "AGGA"), (2, "ACGU", 1, "A"), (3, "ACGU", 5, ""), (4, "ACGU", 0, "CCGA"), (5, None, None, None)], "id long, a string, n int, b string")
+    got = {r["id"]: (r["x"], r["y"]) for r in d.select("id", fs.with_cut(F.col("a"), F.col("n")).alias("x"), fs.hamming_within(F.col("a"), F.col("b"), F.col("n")).alias("y")).collect()}
+    assert got[1] == ("AC&GU", 1) and got[2] == ("&ACGU", 0) and got[3] == ("ACGU", 0) and got[4] == ("ACGU", 0) and got[5][0] is None
+    s = spark.createDataFrame([(1, "(...)", 0), (None, "((...))", 0), (2, None, 0)], "doc_id long, structure string, p int")
+    one = structure.pair_list(s, 0.9)
+    assert sorted(map(tuple, one.collect()), key=str) == [(1, 1, 5, 0.9), (None, 1, 7, 0.9), (None, 2, 6, 0.9)]
+    assert structure.joined_lists(one, structure.pair_list(s.filter("doc_id = 1")).withColumn("kind", F.lit("x"))).count() == 4

@@ -53,13 +53,15 @@ def test_windows_against_enumeration(window, span):
     w = bands.Windows(SEQS, window, span)
     sums = w.unpaired(lengths)
     for k, s in enumerate(SEQS):
-        size, p, held, free = min(window, len(s)), {}, {}, {}
+        size, p, held, free, two = min(window, len(s)), {}, {}, {}, {}
         for a in range(len(s) - size + 1):
             all_of = [(math.exp(-energy(s, x) / bands.KT), x) for x in structures(s, a, a + size - 1, span)]
             z = sum(x for x, _ in all_of)
             for x, pairs in all_of:
                 for ij in pairs:
                     p[ij] = p.get(ij, 0) + x / z
+                    if (ij[0] + 1, ij[1] - 1) in pairs:
+                        two[ij] = two.get(ij, 0) + x / z
                 t = brackets(len(s), pairs)
                 for u in lengths:
                     for i in range(a, a + size - u + 1):
@@ -70,6 +72,8 @@ def test_windows_against_enumeration(window, span):
         got = {(int(i) - 1, int(j) - 1): x for i, j, x in w.pairs(k, 1e-12).T}
         for ij in set(p) | set(got):
             assert got.get(ij, 0) == pytest.approx(p.get(ij, 0) / held[ij], abs=1e-9)
+        got = {(int(i) - 1, int(j) - 1): x for i, j, x in w.stacks(k, 1e-12).T}
+        assert got == pytest.approx({ij: x / held[ij] for ij, x in two.items()}, abs=1e-9)
         got = {(int(i) - 1, int(u)): x for i, u, x in w.stretches(k, lengths, sums).T}
         assert set(got) == set(free)
         for (i, u), x in free.items():
