@@ -113,19 +113,19 @@ def sequence_strands(spark, sf_dir):
     return x.select("doc_id", fs.to_rna(F.col("s")).alias("rna"), fs.cut_point(F.col("s")).alias("cut"), fs.ungapped(F.replace("s", F.lit("A"), F.lit("-"))).alias("ungapped"))
 
 
-@query(f"""WITH {SEQ}, x AS (SELECT doc_id, seq, lag(seq) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM seqs)
+@query(f"""WITH {SEQ}, x AS (SELECT doc_id, seq, lag(seq) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, seq) AS before FROM seqs)
 SELECT doc_id, CAST(coalesce(len(list_filter(list_zip(string_split(seq, ''), string_split(before, ''), true), lambda p: p[1] <> p[2] AND p[1] <> '' AND p[2] <> '')), 0) AS INT) AS distance FROM x WHERE before IS NOT NULL""")
 def hamming_consecutive(spark, sf_dir):
-    """Distance to the document before within the source. Documents are taken STEP ids at a time; the first of each such
-    run looks for the last of the run before it, so no source is sorted in one task."""
+    """Distance to the document before within the source (null ids and sources first; equal ids by sequence). Documents are
+    taken STEP ids at a time; the first of each such run takes the last of the run before it, so no source is sorted in one
+    task."""
     s = sequences(spark, sf_dir).select("doc_id", "source", "seq", F.floor(F.col("doc_id") / STEP).alias("run"))
-    near = s.withColumn("before_id", F.lag("doc_id").over(W.partitionBy("source", "run").orderBy("doc_id")))
-    runs = s.groupBy("source", "run").agg(F.max("doc_id").alias("last"))
-    runs = runs.select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), F.lag("last").over(W.partitionBy("source").orderBy("run")).alias("last"))
-    near = near.join(runs, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
-    near = near.select("doc_id", "seq", F.coalesce("before_id", "last").alias("b")).filter("b IS NOT NULL")
-    j = near.join(s.select(F.col("doc_id").alias("b_id"), F.col("seq").alias("before")), F.col("b") == F.col("b_id"))
-    return j.select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
+    near = s.withColumn("before", F.lag("seq").over(W.partitionBy("source", "run").orderBy("doc_id", "seq")))
+    runs = s.groupBy(F.col("source").alias("r_source"), F.col("run").alias("r_run")).agg(F.max_by("seq", F.struct("doc_id", "seq")).alias("last"))
+    runs = runs.select("r_source", "r_run", F.lag("last").over(W.partitionBy("r_source").orderBy("r_run")).alias("last"))
+    first = near.filter("before IS NULL").join(runs, F.col("source").eqNullSafe(F.col("r_source")) & F.col("run").eqNullSafe(F.col("r_run")))  # a row a run
+    both = near.filter("before IS NOT NULL").select("doc_id", "seq", "before").unionByName(first.select("doc_id", "seq", F.col("last").alias("before")))
+    return both.filter("before IS NOT NULL").select("doc_id", fs.hamming(F.col("seq"), F.col("before")).alias("distance"))
 
 
 @query(f"""WITH {SEQ}, cells AS (SELECT doc_id, c, CAST(i AS INT) AS i FROM (SELECT doc_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM seqs) WHERE i IS NOT NULL),
