@@ -21,7 +21,7 @@ KINDS = ["exterior", "hairpin", "interior", "multi"]
 class Loops:
     """Arrays over the loops of one structure: the exterior one first, then one per pair."""
 
-    def __init__(self, text: str | None, bases: str | None):
+    def __init__(self, text: str | None, bases: str | None, dangles: int = 2):
         s = Structure(text)
         i, j = s.pairs()
         around = s.around()
@@ -41,7 +41,8 @@ class Loops:
         f = first[at] - 1
         pick = lambda x: np.where(f >= 0, x[np.maximum(f, 0)] if len(x) else 0, 0)
         self.p, self.q, self.inner = pick(i), pick(j), pick(par.TURNED[kind])
-        self.outside = [np.bincount(around, weights=t[kind, code[i - 1], code[j + 1]], minlength=s.n + 1).astype(np.int64)[at] for t in (par.EXTERIOR_STEM, par.MULTI_STEMS)]
+        self.outside = [np.bincount(around, weights=t[kind, code[i - 1], code[j + 1]], minlength=s.n + 1).astype(np.int64)[at] for t in par.stems(dangles)]
+        self.multi = par.stems(dangles)[1]
 
     def energies(self) -> tuple[np.ndarray, np.ndarray]:
         """Kinds and energies of the loops."""
@@ -57,7 +58,7 @@ class Loops:
         if len(k):
             out[k] = interior(p[k] - i[k] - 1, j[k] - q[k] - 1, t[k], s[k], *(code[x] for x in (i[k] + 1, j[k] - 1, p[k] - 1, q[k] + 1)))
         k = np.flatnonzero(kind == 3)
-        out[k] = par.MULTI_CLOSING + par.MULTI_STEMS[par.TURNED[t[k]], code[j[k] - 1], code[i[k] + 1]] + self.outside[1][k]
+        out[k] = par.MULTI_CLOSING + self.multi[par.TURNED[t[k]], code[j[k] - 1], code[i[k] + 1]] + self.outside[1][k]
         return kind, out
 
 
@@ -102,11 +103,12 @@ def loops(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str =
     return by_row(df, key, [structure, seq], "i int, j int, n_stems int, p int, q int, type int, inner int, n_au int", run)
 
 
-def loop_energies(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
-    """key, i, j, kind (exterior, hairpin, interior, multi), energy of every loop. Structures without pairs have no rows."""
+def loop_energies(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure", dangles: int = 2) -> DataFrame:
+    """key, i, j, kind (exterior, hairpin, interior, multi), energy of every loop, with dangling ends on both sides of stems
+    (2) or none (0). Structures without pairs have no rows."""
 
     def run(text, bases):
-        x = Loops(text, bases)
+        x = Loops(text, bases, dangles)
         kind, energy = x.energies()
         return x.at.astype(np.int32), x.j.astype(np.int32), kind.astype(np.int32), energy.astype(np.int64)
 
@@ -114,11 +116,12 @@ def loop_energies(df: DataFrame, key: str = "doc_id", seq: str = "seq", structur
     return e.withColumn("kind", F.get(F.array(*[F.lit(k) for k in KINDS]), "kind"))
 
 
-def structure_energy(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure") -> DataFrame:
-    """key, energy of every row's structure; 0 without pairs. Null and repeated keys are rows like others."""
+def structure_energy(df: DataFrame, key: str = "doc_id", seq: str = "seq", structure: str = "structure", dangles: int = 2) -> DataFrame:
+    """key, energy of every row's structure, dangles as in ``loop_energies``; 0 without pairs. Null and repeated keys are rows
+    like others."""
 
     def run(text, bases):
-        return (np.array([Loops(text, bases).energies()[1].sum()], np.int64),)
+        return (np.array([Loops(text, bases, dangles).energies()[1].sum()], np.int64),)
 
     return by_row(df, key, [structure, seq], "energy long", run)
 

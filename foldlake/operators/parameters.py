@@ -175,6 +175,16 @@ ONE_TWO = _one_by_two()
 #: Stems of the exterior loop and of multiloops (closing pairs turned), with terminal AU and dangling ends on both sides.
 EXTERIOR_STEM = NO_AU[:, None, None] + _stems()
 MULTI_STEMS = EXTERIOR_STEM + MULTI_STEM
+
+
+def stems(dangles: int) -> tuple[np.ndarray, np.ndarray]:
+    """EXTERIOR_STEM and MULTI_STEMS with dangling ends on both sides (2) or without any (0)."""
+    if dangles not in (0, 2):
+        raise ValueError("dangles is 0 or 2")
+    bare = np.broadcast_to(NO_AU[:, None, None], EXTERIOR_STEM.shape)
+    return (EXTERIOR_STEM, MULTI_STEMS) if dangles else (bare, bare + MULTI_STEM)
+
+
 CODE_OF = np.zeros(256, np.int64)
 for _k, _b in enumerate(BASES, 1):
     CODE_OF[ord(_b)] = _k

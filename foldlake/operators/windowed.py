@@ -46,12 +46,12 @@ class Tile:
         return ends[:, self.a + self.shift : self.b + self.shift].T
 
 
-def _tiles(seq: str, span: int):
+def _tiles(seq: str, span: int, dangles: int = 2):
     """Tiles from the last to the first; each holds a letter before and those that pairs and their neighbours reach."""
     cuts = list(range(0, len(seq), TILE)) + [len(seq)]
     for a, b in reversed(list(zip(cuts, cuts[1:]))):
         first = max(a - 1, 0)
-        yield Tile(Bands([seq[first : b + span + 2]], span, Minimum), 1, first, a, b)
+        yield Tile(Bands([seq[first : b + span + 2]], span, Minimum, dangles=dangles), 1, first, a, b)
 
 
 def _hit(tile: Tile, ext: np.ndarray, f: np.ndarray, x: int, n: int):
@@ -63,7 +63,7 @@ def _hit(tile: Tile, ext: np.ndarray, f: np.ndarray, x: int, n: int):
     return x + 1, x + d + 1, int(f[x] - f[x + d + 1]), "".join(out)
 
 
-def local_hits(seq: str, span: int, tiles=None) -> tuple[int, list[tuple[int, int, int, str]]]:
+def local_hits(seq: str, span: int, tiles=None, dangles: int = 2) -> tuple[int, list[tuple[int, int, int, str]]]:
     """(least energy with pairs up to span, hits from right to left): a hit is the first stem of a suffix that no further
     letter betters at once. One that lies in the next hit with the same pairs is left out."""
     n, hits, last = len(seq), [], None
@@ -75,7 +75,7 @@ def local_hits(seq: str, span: int, tiles=None) -> tuple[int, list[tuple[int, in
             hits.append(last)
         last = hit
 
-    for tile in tiles or _tiles(seq, span):
+    for tile in tiles or _tiles(seq, span, dangles):
         ends = tile.bands.ends(tile.bands.span)
         ext = tile.pairs(ends)
         part = tile.bands.suffixes(ext, np.r_[f[tile.a : tile.b], f[tile.b :]])
@@ -89,36 +89,36 @@ def local_hits(seq: str, span: int, tiles=None) -> tuple[int, list[tuple[int, in
     return int(f[0]) if n else 0, hits
 
 
-def _local(batches, span, rows_of):
+def _local(batches, span, rows_of, dangles):
     for batch in batches:
         seqs, out = batch["seq"].fillna("").tolist(), []
         for rows in _together(seqs):
             group = [seqs[r] for r in rows]
             if len(group) == 1:
-                found = [local_hits(group[0], span)]
+                found = [local_hits(group[0], span, None, dangles)]
             else:
-                b = Bands(group, span, Minimum)
+                b = Bands(group, span, Minimum, dangles=dangles)
                 found = [local_hits(s, span, [Tile(b, int(b.starts[k]), 0, 0, len(s))] if s else []) if s else (0, []) for k, s in enumerate(group)]
             for r, x in zip(rows, found):
                 out.extend((batch["key"].iloc[r], *y) for y in rows_of(x))
         yield out
 
 
-def local_folds(df: DataFrame, span: int = 70, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+def local_folds(df: DataFrame, span: int = 70, key: str = "doc_id", seq: str = "seq", dangles: int = 2) -> DataFrame:
     """key, i, j, energy (0.01 kcal/mol), structure of the locally best structures of every row, in dot-bracket from i to j."""
 
     def run(batches):
-        for out in _local(batches, span, lambda x: x[1]):
+        for out in _local(batches, span, lambda x: x[1], dangles):
             yield pd.DataFrame(out, columns=["key", "i", "j", "energy", "structure"])
 
     return spread(df, key, seq).mapInPandas(run, f"key {dict(df.dtypes)[key]}, i int, j int, energy long, structure string").withColumnRenamed("key", key)
 
 
-def local_energy(df: DataFrame, span: int = 70, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+def local_energy(df: DataFrame, span: int = 70, key: str = "doc_id", seq: str = "seq", dangles: int = 2) -> DataFrame:
     """key, energy, n_hits, n_paired (bases in pairs of hits): least energy of the whole row with pairs up to the span."""
 
     def run(batches):
-        for out in _local(batches, span, lambda x: [(x[0], len(x[1]), sum(h[3].count("(") * 2 for h in x[1]))]):
+        for out in _local(batches, span, lambda x: [(x[0], len(x[1]), sum(h[3].count("(") * 2 for h in x[1]))], dangles):
             yield pd.DataFrame(out, columns=["key", "energy", "n_hits", "n_paired"])
 
     return spread(df, key, seq).mapInPandas(run, f"key {dict(df.dtypes)[key]}, energy long, n_hits long, n_paired long").withColumnRenamed("key", key)

@@ -150,3 +150,19 @@ def test_rows_of_windows(spark, monkeypatch):
     got = [(int(y[0, x]), int(y[1, x] + f), round(float(y[2, x]), 9)) for _, y, f in windowed._windows([df.filter("doc_id = 4").limit(1).select(df.doc_id.alias("key"), "seq").toPandas()], 25, 20, lambda v: lambda x: v.pairs(x, 0.01)) for x in range(y.shape[1])]
     assert sorted(got) == sorted(w)
     assert folds
+
+
+def test_without_dangling_ends(spark):
+    rows = [(k, s) for k, s in enumerate(SEQS)]
+    df = spark.createDataFrame(rows, "doc_id long, seq string")
+    got = {r["doc_id"]: r for r in folding.fold(df, dangles=0).collect()}
+    local = {r["doc_id"]: r["energy"] for r in windowed.local_energy(df, 30, dangles=0).collect()}
+    for k, s in rows:
+        all_of = [int(Loops(brackets(len(s), x), s, 0).energies()[1].sum()) if x else 0 for x in structures(s, 0, len(s) - 1, len(s))]
+        assert got[k]["mfe"] == local[k] == min(all_of)
+        assert got[k]["free_energy"] == pytest.approx(-bands.KT * math.log(sum(math.exp(-e / bands.KT) for e in all_of)))
+    # By hand: a multiloop of three stems without and with the ends of its stems.
+    assert Loops(".(((....))((....))).", "ACCCAAAAGGCCAAAAGGGC", 2).energies()[1].sum() == 400
+    bare = 930 - 3 * 90
+    loops = dict(zip(*(x.tolist() for x in Loops(".(((....))((....))).", "ACCCAAAAGGCCAAAAGGGC", 0).energies())))
+    assert loops[3] == bare and loops[0] == 0
