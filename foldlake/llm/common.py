@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -63,7 +63,7 @@ def _file_system(spark: SparkSession, path: str):
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; what is there when the application ends goes."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    at, files = _file_system(spark, path)
+    at, files = file_system(spark, path)
     files.mkdirs(at.getParent())
     files.deleteOnExit(at)
     return path
@@ -82,7 +82,7 @@ def discard(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if not re.search(r"/\w+-[0-9a-f]{32}$", path):
                 raise ValueError(f"not a table of materialize(): {path}")
-            at, files = _file_system(df.sparkSession, path)
+            at, files = file_system(df.sparkSession, path)
             files.delete(at, True)
 
 

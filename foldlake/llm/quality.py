@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, file_system, table
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -114,9 +114,23 @@ def marked(docs: DataFrame) -> DataFrame:
 def store(docs: DataFrame, path: str) -> DataFrame:
     """Write the rows with their ledger entries once; policies and ablations read the entries back without the texts."""
     marked(docs).write.parquet(path)
+    _STORED.append(path)
     return docs.sparkSession.read.parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def drop_stored(docs: DataFrame) -> None:
+    """Delete the stored ledgers, which hold whole rows, that docs does not read. For a stage whose input was written and
+    read again: what was taken from the ledgers before is written by then."""
+    read = docs.inputFiles()
+    for path in [p for p in _STORED if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        at, files = file_system(docs.sparkSession, path)
+        files.delete(at, True)
+        _STORED.remove(path)
+
+
 def keep(stored: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The stored rows that pass the policy, with the input's columns."""
     return stored.filter(verdict(policy)).select("row.*")
