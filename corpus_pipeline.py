@@ -21,7 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group: five-word shingles, similarity of 0.8 or more. The ledger of the stage before goes first,
+    unless docs still reads it."""
+    quality.drop_stored(docs)
     return jaccard.keep_one(docs, n=5, num=4, den=5)
 
 
