@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, materialize, release, small, table
+from .common import discard, materialize, small, table
 from .components import components
 
 HOT_COPIES = 64
@@ -402,7 +402,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     both = F.size(F.array_intersect("x_a", "x_b"))
     linked = materialize(_both(near, sets, "s").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct(), "links")
     discard(near, ids)
-    release(sets.sparkSession)
     return linked
 
 
@@ -458,7 +457,6 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     met = d.mapInArrow(_posts(n, num, den, crowd), MET).repartition("key").sortWithinPartitions("key")
     met = met.mapInArrow(_met(crowd), "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c"))
     met = materialize(met, "met")
-    release(docs.sparkSession)
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), "c"))).drop("col")
     copies = met.filter(F.col("kind") == COPY).select("a", "b")
     pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
@@ -485,7 +483,6 @@ def links(docs: DataFrame, n: int, num: int, den: int, hot_copies: int = HOT_COP
     discard(prefix)
     second = _verified(_across(p, num, den), sets, num, den)
     discard(sets, grouped, tried, many, group)
-    release(docs.sparkSession)
     return sizes, first.unionByName(second).unionByName(copies)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import corpus_pipeline
 import pytest
@@ -101,3 +102,15 @@ def test_source_mix_and_shards(spark, docs, folder):
 def test_run_on_given_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.filter("text IS NULL").count() == 0
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    """They would else stay on the executors' disks through the jobs that follow."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = shuffles()
+    t = materialize(spark.range(10_000).repartition(4, "id"), "shuffled")
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before and t.count() == 10_000
