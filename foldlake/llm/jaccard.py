@@ -51,7 +51,7 @@ _SEEN_KEPT = 125_000
 _BYTES_AT_ONCE = 1 << 20
 _POSTS_HELD = 1_000_000
 SKETCH = 2048
-SALTS, HOT_TOKEN = 32, 512
+SALTS, HOT_TOKEN, SIDE = 32, 512, 6
 #: Kinds of rows: a post, the size of a row, crowded blocks of a document in even and odd bands, a copy and its representative.
 POST, SIZE, CROWDED, COPY, PAIR = 0, 1, 2, 4, 5
 
@@ -434,14 +434,34 @@ def _salts(df: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), F.when(df > HOT_TOKEN, SALTS - 1).otherwise(0)))
 
 
+def _parts(df: Column) -> Column:
+    """Parts of each side of a token with df rows: one for each HOT_TOKEN of them, SIDE at most."""
+    return F.least(F.lit(SIDE), F.ceil(df / HOT_TOKEN)).cast("int")
+
+
+def _dealt(part: str, parts: Column, other: str) -> list[Column]:
+    """The part of a row among those of its side, by its document, and one row for each part of the other side."""
+    return [F.pmod(F.xxhash64("doc_id"), parts).alias(part), F.explode(F.sequence(F.lit(0), parts - 1)).alias(other)]
+
+
 def _across(p: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different groups g that may be linked, from prefix rows p (token, doc_id, n, i, df, g)."""
+    """Pairs (a, b) of different groups g that may be linked, from prefix rows p (token, doc_id, n, i, df, g).
+
+    Rows that no early row of another group can fit go first, by the least i and the largest n of the early rows of their
+    token and band. What is left of a frequent token meets in a square of parts, as each side is dealt into some.
+    """
     width = -math.log(num / den - 1e-3)
-    p = p.withColumn("band", F.floor(F.log("n") / width).cast("int"))
     early = F.col("i") * (num + den) <= F.col("n") * (den - num)
-    mine = p.filter(early).withColumn("salt", _salt()).withColumn("at", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
-    q = p.select(F.col("token").alias("t2"), F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("g").alias("g2"), F.col("band").alias("b2"), early.alias("e2"), _salts(F.col("df")).alias("s2"))
-    j = mine.join(q, (F.col("token") == F.col("t2")) & (F.col("at") == F.col("b2")) & (F.col("salt") == F.col("s2")))
+    p = p.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("early", early)
+    mine = p.filter("early").withColumn("at", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    heads = mine.groupBy(F.col("token").alias("t3"), F.col("at").alias("at3")).agg(F.min("i").alias("i3"), F.max("n").alias("n3"), F.min("g").alias("g3"), F.max("g").alias("g4"), F.max("df").alias("most"))
+    heads = heads.select("t3", "at3", "i3", "n3", "g3", "g4", _salts(F.col("most")).alias("s3"))
+    q = p.withColumn("salt", _salt()).join(heads, (F.col("token") == F.col("t3")) & (F.col("band") == F.col("at3")) & (F.col("salt") == F.col("s3")))
+    q = q.filter(((F.col("g") != F.col("g3")) | (F.col("g") != F.col("g4"))) & (F.col("i") + F.col("i3") <= _difference(F.col("n") + F.col("n3"), num, den)))
+    parts = _parts(F.col("df"))
+    mine = mine.select("token", "doc_id", "n", "i", "g", "at", *_dealt("x", parts, "y"))
+    q = q.select(F.col("token").alias("t2"), F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("g").alias("g2"), F.col("band").alias("b2"), F.col("early").alias("e2"), *_dealt("y2", parts, "x2"))
+    j = mine.join(q, (F.col("token") == F.col("t2")) & (F.col("at") == F.col("b2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")))
     j = j.filter((F.col("g") != F.col("g2")) & (~F.col("e2") | (F.col("g") < F.col("g2"))) & _fits(num, den))
     return j.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
 

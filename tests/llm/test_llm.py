@@ -366,6 +366,30 @@ def test_jaccard_template_gives_no_candidates(spark):
     assert jaccard.links(d, 4, 85, 100)[1].count() == 0
 
 
+def test_jaccard_rows_of_frequent_tokens_are_not_multiplied(spark):
+    """Rows that no early row fits are not dealt out at all, the others to a few parts; the pairs are those of all rows."""
+    rows = [(1, k, 100, 14, 601, k) for k in range(600)] + [(1, 5000, 100, 8, 601, 5000)]
+    rows += [(2, 1000 + k, 100, 0, 520, 1 + k % 2) for k in range(519)] + [(2, 1999, 100, 9, 520, 3)]
+    rows += [(3, 2000 + k, 80 + k, k % 13, 40, 2000 + k // 2) for k in range(40)]
+    width, early = -math.log(0.85 - 1e-3), lambda r: r[3] * 185 <= r[2] * 15
+    band = lambda r: int(math.log(r[2]) / width)
+    fits = lambda r, q: max(r[3] + q[3], r[2] + q[2] - 2 * min(r[2] - r[3], q[2] - q[3])) * 185 <= (r[2] + q[2]) * 15
+    want = {(r[1], q[1]) for r, q in itertools.combinations(rows, 2) if r[0] == q[0] and r[5] != q[5] and (early(r) or early(q)) and abs(band(r) - band(q)) <= 1 and fits(r, q)}
+    p = spark.createDataFrame(rows, "token long, doc_id long, n int, i int, df long, g long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = jaccard._across(p, 85, 100)
+        assert {tuple(r) for r in pairs.collect()} == want
+        todo, made = [pairs._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+            made += node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0
+        assert 0 < made < 8 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_jaccard_edges(spark):
     d = odd_documents(spark)
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(d).collect())
