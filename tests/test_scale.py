@@ -5,7 +5,7 @@ import time
 import numpy as np
 from test_library import brute_matching
 
-from foldlake.operators import matching
+from foldlake.operators import matching, structure
 
 
 def test_matching_of_many_pieces_at_once(monkeypatch):
@@ -20,3 +20,13 @@ def test_matching_of_many_pieces_at_once(monkeypatch):
     for _ in range(40):
         matching.most_pairs(many)
     assert time.process_time() - t < 4  # 10,880 pieces; 6.4 s in the form before, 0.3 s in this one
+
+
+def test_pair_rows_are_packed(spark):
+    texts = {1: "((..))" * 400, 2: "...", 3: "", 4: "(" * 900 + ")" * 900, 5: ".(.)"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, structure string")
+    n = d.selectExpr("doc_id", "length(structure) AS n")
+    for pairs in (structure.pairs(d), structure.pairs(d).repartition(7)):
+        assert dict(map(tuple, structure.from_pairs(pairs, n).collect())) == texts
+    sent = structure.pairs(d).coalesce(1).mapInArrow(structure._runs, "k long, run binary").collect()
+    assert sorted((r["k"], len(r["run"]) // 8) for r in sent) == [(1, 800), (4, 900), (5, 1)]
