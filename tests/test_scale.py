@@ -3,9 +3,10 @@
 import time
 
 import numpy as np
+import pandas as pd
 from test_library import brute_matching
 
-from foldlake.operators import matching, structure
+from foldlake.operators import bands, blocks, folding, matching, structure
 
 
 def test_matching_of_many_pieces_at_once(monkeypatch):
@@ -30,3 +31,35 @@ def test_pair_rows_are_packed(spark):
         assert dict(map(tuple, structure.from_pairs(pairs, n).collect())) == texts
     sent = structure.pairs(d).coalesce(1).mapInArrow(structure._runs, "k long, run binary").collect()
     assert sorted((r["k"], len(r["run"]) // 8) for r in sent) == [(1, 800), (4, 900), (5, 1)]
+
+
+def test_blocks_against_bands():
+    rng = np.random.default_rng(5)
+    seqs = ["".join(rng.choice(list(letters), n)) for letters in ("ACGU", "GGCCAUN") for n in [*range(1, 60, 4), 60, 60, 75, 120]]
+    seqs += ["G" * 25 + "CAACGG" + "C" * 25, "GGGGGAAAACCCCC" * 4, "A" * 60]
+    for dangles in (0, 2):
+        for rows in blocks.together(seqs, 1 << 15):
+            group = [seqs[r] for r in rows]
+            low, old = blocks.Block(group, dangles=dangles), folding._filled(group, bands.Minimum, dangles=dangles)
+            f = low.suffixes()
+            assert list(zip(f[1].tolist(), low.best(f))) == [folding._best(old, k) for k in range(len(group))]
+            z, old = blocks.Block(group, sums=True, dangles=dangles), folding._filled(group, bands.Sum, bands.GROW, dangles=dangles)
+            got = np.log(z.suffixes()[1]) - bands.GROW * (z.n - 2)
+            want = [np.log(old.exterior(k)[0]) - bands.GROW * len(s) for k, s in enumerate(group)]
+            np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_fold_of_many_pieces_at_once():
+    rng = np.random.default_rng(6)
+    many = pd.DataFrame({"key": range(1000), "seq": ["".join(x) for x in rng.choice(list("ACGU"), (1000, 60))]})
+    t = time.process_time()
+    new = next(folding._folded([many]))
+    new_s, folding_short = time.process_time() - t, folding.SHORT
+    try:
+        folding.SHORT = 0
+        t = time.process_time()
+        old = next(folding._folded([many]))
+    finally:
+        folding.SHORT = folding_short
+    assert new_s < (time.process_time() - t) / 1.5
+    assert list(new["structure"]) == list(old["structure"]) and list(new["mfe"]) == list(old["mfe"])
