@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from test_library import brute_matching
 
-from foldlake.operators import bands, blocks, folding, matching, structure
+from foldlake.operators import bands, blocks, folding, matching, structure, windowed
 
 
 def test_matching_of_many_pieces_at_once(monkeypatch):
@@ -63,3 +63,21 @@ def test_fold_of_many_pieces_at_once():
         folding.SHORT = folding_short
     assert new_s < (time.process_time() - t) / 1.5
     assert list(new["structure"]) == list(old["structure"]) and list(new["mfe"]) == list(old["mfe"])
+
+
+def test_local_folds_of_many_texts_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ACGUN"), n)) for n in (0, 1, 6, 40, 300, 90, 0, 171, 500)] + [None, "ACGU " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, seq string").coalesce(1)
+    want = sorted((k, *h) for k, s in enumerate(texts) for h in windowed.local_hits((s or "").replace(" ", "N"), 50)[1])
+    assert sorted(map(tuple, windowed.local_folds(df, 50).collect())) == want
+    seqs, batch = [s or "" for s in texts], pd.DataFrame({"key": range(len(texts)), "seq": texts})
+    for tile, strip in ((64, 1000), (333, 100)):
+        monkeypatch.setattr(windowed, "TILE", tile)
+        monkeypatch.setattr(windowed, "STRIP", strip)
+        assert sorted(row for out in windowed._local([batch], 50, lambda x: x[1], 2) for row in out) == want
+    monkeypatch.undo()
+    long = pd.DataFrame({"key": range(40), "seq": ["".join(x) for x in rng.choice(list("ACGU"), (40, 1000))]})
+    t = time.process_time()
+    assert sum(map(len, windowed._local([long], 70, lambda x: x[1], 2))) > 1000
+    assert time.process_time() - t < 2.5
