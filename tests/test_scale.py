@@ -81,3 +81,33 @@ def test_local_folds_of_many_texts_at_once(spark, monkeypatch):
     t = time.process_time()
     assert sum(map(len, windowed._local([long], 70, lambda x: x[1], 2))) > 1000
     assert time.process_time() - t < 2.5
+
+
+def test_sampled_pairs_follow_the_probabilities(spark):
+    rng = np.random.default_rng(10)
+    seqs = ["".join(rng.choice(list("GGCCAU"), n)) for n in (0, 4, 9, 20, 33, 60, 60)] + ["GGGGGAAAACCCCC" * 4]
+    n = 4000
+    row, i, j, count = folding._pair_counts(seqs, n, 1, blocks.Room())
+    got = {(r, x, y): c / n for r, x, y, c in zip(row.tolist(), i.tolist(), j.tolist(), count.tolist())}
+    want = {}
+    for r, s in enumerate(seqs):
+        if s:
+            w = bands.Windows([s], len(s), len(s))
+            want |= {(r, int(x), int(y)): p for x, y, p in w.pairs(0, 1e-9).T}
+    assert set(got) <= set(want)
+    for x, p in want.items():
+        assert abs(got.get(x, 0) - p) < 5 * (p * (1 - p) / n) ** 0.5 + 2e-3
+    again = folding._pair_counts(seqs[::-1], n, 1, blocks.Room())  # other neighbours, the same draws
+    assert sorted(zip((len(seqs) - 1 - again[0]).tolist(), *again[1:].tolist())) == sorted(zip(row.tolist(), i.tolist(), j.tolist(), count.tolist()))
+    rows = [(k % 5, s) for k, s in enumerate(seqs)] + [(None, seqs[5]), (None, seqs[6]), (9, None)]
+    one = {}
+    for k, s in rows:
+        for _, x, y, c in zip(*(v.tolist() for v in folding._pair_counts([s or ""], 10, 1, blocks.Room()))):
+            one[k, x, y] = one.get((k, x, y), 0) + c
+    df = spark.createDataFrame(rows, "doc_id long, seq string").repartition(4)
+    for size in ("10000", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = folding.sampled_pairs(df, 10).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(out) == len({r["doc_id"] for r in out}) == 7
+        assert {(r["doc_id"], p["i"], p["j"]): round(p["frequency"] * 10) for r in out for p in r["pairs"]} == one
