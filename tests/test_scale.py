@@ -83,6 +83,22 @@ def test_local_folds_of_many_texts_at_once(spark, monkeypatch):
     assert time.process_time() - t < 2.5
 
 
+def test_probabilities_of_blocks_against_windows():
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGUN"), n)) for n in (1, 4, 5, 6, 13, 14, 30, 59, 60, 60)] + ["GGGGGAAAACCCCC" * 4, "A" * 60, "G" * 25 + "CAACGG" + "C" * 25]
+    for rows in blocks.together(seqs, 1 << 20):
+        group = [seqs[r] for r in rows]
+        (texts, centroids, distances, mea, accuracy, diversity), (row, i, j, p) = folding._short_ensembles(rows, group, 1e-5, (blocks.Room(), blocks.Room()))
+        w = bands.Windows(group, len(group[-1]), len(group[-1]))
+        for k, (r, s) in enumerate(zip(rows, group)):
+            old, pairs = folding._long_ensemble(w, k, s, w.most_accurate()[k], 1e-5)
+            assert (texts[k], centroids[k], mea[k]) == (old[0], old[1], old[3])
+            np.testing.assert_allclose([distances[k], accuracy[k], diversity[k]], [old[2], old[4], old[5]], rtol=1e-9, atol=1e-9)
+            own = sorted(zip(i[row == r].tolist(), j[row == r].tolist(), p[row == r].tolist()))
+            assert [x[:2] for x in own] == sorted(zip(*(x.tolist() for x in pairs[:2])))
+            np.testing.assert_allclose([x[2] for x in own], pairs[2], rtol=1e-9)
+
+
 def test_sampled_pairs_follow_the_probabilities(spark):
     rng = np.random.default_rng(10)
     seqs = ["".join(rng.choice(list("GGCCAU"), n)) for n in (0, 4, 9, 20, 33, 60, 60)] + ["GGGGGAAAACCCCC" * 4]
